@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = SLICE_BYTES) -> Itera
     """Cut a batch so that each slice holds at most budget bytes of text, or one row."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
     start, done = 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, done + budget, side="right")))
