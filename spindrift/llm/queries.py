@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, secrets
+from spindrift.llm import bpe, dedup, secrets
 
 
 def queries():
     return {
+        "op4_minhash": dedup.op4_minhash,
         "op8_secrets": secrets.op8_secrets,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
