@@ -1,15 +1,62 @@
-"""The corpus pipeline: language ID, near-duplicates, secrets, mixing, tokens. See README."""
+"""The corpus pipeline: language ID, near-duplicates, secrets, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
+DataFrame; all but the last return the columns of documents. Models are learned from the stage's input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindrift.llm import bpe, common, dedup, langid, mixing, secrets
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no learned language go; a missing lang is filled with the predicted one."""
+    found = langid.identify(docs, langid.fit(docs)).where(~langid.rejected())
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays: that of the smallest id.
+
+    Of repeated rows of one id one stays, the first by text; rows without an id stay.
+    """
+    kept = dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts give way to a mark, and n_chars follows."""
+    clean = secrets.redact(docs, secrets.fit(docs))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, in shards, each shuffled."""
+    mixed = mixing.mixed(docs)
+    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_position").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each drawn document."""
+    import public_tokenizers
+
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids"), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("secrets", redact_secrets), ("mixing", mix), ("bpe_tokens", tokens)]
 
-STAGES = []
+#: SQL can express neither the trained models nor the keyed draws; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
     return docs

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, dedup, langid, secrets
+from spindrift.llm import bpe, dedup, langid, mixing, secrets
 
 
 def queries():
     return {
         "op1_language": langid.op1_language,
+        "op2_mixing": mixing.op2_mixing,
         "op4_minhash": dedup.op4_minhash,
         "op8_secrets": secrets.op8_secrets,
         "op10_byte_bpe": bpe.op10_byte_bpe,
