@@ -36,9 +36,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, in shards, each shuffled."""
-    mixed = mixing.mixed(docs)
-    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_position").select(*docs.columns)
+    """Documents as often as the mix draws them, in shards, each shuffled: a shard lies in up to 64 files of one keyed range each."""
+    mixed = mixing.mixed(docs).withColumn("__range", F.shiftrightunsigned("mix_position", 58))
+    return mixed.repartition("mix_shard", "__range").sortWithinPartitions("mix_shard", "mix_position").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
