@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, dedup, langid, mixing, secrets
+from spindrift.llm import bpe, dedup, langid, mixing, ngram_lm, secrets, urls
 
 
 def queries():
     return {
         "op1_language": langid.op1_language,
         "op2_mixing": mixing.op2_mixing,
+        "op3_url_filter": urls.op3_url_filter,
         "op4_minhash": dedup.op4_minhash,
+        "op7_ngram_lm": ngram_lm.op7_ngram_lm,
         "op8_secrets": secrets.op8_secrets,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op3_url_filter": urls.op3_sql()}
