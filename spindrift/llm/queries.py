@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, dedup, langid, mixing, ngram_lm, quality, secrets, urls
+from spindrift.llm import bpe, dedup, langid, mixing, ngram_lm, pii, quality, secrets, urls
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op3_url_filter": urls.op3_url_filter,
         "op4_minhash": dedup.op4_minhash,
+        "op5_pii": pii.op5_pii,
         "op6_quality": quality.op6_quality,
         "op7_ngram_lm": ngram_lm.op7_ngram_lm,
         "op8_secrets": secrets.op8_secrets,
