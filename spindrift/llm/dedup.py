@@ -188,6 +188,18 @@ def _across_chunks(width: int, percent: int):
     return work
 
 
+def _across(members: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Families over several chunks: whoever its own chunk left loose meets the other chunks."""
+    loose = found.where("loose").select("center", F.col("a").alias("member")).distinct().join(members.where("member <> center"), ["center", "member"])
+    groups = loose.groupBy("center").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("groups"))
+    loose = loose.join(groups, "center").withColumn("group", F.pmod(F.xxhash64("member", F.lit(1)), F.col("groups")).cast("int"))
+    loose = loose.withColumn("own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> own")
+    inside = members.join(groups, "center").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    columns = ["center", "chunk", "group", "member", "text"]
+    both = inside.select(*columns, F.lit(False).alias("loose")).unionByName(loose.select(*columns, F.lit(True).alias("loose")))
+    return both.groupBy("center", "chunk", "group").applyInArrow(_across_chunks(width, percent), _LINKS)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs.
 
@@ -218,18 +230,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = placed.where("member <> center or chunks = 1").unionByName(everywhere)
 
     texts = docs.select(F.col(key).alias("member"), F.col(text).alias("text")).where("text is not null")
-    filled = placed.join(texts, "member").select("center", "chunk", "chunks", "member", "text")
-    found = common.materialize(filled.groupBy("center", "chunk").applyInArrow(_within_chunk(width, percent), _LINKS), "links")
-
-    # families over several chunks: whoever its own chunk left loose meets the other chunks
-    loose = found.where("loose").select("center", F.col("a").alias("member")).distinct().join(placed.where("chunks > 1 and member <> center"), ["center", "member"])
-    groups = loose.groupBy("center").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("groups"))
-    loose = loose.join(groups, "center").withColumn("group", F.pmod(F.xxhash64("member", F.lit(1)), F.col("groups")).cast("int"))
-    loose = loose.withColumn("own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> own").select("center", "chunk", "group", "member", F.lit(True).alias("loose"))
-    members = placed.where("chunks > 1").join(groups, "center").select("center", "chunk", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "member", F.lit(False).alias("loose"))
-    across = members.unionByName(loose).join(texts, "member").groupBy("center", "chunk", "group").applyInArrow(_across_chunks(width, percent), _LINKS)
-
-    roots = components(found.where("not loose").unionByName(across).select("a", "b"))
+    filled = placed.join(texts, "member").select("center", "chunk", "chunks", "member", "n", "text")
+    several = not chunks.where("chunks > 1").isEmpty()
+    if several:  # their texts are needed twice, and then lie in the shared folder
+        filled = common.materialize(filled, "members")
+    found = common.materialize(filled.select("center", "chunk", "chunks", "member", "text").groupBy("center", "chunk").applyInArrow(_within_chunk(width, percent), _LINKS), "links")
+    links = found.where("not loose").select("a", "b")
+    if several:
+        links = links.unionByName(_across(filled.where("chunks > 1"), found, width, percent).select("a", "b"))
+
+    roots = components(links)
     named = classes.select("s1", "s2", "member").join(roots, classes["member"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "member").alias("root"))
     out = drawn.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("root", "id"))
