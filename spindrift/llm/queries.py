@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, dedup, langid, mixing, ngram_lm, pii, quality, secrets, urls
+from spindrift.llm import bpe, dedup, embeddings, langid, mixing, ngram_lm, pii, quality, secrets, urls
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_quality": quality.op6_quality,
         "op7_ngram_lm": ngram_lm.op7_ngram_lm,
         "op8_secrets": secrets.op8_secrets,
+        "op9_embeddings": embeddings.op9_embeddings,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
