@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from spindrift.queries import graphs, measures, streams
+
+_MODULES = (graphs, measures, streams)
+
 
 def queries():
-    return {}
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
