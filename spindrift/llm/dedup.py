@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = placed.where("member <> center or chunks = 1").unionByName(everywhere)
 
     texts = docs.select(F.col(key).alias("member"), F.col(text).alias("text")).where("text is not null")
-    filled = placed.join(texts, "member").select("center", "chunk", "chunks", "member", "n", "text")
+    # by a shuffle of the texts at every size: a broadcast of the members would end at some size
+    filled = placed.hint("merge").join(texts, "member").select("center", "chunk", "chunks", "member", "n", "text")
     several = not chunks.where("chunks > 1").isEmpty()
     if several:  # their texts are needed twice, and then lie in the shared folder
         filled = common.materialize(filled, "members")
