@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.queries import graphs, measures, streams
+from spindrift.queries import analyses, graphs, measures, streams
 
-_MODULES = (graphs, measures, streams)
+_MODULES = (graphs, measures, analyses, streams)
 
 
 def queries():
