@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.queries import analyses, graphs, measures, streams
+from spindrift.queries import analyses, graphs, measures, services, streams
 
-_MODULES = (graphs, measures, analyses, streams)
+_MODULES = (graphs, measures, analyses, services, streams)
 
 
 def queries():
