@@ -26,8 +26,8 @@ from spindrift.llm import common
 from spindrift.llm.components import components
 from spindrift.llm.dedup import _Forest
 
-#: Vectors in one chunk of a cell.
-CHUNK = 1024
+#: Vectors in one chunk of a cell; rows of cells that are worked at once.
+CHUNK, BATCH = 1024, 8192
 
 
 class Lines:
@@ -60,19 +60,15 @@ class Lines:
             out ^= out >> np.uint64(29)
         return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def counted(self, queries: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """On how many lines each other lies in each query's window: ranks in sorted order against the window's ends."""
-        counts = np.zeros((len(queries), len(others)), np.int16)
-        q, o = queries @ self.lines, others @ self.lines
-        for line in range(self.lines.shape[1]):
-            order = np.argsort(o[:, line], kind="stable")
-            ranks = np.empty(len(others), np.int32)
-            ranks[order] = np.arange(len(others), dtype=np.int32)
-            in_order = o[order, line]
-            low = np.searchsorted(in_order, q[:, line] - self.window, side="left").astype(np.int32)
-            high = np.searchsorted(in_order, q[:, line] + self.window, side="right").astype(np.int32)
-            counts += (ranks[None, :] - low[:, None]).view(np.uint32) < (high - low).astype(np.uint32)[:, None]
-        return counts
+    def counts(self, projected: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of rows of projected, on how many lines b lies in the window centred on a."""
+        out = np.empty(len(a), np.int64)
+        for i in range(0, len(a), 8192):
+            gap = projected[a[i : i + 8192]]
+            gap -= projected[b[i : i + 8192]]
+            np.abs(gap, out=gap)
+            out[i : i + 8192] = np.count_nonzero(gap <= self.window, axis=1)
+        return out
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -109,43 +105,76 @@ def prepared(rows: DataFrame, cosine: float, options: dict, embedding: str = "em
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], rows.schema["label"], *_FIELDS]))
 
 
+def _pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Blocks of row pairs (a, b) that stand together: rows of one key, the left ones with the right ones, each pair once.
+
+    keys, sorted, tells cells apart; left and right say on which side of its chunk pair a row stands (both
+    where the two chunks are one). Many small cells go in one block, a crowded one in several.
+    """
+    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else np.empty(0, np.int64)
+    some_a, some_b, n, start = [], [], 0, 0
+    for end in ends.tolist():
+        rows = np.arange(start, end)
+        start = end
+        one, two = rows[left[rows]], rows[right[rows]]
+        if len(rows) == 2 and left[rows].all() and right[rows].all():
+            a, b = rows[:1], rows[1:]
+        else:
+            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+            same = left[b] & right[a]
+            keep = ~same | (a < b)
+            a, b = a[keep], b[keep]
+        some_a.append(a)
+        some_b.append(b)
+        n += len(a)
+        if n >= 200_000:
+            yield np.concatenate(some_a), np.concatenate(some_b)
+            some_a, some_b, n = [], [], 0
+    if n:
+        yield np.concatenate(some_a), np.concatenate(some_b)
+
+
 def _links(cosine: float, options: dict):
-    """Links between one chunk pair's vectors that share no earlier cell: counts per vector, and a spanning forest."""
+    """Links in a batch of cells, of pairs that share no earlier cell: counts per vector, and a spanning forest."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        group, first, second = key[1].as_py(), key[3].as_py(), key[4].as_py()
-        ids, copies, chunk = (np.array(table.column(c)) for c in ("id", "copies", "chunk"))
-        cells = np.stack([np.frombuffer(c, np.int32) for c in table.column("cells").to_pylist()])
+        ids, copies, chunk, first, second, group = (np.array(table.column(c)).astype(np.int64) for c in ("id", "copies", "chunk", "first", "second", "group"))
         raw = table.column("vector").to_pylist()
-        out_a, out_b, out_n = [], [], []
-        for size in sorted({len(v) for v in raw}):
-            own = np.array([i for i, v in enumerate(raw) if len(v) == size])
+        sizes = np.array([len(v) for v in raw])
+        place = np.array(table.column("place")).astype(np.int64)
+        cells = np.stack([np.frombuffer(c, np.int32) for c in table.column("cells").to_pylist()])
+        label = np.array(table.column("label").combine_chunks().dictionary_encode().indices)
+        out: list[tuple] = []
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            own = own[np.lexsort((ids[own], second[own], first[own], place[own]))]
+            lines = Lines(size // 8, cosine, **options)
             vectors = np.stack([np.frombuffer(raw[i], np.float64) for i in own])
             unit = _unit(vectors / np.abs(vectors).max(1)[:, None])
-            lines = Lines(size // 8, cosine, **options)
-            left = np.flatnonzero(chunk[own] == first)
-            right = left if first == second else np.flatnonzero(chunk[own] == second)
-            if not len(left) or not len(right):
-                continue
-            near = lines.counted(unit[left], unit[right]) >= lines.count
-            if first == second:
-                near &= left[:, None] < right[None, :]
-            a, b = np.nonzero(near)
-            a, b = left[a], right[b]
-            close = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-            a, b = own[a[close]], own[b[close]]
-            fresh = ~(cells[a, :group] == cells[b, :group]).any(1)
-            a, b = a[fresh], b[fresh]
-            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            some = np.flatnonzero(links)
-            out_a += ids[some].tolist()
-            out_b += [None] * len(some)
-            out_n += links[some].astype(np.int64).tolist()
-            forest = _Forest(len(ids))
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                if forest.join(x, y):
-                    out_a.append(int(ids[x])), out_b.append(int(ids[y])), out_n.append(0)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})
+            projected = unit @ lines.lines
+            keys = np.unique(np.stack([place[own], first[own], second[own]]), axis=1, return_inverse=True)[1].ravel()
+            for a, b in _pairs(keys, chunk[own] == first[own], chunk[own] == second[own]):
+                # earlier cells are those of lower groups
+                before = np.arange(cells.shape[1])[None, :] < group[own[a]][:, None]
+                fresh = ~((cells[own[a]] == cells[own[b]]) & before).any(1) & (label[own[a]] == label[own[b]])
+                a, b = a[fresh], b[fresh]
+                near = lines.counts(projected, a, b) >= lines.count
+                a, b = a[near], b[near]
+                close = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                a, b = own[a[close]], own[b[close]]
+                out.append((a, b))
+        a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
+        b = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
+        # a vector stands in several cells of a batch: by its id from here on
+        names, at = np.unique(ids, return_inverse=True)
+        links = np.bincount(at[a], copies[b], len(names)) + np.bincount(at[b], copies[a], len(names))
+        some = np.flatnonzero(links)
+        forest, edges = _Forest(len(names)), []
+        for x, y in zip(at[a].tolist(), at[b].tolist(), strict=True):
+            if forest.join(x, y):
+                edges.append((x, y))
+        edge = names[np.array(edges, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(np.concatenate([names[some], edge[:, 0]])), "b": pa.array([None] * len(some) + edge[:, 1].tolist(), pa.int64()), "n": pa.array(np.concatenate([links[some], np.zeros(len(edge))]).astype(np.int64))})
 
     return work
 
@@ -168,9 +197,11 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     crowded = spread.groupBy("label", "group", "cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int"))
     met = spread.join(crowded, ["label", "group", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")})
+    rows_in_cells = crowded.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0
+    met = met.withColumn("place", F.xxhash64("label", "group", "cell")).withColumn("batch", F.pmod(F.xxhash64("place", "first", "second"), F.lit(max(1, rows_in_cells // BATCH))).cast("int"))
     bodies = classes.select(F.col("member").alias("id"), F.col("label").alias("body_label"), "copies", "vector", "cells")
-    filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("label", "group", "cell", "first", "second", "chunk", "id", "copies", "vector", "cells")
-    found = common.materialize(filled.groupBy("label", "group", "cell", "first", "second").applyInArrow(_links(cosine, options), "a long, b long, n long"), "links")
+    filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("batch", "label", "place", "group", "first", "second", "chunk", "id", "copies", "vector", "cells")
+    found = common.materialize(filled.groupBy("batch").applyInArrow(_links(cosine, options), "a long, b long, n long"), "links")
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
@@ -183,3 +214,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id",
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of all embeddings at cosine 0.98 within a label."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+def op9_sql() -> str:
+    """The same in SQL: every pair of a label, and recursive reachability."""
+    return """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT x, b FROM reach JOIN l ON y = a),
+root AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN root ON root.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
+"""
