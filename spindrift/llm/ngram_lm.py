@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from spindrift.llm import common
 
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 #: Steps per octave, and the number of context-frequency buckets, of the tally that the weights are learned from.
 STEPS, BUCKETS = 4, 48
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -149,6 +149,8 @@ def _count(shards: int, id_type: pa.DataType):
                     if b > a:
                         rows.append((kind, s, name, held, _packed_hashes(hashes[a:b]), _packed(counts[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["kind", "shard", "block", "held", "hashes", "counts"])
+        block = rows = None
+        common.tidy()
 
     return run
 
@@ -185,6 +187,7 @@ def _payload(id_type: pa.DataType, only_held: bool):
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                     writer.write_batch(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+        common.tidy()
 
     return run
 
@@ -262,6 +265,8 @@ def _score(id_type: pa.DataType, key_name: str, tokens: int, kinds: int, weights
             base = np.log10((count + 1) / (tokens + 1 * (kinds + 1)))
             add = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
             parts.append(pa.table({key_name: ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, "n_tokens": block.sizes, "n_known": add((count > 0).astype(np.int64)), "base_score": add(base), "score": add(pair[block.pair_of])}))
+        block = ids = u = b = None
+        common.tidy()
         schema = pa.schema([(key_name, id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(parts).cast(schema) if parts else schema.empty_table()
 
