@@ -1,6 +1,7 @@
 """Mixing sources to target weights (operator 2), in DataFrame functions only.
 
-Documents hash into blocks of about block_words words within their source. A source's blocks lie in a
+Documents hash into blocks of about block_words words within their source (larger ones where a source has
+more than MOST_BLOCKS). A source's blocks lie in a
 keyed order; a pass takes its first blocks up to the source's quota of words, the last one in part. The
 exact block quotas then go down a splitting tree: a node halves its shards and draws, source by source,
 how many of its blocks go left, from the multivariate hypergeometric distribution; so each shard has exact
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import common
 
 WEIGHTS = (5, 2, 1)
+#: Blocks of one source, which are ordered in one task; of a larger source blocks are larger.
+MOST_BLOCKS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,7 +105,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     the keyed order (repeated rows) are interchangeable. Reruns give the same rows.
     """
     sizes = common.materialize(sized(docs, key, text, source), "sizes")
-    plan = targets(sizes, weights, share, most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
+    plan = targets(sizes, weights, share, most).withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("long"))
     plan = common.materialize(plan, "targets")
     placed = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select(sizes["*"], "source_size", "target", "blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("blocks")))
