@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,33 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.operators.storage import materialize  # noqa: F401  for the operators here
+
 #: Bytes of text that one Arrow slice may hold; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back.
-
-    Lost executors cost only a re-read of the written files. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,10 +63,21 @@ def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
                 old = [part.column(part.schema.get_field_index(c)) for c in kept]
                 new = compute(part)
                 yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, *new], out, strict=True)], schema=out)
+        old = new = part = batch = None
+        tidy()
 
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: idle workers wait on beside the JVM for their next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class TwoGenerations(dict):
     """A memo of bounded size: when the young half is full it becomes the old one; what is asked for again comes back."""
 
@@ -106,3 +95,16 @@ class TwoGenerations(dict):
                 self.clear()
             self[key] = found
         return found
+
+
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def sole_memo(owner: str, drop: Callable[[], None]) -> None:
+    """Have only one operator's memo in a worker process: workers live on from stage to stage, and their memory is bounded together."""
+    if owner not in _memos:
+        for other in list(_memos.values()):
+            other()
+        _memos.clear()
+        tidy()
+        _memos[owner] = drop

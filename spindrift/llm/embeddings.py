@@ -27,7 +27,7 @@ from spindrift.llm.components import components
 from spindrift.llm.dedup import _Forest
 
 #: Vectors in one chunk of a cell; rows of cells that are worked at once.
-CHUNK, BATCH = 1024, 8192
+CHUNK, BATCH = 1024, 1024
 
 
 class Lines:

@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_url_filter": urls.op3_sql()}
+    return {"op3_url_filter": urls.op3_sql(), "op4_minhash": dedup.op4_sql(), "op9_embeddings": embeddings.op9_sql()}
