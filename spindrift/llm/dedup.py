@@ -36,12 +36,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _forget() -> None:
+    global _words
+    _words = None
+
+
 def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's width-word shingles; A-Z count as a-z.
 
     Fewer words than width: the whole sequence is one shingle. No word: none.
     """
     global _words
+    common.sole_memo("dedup", _forget)
     if _words is None:
         _words = common.TwoGenerations(xxhash.xxh3_64_intdigest, 300_000, 64)
     words = text.lower().split()
@@ -250,3 +256,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
+
+
+def op4_sql() -> str:
+    """The same in SQL: prefix filter over the rarest shingles, exact intersections, recursive reachability."""
+    return r"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM cut)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), df AS (SELECT s, count(*) AS f FROM sh GROUP BY 1),
+p AS (SELECT doc_id, s, n FROM (SELECT sh.doc_id, sh.s, n, row_number() OVER (PARTITION BY sh.doc_id ORDER BY f, sh.s) AS r FROM sh JOIN n ON n.doc_id = sh.doc_id JOIN df ON df.s = sh.s) WHERE r <= n - (8 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND x.s = y.s GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT x, b FROM reach JOIN e ON y = a),
+root AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN root ON root.doc_id = d.doc_id
+"""
