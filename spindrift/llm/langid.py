@@ -118,7 +118,7 @@ class Scorer:
     """Costs of words under a model: a matrix row per word, at most memo words at once."""
 
     def __init__(self, model: Model, memo: int = 400_000):
-        self.model, self.memo = model, memo
+        self.model, self.memo = model, min(memo, 4_000_000 // (len(model.languages) + 1))
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
 
@@ -205,6 +205,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as fit() says
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
+        common.sole_memo("langid", _live.clear)
         name = shared.value.name
         if name not in _live:
             _live.clear()
