@@ -23,6 +23,8 @@ _NOT_SYMBOLS = bytes(set(range(256)) - set(_SYMBOLS))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Distance classes per octave of the squared distance, and their range in octaves.
 FINE, OCTAVES = 24, (-20, 40)
+#: Groups whose estimates may be broadcast, 30 MB.
+MOST_BROADCAST = 100_000
 #: Squared-distance quantile 0.5 of the chi-squared distribution with 4 degrees of freedom (fixed value).
 CHI2_MEDIAN_4 = 3.3567
 
@@ -120,6 +122,11 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("products")]
 
 
+def _sent(groups: DataFrame) -> DataFrame:
+    """A written table of a row for each group, for joins with all points: broadcast up to a bound, beyond it by shuffle."""
+    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
+
+
 def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataFrame:
     """(g, mean, inverse, scale): the MCD estimate of each group g of points (g, x0..x3).
 
@@ -127,12 +134,15 @@ def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataF
     distance that of a normal distribution.
     """
     median = F.percentile_approx
+    # a row of about 300 bytes for each group: sent to all tasks up to a bound, beyond it joined by shuffle
+    few = points.select("g").distinct().count() <= MOST_BROADCAST
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     start = points.groupBy("g").agg(F.array(*[median(f"x{i}", 0.5, 1000) for i in range(_D)]).alias("mean"), F.array(*[median(f"x{i}", 0.75, 1000) - median(f"x{i}", 0.25, 1000) for i in range(_D)]).alias("range"))
     spread = [(F.col("range")[i] / 1.349) * (F.col("range")[i] / 1.349) + FLOOR[i] ** 2 for i in range(_D)]
     now = start.select("g", "mean", F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inverse"))
     upward = Window.partitionBy("g").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # at most FINE x 60 classes
     for _ in range(steps):
-        classed = points.join(now, "g").withColumn("class", F.floor(F.log2(F.greatest(F.least(_distance(), F.lit(2.0 ** OCTAVES[1])), F.lit(2.0 ** OCTAVES[0]))) * FINE).cast("int"))
+        classed = points.join(sent(now), "g").withColumn("class", F.floor(F.log2(F.greatest(F.least(_distance(), F.lit(2.0 ** OCTAVES[1])), F.lit(2.0 ** OCTAVES[0]))) * FINE).cast("int"))
         classes = classed.groupBy("g", "class").agg(*_moments())
         total = F.sum("n").over(Window.partitionBy("g"))
         # the class that crosses h counts in the part that is needed
@@ -141,7 +151,7 @@ def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataF
         sums = used.groupBy("g").agg(F.sum(F.col("n") * F.col("part")).alias("n"), F.array(*[F.sum(F.col("sums")[i] * F.col("part")) for i in range(_D)]).alias("sums"), F.array(*[F.sum(F.col("products")[k] * F.col("part")) for k in range(len(_PAIRS))]).alias("products"))
         now = _solved(sums)
     now = common.materialize(now, "centers")
-    scale = points.join(now, "g").groupBy("g").agg(F.greatest(F.lit(1.0), median(_distance(), 0.5, 1000) / CHI2_MEDIAN_4).alias("scale"))
+    scale = points.join(sent(now), "g").groupBy("g").agg(F.greatest(F.lit(1.0), median(_distance(), 0.5, 1000) / CHI2_MEDIAN_4).alias("scale"))
     return now.join(scale, "g")
 
 
@@ -160,12 +170,12 @@ def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 200, min_word
     name = lambda *parts: F.to_json(F.struct(*[F.coalesce(F.col(p), F.lit("\0")).alias(p) for p in parts]))
     stats = stats.withColumn("fine", name("lang", "source")).withColumn("coarse", name("lang"))
     good = stats.where(~F.col("base_failed"))
-    fine = good.groupBy("fine").agg(F.count("*").alias("nf"))
-    coarse = good.groupBy("coarse").agg(F.count("*").alias("nc"))
+    fine = _sent(common.materialize(good.groupBy("fine").agg(F.count("*").alias("nf")), "groups"))
+    coarse = _sent(common.materialize(good.groupBy("coarse").agg(F.count("*").alias("nc")), "groups"))
     group = F.when(F.coalesce("nf", F.lit(0)) >= least_group, F.col("fine")).when(F.coalesce("nc", F.lit(0)) >= least_group, F.col("coarse")).otherwise(F.lit("all"))
     stats = common.materialize(stats.join(fine, "fine", "left").join(coarse, "coarse", "left").withColumn("g", group).select("id", *STATS, "base_failed", *[f"x{i}" for i in range(_D)], "g"), "points")
-    found = estimates(stats.where(~F.col("base_failed")), **options)
-    out = stats.join(found, "g", "left").withColumn("distance", _distance() / F.col("scale"))
+    found = common.materialize(estimates(stats.where(~F.col("base_failed")), **options), "estimates")
+    out = stats.join(_sent(found), "g", "left").withColumn("distance", _distance() / F.col("scale"))
     return out.select(F.col("id").alias(key), *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 
 
