@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -198,8 +199,58 @@ _MAKE = {"email": email, "card": card, "iban": iban, "ssn": ssn, "phone": phone,
 _DIGIT = re.compile("[0-9]")
 
 
+#: The alternatives of _NUMBERS one by one, to try what a match that fails its check leaves.
+_ALONE = {
+    kind: re.compile(rf"{before}(?:{pattern}){after}")
+    for kind, before, pattern, after in (
+        ("iban", "(?<![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "(?![A-Za-z0-9])"),
+        ("card", "(?<![A-Za-z0-9.+-])", "[0-9](?:[ -]?[0-9]){12,18}", "(?![0-9])"),
+        ("ssn", "(?<![A-Za-z0-9.+-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?![0-9-])"),
+        ("ipv4", "(?<![A-Za-z0-9.+-])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?![0-9]|\.[0-9])"),
+        ("date", "(?<![A-Za-z0-9.+-])", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}", "(?![0-9])"),
+        ("phone", "(?<![A-Za-z0-9])", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}", "(?![0-9])"),
+    )
+}
+_JOINED = re.compile("-[0-9]")
+
+
+def _ends(kind: str, text: str, start: int) -> list[int]:
+    """Where a value of the kind from start can end, the longest first; iban and card can stop at each separator."""
+    m = _ALONE[kind].match(text, start)
+    if not m:
+        return []
+    shorter = [e for e in range(m.end() - 1, start, -1) if text[e] in " -" and text[e - 1] not in " -"] if kind in ("iban", "card") else []
+    return [m.end(), *shorter]
+
+
+def _number_at(text: str, start: int, key: bytes, free: Callable[[int, int], bool]) -> tuple[int, int, str, str] | None:
+    """The valid number from start: IBAN, whole values of a fixed shape, cards, values of a shape with a hyphen and digits after.
+
+    A card that stops inside a run of digits gives way to a longer one from a later start in it.
+    """
+
+    def tried(kind: str, end: int):
+        new = _MAKE[kind](text[start:end], key) if free(start, end) else None
+        return (start, end, kind, new) if new else None
+
+    shapes = [(kind, end) for kind in ("ssn", "ipv4", "date", "phone") for end in _ends(kind, text, start)]
+    for kind, end in [*(("iban", e) for e in _ends("iban", text, start)), *(x for x in shapes if not _JOINED.match(text, x[1]))]:
+        if got := tried(kind, end):
+            return got
+    for i, end in enumerate(_ends("card", text, start)):
+        if got := tried("card", end):
+            n = sum(map(str.isdigit, text[start:end]))
+            later = ((s, e) for s in range(start + 1, end) for e in _ends("card", text, s)) if i else ()
+            if not any(sum(map(str.isdigit, text[s:e])) > n and free(s, e) and card(text[s:e], key) for s, e in later):
+                return got
+    return next(filter(None, (tried(*x) for x in shapes)), None)
+
+
 def replacements(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym), by start, without overlaps: e-mails first, then the numbers' patterns in their order."""
+    """(start, end, kind, pseudonym), by start, without overlaps: e-mails first, then numbers from left to right.
+
+    Where no kind has a valid value from a start, the search goes on from the next one.
+    """
     found = []
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -208,12 +259,16 @@ def replacements(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), "email", new))
     if _DIGIT.search(text):
         taken = list(found)
-        for m in _NUMBERS.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in taken):
-                continue
-            new = _MAKE[m.lastgroup](m[0], key)
-            if new:
-                found.append((m.start(), m.end(), m.lastgroup, new))
+
+        def free(start: int, end: int) -> bool:
+            return not any(s < end and start < e for s, e, _, _ in taken)
+
+        at = 0
+        while m := _NUMBERS.search(text, at):
+            got = _number_at(text, m.start(), key, free)
+            if got:
+                found.append(got)
+            at = got[1] if got else m.start() + 1
     return sorted(found)
 
 

@@ -327,6 +327,23 @@ def test_pii_documents(spark, odd, nothing):
     assert pii.pseudonymise(nothing, b"key").count() == 0
 
 
+def test_pii_after_a_failed_match():
+    """What an over-matching pattern leaves after its check fails is searched again."""
+    kinds = lambda t: [(k, t[s:e]) for s, e, k, _ in pii.replacements(t, b"k")]
+    assert kinds("on 2023-05-01 2023-06-01 x") == [("date", "2023-05-01"), ("date", "2023-06-01")]
+    assert kinds("123-45-6789 987-65-4321") == [("ssn", "123-45-6789")]  # area 987 isn't given out
+    assert kinds("123-45-6789 887-65-4321") == [("ssn", "123-45-6789"), ("ssn", "887-65-4321")]
+    assert kinds("row 7 4111 1111 1111 1111") == [("card", "4111 1111 1111 1111")]
+    assert kinds("4111 1111 1111 1111 7 rows") == [("card", "4111 1111 1111 1111")]
+    assert kinds("4111 1111 1111 1111 5500 0000 0000 0004") == [("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")]
+    assert kinds("PAY DE89370400440532013000 AND THEN GO") == [("iban", "DE89370400440532013000")]
+    assert kinds("PAY DE89 3704 0044 0532 0130 00 AND 2024-05-06") == [("iban", "DE89 3704 0044 0532 0130 00"), ("date", "2024-05-06")]
+    assert kinds("DE89370400440532013000 A1@x.org") == [("iban", "DE89370400440532013000"), ("email", "A1@x.org")]
+    for day in range(1, 29):  # whatever the digits of the two make as a card
+        text = f"2023-05-{day:02d} 2023-06-{day:02d}"
+        assert kinds(text) == [("date", text[:10]), ("date", text[11:])]
+
+
 # quality
 
 def brute_statistics(t: str) -> tuple:
