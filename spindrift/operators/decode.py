@@ -1,8 +1,9 @@
-"""Model fitting on small samples: each fit in one task, parallel over a grid of settings and held-out rows."""
+"""Model fitting: on small samples each fit in one task, parallel over a grid of settings and held-out rows; linear ones on any number of rows from aggregated moments."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +91,100 @@ def loocv(samples: DataFrame, grid: DataFrame, kind: str = "regression") -> Data
     return scored.groupBy("components", "alpha", "gamma").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
 
 
+def _merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and centred scatter matrix of all parts together."""
+    n, mean, scatter = parts[0]
+    for more, m, s in parts[1:]:
+        away, both = m - mean, n + more
+        n, mean, scatter = both, mean + away * (more / both), scatter + s + np.outer(away, away) * (n * more / both)
+    return n, mean, scatter
+
+
+def moments(samples: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and centred scatter matrix over all rows; columns: arrays of one length each, or numbers, side by side.
+
+    Each task sums its own rows; 16 tasks merge those sums, and the driver merges 16.
+    """
+    shape = "n long, mean array<double>, scatter array<double>"
+
+    def packed(n, mean, scatter):
+        return pd.DataFrame({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]})
+
+    def unpacked(pdf):
+        return [(n, np.array(m), np.array(s).reshape(len(m), len(m))) for n, m, s in zip(pdf["n"], pdf["mean"], pdf["scatter"], strict=True)]
+
+    def sums(frames):
+        total = []
+        for pdf in frames:
+            if len(pdf):
+                x = joined(pdf, columns)
+                mean = x.mean(0)
+                total = [_merged([*total, (len(x), mean, (x - mean).T @ (x - mean))])]
+        if total:
+            yield packed(*total[0])
+
+    def merge(frames):
+        parts = [p for pdf in frames for p in unpacked(pdf)]
+        if parts:
+            yield packed(*_merged(parts))
+
+    parts = unpacked(samples.select(*columns).mapInPandas(sums, shape).repartition(16).mapInPandas(merge, shape).toPandas())
+    return _merged(parts) if parts else (0, np.zeros(0), np.zeros((0, 0)))
+
+
+def joined(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """The columns of a frame side by side, a row each."""
+    return np.hstack([np.array(pdf[c].tolist(), np.float64).reshape(len(pdf), -1) for c in columns])
+
+
+def components_of(scatter: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of scatter matrices (..., d, d) and, as columns, their vectors: pca() from moments."""
+    values, vectors = np.linalg.eigh(scatter)
+    values, vectors = values[..., ::-1][..., :k], vectors[..., ::-1][..., :k]
+    largest = np.take_along_axis(vectors, np.abs(vectors).argmax(-2)[..., None, :], -2)
+    return values, vectors * np.sign(largest)
+
+
+def pca_projection(samples: DataFrame, features: str, k: int):
+    """pca() of any number of rows: their scatter matrix is aggregated. Components beyond the rank are left out."""
+    n, center, scatter = moments(samples, [features])
+    values, vectors = components_of(scatter, k)
+    v = vectors[:, values > 1e-12 * max(values.max(initial=0), 0)]
+    return lambda new: (new - center) @ v
+
+
+def ridge_loocv(samples: DataFrame, grid: DataFrame) -> DataFrame:
+    """loocv() of the linear pipeline on numbers, for any number of samples (row, features, target).
+
+    The moments of all samples are aggregated; those without a held-out row follow by taking it away, and
+    the standardizer, the components and the weights come from these. One pass over the rows, in parallel.
+    """
+    settings = [(r["components"], r["alpha"], r["gamma"]) for r in grid.select("components", "alpha", F.col("gamma").cast("double").alias("gamma")).collect()]
+    n, mean, scatter = moments(samples, ["features", "target"])
+    most = max(s[0] for s in settings)
+
+    def run(frames):
+        for pdf in frames:
+            for start in range(0, len(pdf), 256):
+                w = joined(pdf[start : start + 256], ["features", "target"])
+                away, rest = w - mean, max(1, n - 1)
+                m, s = mean - away / rest, scatter - np.einsum("bi,bj->bij", away, away) * (n / rest)
+                sd = np.sqrt(np.maximum(0, np.einsum("bii->bi", s)[:, :-1]) / rest)
+                scale = np.where(sd > 1e-12, 1 / np.maximum(sd, 1e-300), 0.0)
+                values, vectors = components_of(s[:, :-1, :-1] * scale[:, :, None] * scale[:, None, :], most)
+                spread = np.sqrt(np.maximum(values, 0) / rest)
+                inside = (values > 1e-12 * values[:, :1]) & (spread > 1e-12)
+                unit = np.where(inside, 1 / np.where(inside, spread, 1.0), 0.0)
+                z = np.einsum("bi,bik->bk", (w[:, :-1] - m[:, :-1]) * scale, vectors) * unit
+                zy = np.einsum("bi,bik->bk", s[:, :-1, -1] * scale, vectors) * unit
+                for c, a, g in settings:  # components are uncorrelated, so each has its weight alone
+                    out = m[:, -1] + (z[:, :c] * zy[:, :c]).sum(1) / (rest + a)
+                    yield pd.DataFrame({"components": [c], "alpha": [a], "gamma": [g], "n": [len(w)], "score": [np.abs(out - w[:, -1]).sum()]})
+
+    made = samples.select("features", "target").mapInPandas(run, "components int, alpha double, gamma double, n long, score double")
+    return made.groupBy("components", "alpha", "gamma").agg(F.sum("n").alias("n"), (F.sum("score") / F.sum("n")).alias("score"))
+
+
 def best_setting(scored: DataFrame, largest: bool = True) -> DataFrame:
     """The best row; ties go to fewer components, then smaller alpha, then smaller gamma."""
     return scored.orderBy(F.desc("score") if largest else F.asc("score"), "components", "alpha", "gamma").limit(1)

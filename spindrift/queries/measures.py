@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as sc
@@ -233,8 +233,7 @@ def prediction_metrics(s, d):
 
 
 def _samples(s, d):
-    e = v.read(s, d, "embeddings").where("vec_id < 28").orderBy("vec_id")
-    return e.select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("target"))
+    return v.read(s, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("target"))
 
 
 def _grid(s, gammas=(None,)):
@@ -243,22 +242,27 @@ def _grid(s, gammas=(None,)):
 
 @query()
 def ridge_loocv(s, d):
-    return rounded(dec.loocv(_samples(s, d), _grid(s)), "score")
+    return rounded(dec.ridge_loocv(_samples(s, d), _grid(s)), "score")
 
 
+# the kernel has no aggregated form, so this one is fitted to 28 rows only: see the README
 @query()
 def rbf_loocv_best(s, d):
-    return dec.best_setting(dec.loocv(_samples(s, d), _grid(s, (0.05, 0.5)), "classification"))
+    return dec.best_setting(dec.loocv(_samples(s, d).where("row < 28"), _grid(s, (0.05, 0.5)), "classification"))
 
 
 @query()
 def pca_scores(s, d):
-    import numpy as np
+    samples = _samples(s, d)
+    project = dec.pca_projection(samples, "features", 3)
+
+    def scores(frames):
+        for pdf in frames:
+            if len(pdf):
+                z = project(dec.joined(pdf, ["features"]))
+                yield pd.DataFrame({"row": pdf["row"]} | {f"pc{i + 1}": z[:, i] for i in range(3)})
 
-    rows = _samples(s, d).collect()  # 28 rows, the query's own small sample
-    x = np.array([r["features"] for r in rows])
-    scores = dec.pca(x, 3)(x)
-    return s.createDataFrame([(r["row"], *map(float, z)) for r, z in zip(rows, scores, strict=True)], "row long, pc1 double, pc2 double, pc3 double")
+    return samples.mapInPandas(scores, "row long, pc1 double, pc2 double, pc3 double")
 
 
 _RATES = ", k AS (SELECT floor(time_d)::BIGINT AS chunk, count(*) FILTER (population = 'click')::DOUBLE AS r, count(*) FILTER (population = 'view')::DOUBLE AS l, count(*) FILTER (population = 'purchase')::DOUBLE AS dn FROM spikes GROUP BY 1), c AS (SELECT chunk, greatest(-0.5, least(0.5, (r - l) * 0.01)) AS dx, greatest(-0.5, least(0.5, dn * 0.01)) AS dy FROM k)"
