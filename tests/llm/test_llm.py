@@ -498,6 +498,19 @@ def test_format_secrets(spark):
     assert [(k, "x " + hidden + " y") for _, k, _ in scanner.scan("x " + hidden + " y")] and not scanner.scan("a perfectly-ordinary.hyphenated-word-of-2024 here")
 
 
+def test_format_secrets_short_and_glued():
+    rng = random.Random(5)
+    make = lambda first, n: first + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    scanner = secrets.Scanner({"long": Counter(make("Q7", 22) for _ in range(200)), "short": Counter(make("Z9", 8) for _ in range(200))}, Counter("plain words about things and nothing of note" * 50))
+    found = lambda t: [t[s:e] for s, k, e in scanner.scan(t) if k == len(secrets.KINDS)]
+    long, other, short = make("Q7", 22), make("Q7", 22), make("Z9", 8)
+    assert found(f"a {short} b") == [short]
+    for text in (f"see {long}.", f"GH={long}", f"path/{long}", f"x=1/{long}/etc", f"{long}==", f"{long}--", f"use {long}.Then"):
+        assert found(text) == [long], text
+    assert found(f"{long}/{other}") == [long, other] and found(f"k={short}={long}.") == [short, long]
+    assert found("plain/words=and.things 2024-05-06 nothing.of/note") == []
+
+
 def test_secrets_odd(odd, nothing):
     scanner = secrets.fit(odd)
     assert secrets.scan(odd.withColumn("secret_spans", F.lit("clash")), scanner).count() == odd.count()
