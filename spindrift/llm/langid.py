@@ -118,7 +118,7 @@ class Scorer:
     """Costs of words under a model: a matrix row per word, at most memo words at once."""
 
     def __init__(self, model: Model, memo: int = 400_000):
-        self.model, self.memo = model, min(memo, 4_000_000 // (len(model.languages) + 1))
+        self.model, self.memo = model, max(1, min(memo, 4_000_000 // (len(model.languages) + 1)))
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
 
@@ -144,19 +144,31 @@ class Scorer:
         self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.rows = np.concatenate([self.rows, made])
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, its posterior probability, and bits for each coded byte, of each text."""
-        split = [letters(t) if t else [] for t in texts]
+    def _add(self, group: list[tuple[int, list[str]]], total: np.ndarray) -> None:
+        """Add the words' costs to their texts' rows of total. A group has at most memo words."""
         if len(self.at) > self.memo:
             self.at, self.rows = {}, self.rows[:0]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.at]
+        new = [w for w in dict.fromkeys(w for _, words in group for w in words) if w not in self.at]
         if new:
             self.learn(new)
-        total = np.zeros((len(texts), self.rows.shape[1]))
         get = self.at.__getitem__
-        for i, words in enumerate(split):
-            if words:
-                total[i] = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
+        for i, words in group:
+            total[i] += self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its posterior probability, and bits for each coded byte, of each text."""
+        total = np.zeros((len(texts), self.rows.shape[1]))
+        group, words = [], 0
+        for i, t in enumerate(texts):
+            split = letters(t) if t else []
+            for start in range(0, len(split), self.memo):  # a part of a text only where it alone is more than a memo
+                part = split[start : start + self.memo]
+                if words + len(part) > self.memo:
+                    self._add(group, total)
+                    group, words = [], 0
+                group.append((i, part))
+                words += len(part)
+        self._add(group, total)
         cost, size = total[:, :-1], total[:, -1]
         if not self.model.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
@@ -168,24 +180,28 @@ class Scorer:
         return names, np.where(known, 1 / weight, 0.0), np.where(known, least / np.maximum(size, 1), 0.0)
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = 400, max_bytes: int = 1 << 20, max_languages: int = 64) -> Model:
-    """Train on a bounded sample of the labelled rows of docs.
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = 400, max_bytes: int = 1 << 20, total_bytes: int = 64 << 20) -> Model:
+    """Train on a bounded sample of the labelled rows of docs. Every language is learned.
 
     The bounds, the same at every input size: of each language the first max_docs documents by hash of id,
-    as whole texts, while they have at most max_bytes together (one document at least); the max_languages
-    languages with most documents. Rows with null lang, null text or an empty text teach nothing.
+    as whole texts, while they have at most its share together: max_bytes, or an equal part of total_bytes
+    where the languages are too many for that. Texts over an eighth of the share come after all others, the
+    shortest first, so that none shuts out those after it; a language has one document at least. Rows with
+    null lang, null text or an empty text teach nothing.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("text")).where("lang is not null and length(text) > 0")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    known = sizes.orderBy(F.desc("n"), "lang").limit(max_languages)
+    known = sizes.withColumn("share", F.least(F.lit(float(max_bytes)), F.lit(float(total_bytes)) / F.count("*").over(Window.partitionBy())))  # a row for each language, as the model has a tree
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
     # about twice max_docs rows of each language pass; an exact count follows on what is left
     near = rows.join(F.broadcast(known), "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < F.lit(float((1 << 30) * max_docs * 2)) + F.lit(float(1 << 30)) * 20)
-    order = Window.partitionBy("lang").orderBy("draw", "id", "text")
-    near = near.withColumn("at", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.where((F.col("at") <= max_docs) & ((F.col("bytes") <= max_bytes) | (F.col("at") == 1)))
+    size = F.octet_length("text")
+    near = near.withColumn("long", F.when(size * 8 > F.col("share"), size).otherwise(0))
+    order = Window.partitionBy("lang").orderBy("long", "draw", "id", "text")
+    near = near.withColumn("at", F.row_number().over(order)).withColumn("bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.where((F.col("at") <= max_docs) & ((F.col("bytes") <= F.col("share")) | (F.col("at") == 1)))
     counts: dict[str, Counter] = {}
-    for row in near.select("lang", "text").collect():  # at most max_languages x max_bytes
+    for row in near.select("lang", "text").collect():  # at most total_bytes, and a language's only document
         counts.setdefault(row["lang"], Counter()).update(letters(row["text"]))
     import hashlib
 

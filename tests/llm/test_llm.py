@@ -130,6 +130,29 @@ def test_langid_code_lengths():
         assert scorer.rows[i, 0] == pytest.approx(plain_ppm(words, w, langid.ORDER), abs=1e-9)
 
 
+def test_langid_learns_every_language(spark):
+    rows = [(100 * k + i, f"l{k:02d}", " ".join(chr(0x4E00 + 40 * k + (7 * i + j) % 40) * 2 for j in range(12))) for k in range(70) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert model.languages == sorted({r[1] for r in rows})
+    assert all(r.lang == r.lang_pred for r in langid.identify(docs, model).collect())
+
+
+def test_langid_long_texts_shut_none_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda counts, name: counts)
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26) * 3
+    rows = [(i, "a", f"{'long ' * 300_000 if i % 3 == 0 else ''}{word(i)}") for i in range(60)] + [(100, "b", "only " * 300_000)]
+    counts = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert set(counts["a"]) == {word(i) for i in range(60) if i % 3} and set(counts["b"]) == {"only"}
+
+
+def test_langid_groups_dont_matter():
+    model = langid.Model({"a": Counter(["hund", "katze"]), "b": Counter(["dog", "cat"])}, "m")
+    texts = ["hund und katze " * 5, None, "dog", "cat and dog and " * 4, ""]
+    (names, *want), (others, *got) = (langid.Scorer(model, memo).score(texts) for memo in (1000, 3))
+    assert names == others and all(np.allclose(x, y) for x, y in zip(want, got, strict=True))
+
+
 def test_langid_odd(odd, nothing):
     model = langid.fit(odd)
     out = {r.doc_id: r for r in langid.identify(odd.withColumn("score", F.lit("clash")), model).collect()}
