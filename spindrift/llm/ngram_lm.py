@@ -121,7 +121,7 @@ def _blocks(batches, id_type: pa.DataType):
         name = xxhash.xxh3_64()
         for r in rows:
             name.update(f"{r[0]}:{len(r[2])};".encode())
-            name.update(r[2][:64])
+            name.update(r[2])
         return int.from_bytes(name.digest()[:7], "big"), held, texts, np.array([r[1] for r in rows], np.int64), pa.array([r[0] for r in rows], id_type)
 
     for batch in batches:

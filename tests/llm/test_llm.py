@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -463,6 +464,13 @@ def test_lm_blocks_dont_matter(spark, documents, monkeypatch):
     np.testing.assert_allclose(one, many, rtol=1e-4)
 
 
+def test_lm_block_names():
+    """Blocks whose rows differ only late in their texts have names of their own."""
+    name = lambda t: next(ngram_lm._blocks([pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "weight": [1], "held": [False], "text": [t]})], pa.int64()))[0]
+    start = "the same opening words " * 4
+    assert name(start + "one") == name(start + "one") != name(start + "two")
+
+
 def test_lm_weights():
     cells = np.array([(3, 0, -8, 90), (3, 1, -8, 10), (5, 1, 1, 50)])
     w = ngram_lm.learn_weights(cells, 1e-4)
