@@ -40,6 +40,7 @@ class Rule:
 
     tokens: literal tokens that a match needs. Rules with listed=True are a site list's: of those that
     match the longest wins; other rules are general patterns and decide where no listed one matches.
+    any_of: where a match needs no token of all, tokens of which it needs one.
     """
 
     verdict: str
@@ -48,6 +49,7 @@ class Rule:
     tokens: tuple[str, ...]
     listed: bool = False
     length: int = 0
+    any_of: tuple[str, ...] = ()
 
 
 def site_rule(verdict: str, rule: str) -> Rule:
@@ -65,15 +67,15 @@ SITE_LIST = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 PATTERNS = (
     Rule("block", "spam host", r"\A(?:[^/]*[.-])?spam[.-]", ("spam",)),
     Rule("block", "casino host", r"\A(?:[^/]*[.-])?casino[.-]", ("casino",)),
-    Rule("block", "adult host", r"\A(?:[^/]*[.-])?(?:xxx|porn)[.-]", ()),
-    Rule("block", "login page", r"/(?:login|signin)(?:/|\.html|\Z)", ()),
+    Rule("block", "adult host", r"\A(?:[^/]*[.-])?(?:xxx|porn)[.-]", (), any_of=("xxx", "porn")),
+    Rule("block", "login page", r"/(?:login|signin)(?:/|\.html|\Z)", (), any_of=("login", "signin")),
     Rule("block", "shopping cart", r"/cart(?:/|\.html|\Z)", ("cart",)),
-    Rule("block", "binary download", r"\.(?:exe|zip|iso)\Z", ()),
+    Rule("block", "binary download", r"\.(?:exe|zip|iso)\Z", (), any_of=("exe", "zip", "iso")),
 )
 
 
 class Index:
-    """Rules by their rarest token. Rules without a token are candidates for every URL.
+    """Rules by their rarest token, or by each of those that a match needs one of. Rules without a token are candidates for every URL.
 
     Memory: the rules, which are the caller's parameter and don't grow with the URLs.
     """
@@ -88,6 +90,9 @@ class Index:
                 rarest = min(rule.tokens, key=lambda t: (frequency.get(t, 0), used[t], t))
                 used[rarest] += 1
                 self.by_token.setdefault(rarest, []).append(compiled)
+            elif rule.any_of:
+                for token in rule.any_of:
+                    self.by_token.setdefault(token, []).append(compiled)
             else:
                 self.always.append(compiled)
 

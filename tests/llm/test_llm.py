@@ -238,6 +238,15 @@ def test_url_rules(spark):
     assert urls.judge(pages.where("false")).count() == 0
 
 
+def test_url_patterns_are_indexed():
+    index = urls.Index(urls.PATTERNS, {})
+    assert not index.always
+    for url in ("http://xxx.a/b", "http://a-porn.b/", "http://a.b/login", "http://a.b/c/signin.html", "http://a.b/c.exe", "http://a.b/c/d.x.zip", "http://a.b/.iso", "http://a.b/cart", "http://axxx.b/", "http://a.b/logins", "http://a.b/c.exes", "http://a.b/LOGIN"):
+        where = "".join(urls.parts(url))
+        want = sorted(p.name for p in urls.PATTERNS if re.search(p.pattern, where))[:1]
+        assert index.judge(*urls.parts(url))[2] == (want[0] if want else None), url
+
+
 # near-duplicates
 
 def brute_components(texts: dict, width: int) -> dict:
