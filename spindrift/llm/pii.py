@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -33,15 +34,18 @@ class Permutation:
     ROUNDS = 8
 
     def __init__(self, key: bytes, tweak: str, size: int):
-        self.size, self.seed = size, key + tweak.encode() + str(size).encode()
+        self.size = size
+        self.secret = hashlib.blake2b(key + tweak.encode() + b":%x" % size, digest_size=32).digest()
         self.left = 1
         while self.left * self.left < size:
             self.left <<= 1
         self.right = -(-size // self.left)
+        self.width = (self.left.bit_length() + 7) // 8
 
     def _round(self, number: int, half: int) -> int:
-        digest = hashlib.blake2b(f"{number}:{half}".encode(), key=hashlib.blake2b(self.seed, digest_size=32).digest(), digest_size=32).digest()
-        return int.from_bytes(digest, "big")
+        """64 bits more than a half has, so that the remainder by its range is even."""
+        made = hashlib.shake_256(self.secret + bytes([number]) + half.to_bytes(self.width, "big"))
+        return int.from_bytes(made.digest(self.width + 8), "big")
 
     def _forward(self, value: int) -> int:
         a, b = divmod(value, self.right)
@@ -100,27 +104,48 @@ def _refill(shape: str, symbols: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+#: What a digit counts where Luhn's rule doubles it.
+_DOUBLED = {str(d): sum(divmod(2 * d, 10)) for d in range(10)}
+
+
 def luhn_digit(digits: str) -> str:
-    total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
-    return str(-total % 10)
+    return str(-(sum(map(int, digits[-2::-2])) + sum(map(_DOUBLED.__getitem__, digits[::-2]))) % 10)
 
 
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+#: Letters of a local part that are permuted as one number: as many as a valid one has (RFC 5321).
+LOCAL = 64
+
+
 def email(found: str, key: bytes) -> str | None:
-    """The local part changes, letters to letters and digits to digits; the domain stays. Case doesn't count."""
+    """The local part changes, letters to letters and digits to digits; the domain stays. Case doesn't count.
+
+    A local part over LOCAL characters is cut in pieces, each with a permutation of its own.
+    """
     local, _, domain = found.rpartition("@")
     low = local.lower()
-    classes = [next((cls for cls in _CLASSES[2:4] if c in cls), None) for c in low]
-    return f"{_permuted(low, classes, key, 'email@' + domain.lower())}@{domain}" if any(classes) else None
+    out, changed = [], False
+    for at in range(0, len(low), LOCAL):
+        piece = low[at : at + LOCAL]
+        classes = [_CLASSES[2] if c.isdigit() else _CLASSES[3] if c.isalpha() else None for c in piece]
+        changed |= any(classes)
+        out.append(_permuted(piece, classes, key, f"email{at}@{domain.lower()}") if any(classes) else piece)
+    return f"{''.join(out)}@{domain}" if changed else None
+
+
+def _card_digits(found: str) -> str:
+    """The digits of a valid card number, else nothing."""
+    digits = found.replace(" ", "").replace("-", "")
+    return digits if 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits.strip(digits[0]) else ""
 
 
 def card(found: str, key: bytes) -> str | None:
     """13 to 19 digits with a right Luhn digit; the first digit stays, and the Luhn digit is made right again."""
-    digits = re.sub(r"\D", "", found)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    digits = _card_digits(found)
+    if not digits:
         return None
     body = _permuted(digits[:-1], [None] + [_CLASSES[2]] * (len(digits) - 2), key, "card")
     return _refill(found, body + luhn_digit(body))
@@ -184,7 +209,8 @@ def date(found: str, key: bytes) -> str | None:
     return {"-": f"{new.year:04d}-{new.month:02d}-{new.day:02d}", ".": f"{new.day:02d}.{new.month:02d}.{new.year:04d}", "/": f"{new.month:02d}/{new.day:02d}/{new.year:04d}"}[mark]
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _NUMBERS = re.compile(
     r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9.+-])(?:"
@@ -241,27 +267,45 @@ def _number_at(text: str, start: int, key: bytes, free: Callable[[int, int], boo
         if got := tried("card", end):
             n = sum(map(str.isdigit, text[start:end]))
             later = ((s, e) for s in range(start + 1, end) for e in _ends("card", text, s)) if i else ()
-            if not any(sum(map(str.isdigit, text[s:e])) > n and free(s, e) and card(text[s:e], key) for s, e in later):
+            if not any(sum(map(str.isdigit, text[s:e])) > n and free(s, e) and _card_digits(text[s:e]) for s, e in later):
                 return got
     return next(filter(None, (tried(*x) for x in shapes)), None)
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of local parts with a domain of two labels or more, leftmost and non-overlapping.
+
+    Each @ looks left and right, never past the last one: linear in the text.
+    """
+    found, done, at = [], 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            found.append((start, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+    return found
+
+
 def replacements(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym), by start, without overlaps: e-mails first, then numbers from left to right.
 
-    Where no kind has a valid value from a start, the search goes on from the next one.
+    Where no kind has a valid value from a start, the search goes on from the next one. Linear in the text
+    but for the search in the e-mails, which is logarithmic for each number.
     """
     found = []
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            new = email(m[0], key)
-            if new:
-                found.append((m.start(), m.end(), "email", new))
+    for start, end in emails(text):
+        new = email(text[start:end], key)
+        if new:
+            found.append((start, end, "email", new))
     if _DIGIT.search(text):
-        taken = list(found)
+        starts, ends = [f[0] for f in found], [f[1] for f in found]
 
         def free(start: int, end: int) -> bool:
-            return not any(s < end and start < e for s, e, _, _ in taken)
+            i = bisect_left(starts, end)  # the last e-mail that starts before end
+            return not i or ends[i - 1] <= start
 
         at = 0
         while m := _NUMBERS.search(text, at):
@@ -304,6 +348,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: list[str
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text with pseudonyms, and how many values of each kind were found."""
+    """Every document's text with pseudonyms, and how many values of each kind were found.
+
+    A null text stays null with no values, an empty one empty; repeated rows each have their row.
+    """
     made = pseudonymise(common.table(spark, sf_dir, "documents").select("doc_id", "text"), b"a key of the operator's owner")
     return made.select("doc_id", "text", *[F.size(F.expr(f"filter(pii, p -> p.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in KINDS], "pii")
