@@ -541,7 +541,7 @@ def test_format_secrets(spark):
 def test_format_secrets_short_and_glued():
     rng = random.Random(5)
     make = lambda first, n: first + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
-    scanner = secrets.Scanner({"long": Counter(make("Q7", 22) for _ in range(200)), "short": Counter(make("Z9", 8) for _ in range(200))}, Counter("plain words about things and nothing of note" * 50))
+    scanner = secrets.Scanner({"long": Counter(make("Q7", 22) for _ in range(200)), "short": Counter(make("Z9", 8) for _ in range(200))}, secrets.pairs_of("plain words about things and nothing of note on 2024-05-06 " * 50))
     found = lambda t: [t[s:e] for s, k, e in scanner.scan(t) if k == len(secrets.KINDS)]
     long, other, short = make("Q7", 22), make("Q7", 22), make("Z9", 8)
     assert found(f"a {short} b") == [short]
