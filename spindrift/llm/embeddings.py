@@ -1,14 +1,19 @@
-"""Embedding near-duplicates (operator 9): collision counting over one-dimensional projections.
+"""Embedding near-duplicates (operator 9): collision counting over sorted one-dimensional projections.
 
-Unit vectors are projected on many random lines. For each pair that meets, the lines are counted on which
-the other's projection lies in the window centred on the query's: in sorted order, a run of ranks. A pair
-of the wanted cosine or more collides on each line with a known probability, so a count that all but one
+Unit vectors are projected on many random lines. On a sorted line the vectors whose projections lie in the
+window centred on a query's are a run of ranks; each is a collision of that pair. Pairs of the wanted
+cosine or more collide on each line with a known probability, so the count of collisions that all but one
 in 10,000 of them reach is known too; pairs that reach it are verified by cosine in double precision.
 
-Pairs meet without looking at all pairs: the lines form groups, and each group's projections together fall
-in a cell; two vectors meet if they share the cell of some group. Widths and numbers of groups make a pair
-at the wanted cosine miss with probability below 0.002, at cosines above it sooner still. Equal vectors are
-one class from a partial aggregate on. Crowded cells are worked in pairs of chunks.
+One line's windows alone would pair each vector with a fixed part of all vectors (a quarter at cosine 0.98).
+So a line is sorted within the grid cells of some others: lines form groups, the last line of each is
+sorted and its windows give the candidates among the vectors that share the cell of the group's other
+lines. How many lines a group has follows the logarithm of the number of vectors, so that a vector's
+candidates by chance don't grow with it; how many groups there are makes a pair at the wanted cosine
+miss them all with probability below 0.001, at cosines above it sooner still.
+
+Equal vectors are one class from a partial aggregate on. A sorted line is cut in stretches of four windows,
+each with the first window of the next; crowded stretches are worked in pairs of chunks.
 """
 
 from __future__ import annotations
@@ -26,42 +31,63 @@ from spindrift.llm import common
 from spindrift.llm.components import components
 from spindrift.llm.dedup import _Forest
 
-#: Vectors in one chunk of a cell; rows of cells that are worked at once.
-CHUNK, BATCH = 1024, 1024
+#: Vectors in one chunk of a stretch; rows of stretches that are worked at once; pairs looked at together.
+CHUNK, BATCH, PAIRS = 1024, 1024, 200_000
 
 
 class Lines:
-    """groups x per_group random lines, cell offsets, and the calibrated window and count for a cosine."""
+    """Random lines in groups, and the windows and the count calibrated for a cosine.
 
-    def __init__(self, dimension: int, cosine: float, groups: int = 24, per_group: int = 7, cell: float = 4.5, window: float = 1.5, miss: float = 1e-4, seed: int = 9):
-        random = np.random.default_rng([seed, dimension])
-        self.lines = random.standard_normal((dimension, groups * per_group))
-        self.offset = random.random(groups * per_group)
-        self.groups, self.per_group = groups, per_group
-        # the projections of two unit vectors differ by a normal deviate of this spread, at the wanted cosine
+    vectors: how many there are of a label, at most. cell, reach, window: in spreads of the difference of two
+    projections at the wanted cosine, the width of grid cells, and half the windows on sorted lines and
+    for counting. unmet: how often a pair at the cosine may meet in no group; miss: how often its count may
+    fall short. counted: lines that collisions are counted on, at most.
+    """
+
+    def __init__(self, dimension: int, cosine: float, vectors: int, cell: float = 4.5, reach: float = 2.5, window: float = 1.5, unmet: float = 1e-3, miss: float = 1e-4, counted: int = 168, seed: int = 9):
         spread = math.sqrt(2 - 2 * cosine)
-        self.cell, self.window = cell * spread, window * spread
+        self.cell, self.reach, self.window = cell * spread, np.float32(reach * spread), window * spread
+        # vectors at right angles share a cell of one line so often
+        chance = min(0.9, self.cell / math.sqrt(4 * math.pi))
+        self.per_group = max(2, math.ceil(math.log(max(vectors, 2)) / -math.log(chance)))
+        same_cell = 1 - math.sqrt(2 / math.pi) / cell
+        meet = same_cell ** (self.per_group - 1) * math.erf(reach / math.sqrt(2))
+        self.groups = max(1, math.ceil(math.log(unmet) / math.log1p(-meet)))
+        n = self.groups * self.per_group
+        random = np.random.default_rng([seed, dimension])
+        self.lines = random.standard_normal((dimension, n))
+        self.offset = random.random(n)
+        self.counted = min(n, counted)
         p = math.erf(window / math.sqrt(2))
-        n = groups * per_group
         # the largest count that a pair at the wanted cosine reaches with probability 1 - miss (binomial)
-        below, self.count = 0.0, 0
+        below, self.count, n = 0.0, 0, self.counted
         for k in range(n + 1):
             below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
             if below > miss:
                 self.count = k
                 break
 
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        """One cell number per vector and group, as int32 hashes (equal cells, equal numbers)."""
-        at = np.floor(unit @ self.lines / self.cell + self.offset).astype(np.int64).reshape(len(unit), self.groups, self.per_group)
+    def places(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each vector and group: its cell, its projection on the sorted line, its stretch of that line, and the one before or -1.
+
+        A cell is an int32 hash (equal cells, equal numbers), a stretch an int64 hash of cell and number. The stretch
+        before is given where a window from there reaches the vector.
+        """
+        projected = (unit @ self.lines).reshape(len(unit), self.groups, self.per_group)
+        at = np.floor(projected[:, :, :-1] / self.cell + self.offset.reshape(self.groups, self.per_group)[:, :-1]).astype(np.int64)
         out = np.zeros((len(unit), self.groups), np.uint64)
-        for k in range(self.per_group):
-            out = (out ^ at[:, :, k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        for k in range(self.per_group - 1):
+            out = _hashed(out, at[:, :, k])
+        cells = (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        spots = projected[:, :, -1].astype(np.float32)
+        wide = spots.astype(np.float64)
+        own = np.floor(wide / (4 * self.reach)).astype(np.int64)
+        before = np.floor((wide - 1.001 * self.reach) / (4 * self.reach)).astype(np.int64)
+        place = lambda number: (_hashed(cells.astype(np.int64).view(np.uint64), number) >> np.uint64(1)).view(np.int64)
+        return cells, spots, place(own), np.where(before < own, place(before), -1)
 
     def counts(self, projected: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each pair of rows of projected, on how many lines b lies in the window centred on a."""
+        """For each pair of rows of projected, on how many counted lines b lies in the window centred on a."""
         out = np.empty(len(a), np.int64)
         for i in range(0, len(a), 8192):
             gap = projected[a[i : i + 8192]]
@@ -71,21 +97,25 @@ class Lines:
         return out
 
 
+def _hashed(state: np.ndarray, number: np.ndarray) -> np.ndarray:
+    state = (state ^ number.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return state ^ (state >> np.uint64(29))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
-_FIELDS = [T.StructField("vector", T.BinaryType(), True), T.StructField("cells", T.BinaryType(), True), T.StructField("s1", T.LongType(), True), T.StructField("s2", T.LongType(), True)]
+_FIELDS = [T.StructField(n, t, True) for n, t in (("vector", T.BinaryType()), ("cells", T.BinaryType()), ("spots", T.BinaryType()), ("own", T.ArrayType(T.LongType())), ("before", T.ArrayType(T.LongType())), ("s1", T.LongType()), ("s2", T.LongType()))]
 
 
-def prepared(rows: DataFrame, cosine: float, options: dict, embedding: str = "embedding") -> DataFrame:
-    """rows with vector (doubles as bytes), cells, and a 128-bit name of the vector; all null where it links with nothing."""
+def prepared(rows: DataFrame, cosine: float, vectors: int, options: dict, embedding: str = "embedding") -> DataFrame:
+    """rows with vector (doubles as bytes), its places, and a 128-bit name of the vector; all null where it links with nothing."""
 
     def run(batches):
         lines: dict[int, Lines] = {}
         for batch in batches:
-            n = batch.num_rows
-            vector, cells, s1, s2 = [None] * n, [None] * n, [None] * n, [None] * n
+            made = {f.name: [None] * batch.num_rows for f in _FIELDS}
             by_size: dict[int, list[int]] = {}
             values = batch.column(batch.schema.get_field_index(embedding)).to_pylist()
             for i, v in enumerate(values):
@@ -93,79 +123,75 @@ def prepared(rows: DataFrame, cosine: float, options: dict, embedding: str = "em
                     by_size.setdefault(len(v), []).append(i)
             for size, where in by_size.items():
                 if size not in lines:
-                    lines[size] = Lines(size, cosine, **options)
+                    lines[size] = Lines(size, cosine, vectors, **options)
                 full = np.array([values[i] for i in where], np.float64) + 0.0  # no negative zeros
                 scale = np.abs(full).max(1)[:, None]
-                made = lines[size].cells(_unit(full / scale))
-                for i, v, c in zip(where, full, made, strict=True):
-                    vector[i], cells[i] = v.tobytes(), c.tobytes()
-                    s1[i], s2[i] = np.frombuffer(xxhash.xxh3_128_digest(vector[i]), np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vector, pa.binary()), pa.array(cells, pa.binary()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["id", "label", "vector", "cells", "s1", "s2"])
+                for i, v, cells, spots, own, before in zip(where, full, *lines[size].places(_unit(full / scale)), strict=True):
+                    raw = v.tobytes()
+                    s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist()
+                    for name, x in (("vector", raw), ("cells", cells.tobytes()), ("spots", spots.tobytes()), ("own", own), ("before", before), ("s1", s1), ("s2", s2)):
+                        made[name][i] = x
+            types = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(made.values(), types, strict=True))], names=["id", "label", *made])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], rows.schema["label"], *_FIELDS]))
 
 
-def _pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """Blocks of row pairs (a, b) that stand together: rows of one key, the left ones with the right ones, each pair once.
+def _windows(keys: np.ndarray, spots: np.ndarray, reach: float):
+    """Blocks of row pairs (a, b): rows, sorted by key and spot, of one key and with b in the window that starts at a."""
+    n = len(keys)
+    start = np.arange(n)
+    # keys far apart on one line: a window never reaches the next key
+    line = keys * (4.0 * float(np.abs(spots).max(initial=0.0)) + 8.0 * reach) + spots
+    many = np.searchsorted(line, line + 1.001 * reach, side="right") - start - 1
+    ends = np.cumsum(many)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+        k = many[first:last]
+        a = np.repeat(start[first:last], k)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        first = last
 
-    keys, sorted, tells cells apart; left and right say on which side of its chunk pair a row stands (both
-    where the two chunks are one). Many small cells go in one block, a crowded one in several.
-    """
-    ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else np.empty(0, np.int64)
-    some_a, some_b, n, start = [], [], 0, 0
-    for end in ends.tolist():
-        rows = np.arange(start, end)
-        start = end
-        one, two = rows[left[rows]], rows[right[rows]]
-        if len(rows) == 2 and left[rows].all() and right[rows].all():
-            a, b = rows[:1], rows[1:]
-        else:
-            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-            same = left[b] & right[a]
-            keep = ~same | (a < b)
-            a, b = a[keep], b[keep]
-        some_a.append(a)
-        some_b.append(b)
-        n += len(a)
-        if n >= 200_000:
-            yield np.concatenate(some_a), np.concatenate(some_b)
-            some_a, some_b, n = [], [], 0
-    if n:
-        yield np.concatenate(some_a), np.concatenate(some_b)
-
-
-def _links(cosine: float, options: dict):
-    """Links in a batch of cells, of pairs that share no earlier cell: counts per vector, and a spanning forest."""
+
+def _links(cosine: float, vectors: int, options: dict):
+    """Links in a batch of stretches, of pairs that met in no earlier group: counts per vector, and a spanning forest."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, copies, chunk, first, second, group = (np.array(table.column(c)).astype(np.int64) for c in ("id", "copies", "chunk", "first", "second", "group"))
+        ids, copies, chunk, first, second, group, place = (np.array(table.column(c)).astype(np.int64) for c in ("id", "copies", "chunk", "first", "second", "group", "place"))
         raw = table.column("vector").to_pylist()
+        guest = np.array(table.column("guest").combine_chunks())
         sizes = np.array([len(v) for v in raw])
-        place = np.array(table.column("place")).astype(np.int64)
-        cells = np.stack([np.frombuffer(c, np.int32) for c in table.column("cells").to_pylist()])
         label = np.array(table.column("label").combine_chunks().dictionary_encode().indices)
-        out: list[tuple] = []
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for size in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == size)
-            own = own[np.lexsort((ids[own], second[own], first[own], place[own]))]
-            lines = Lines(size // 8, cosine, **options)
-            vectors = np.stack([np.frombuffer(raw[i], np.float64) for i in own])
-            unit = _unit(vectors / np.abs(vectors).max(1)[:, None])
-            projected = unit @ lines.lines
-            keys = np.unique(np.stack([place[own], first[own], second[own]]), axis=1, return_inverse=True)[1].ravel()
-            for a, b in _pairs(keys, chunk[own] == first[own], chunk[own] == second[own]):
-                # earlier cells are those of lower groups
-                before = np.arange(cells.shape[1])[None, :] < group[own[a]][:, None]
-                fresh = ~((cells[own[a]] == cells[own[b]]) & before).any(1) & (label[own[a]] == label[own[b]])
+            lines = Lines(size // 8, cosine, vectors, **options)
+            every = np.stack([np.frombuffer(c, np.float32) for c in table.column("spots").take(pa.array(own)).to_pylist()])
+            spot = every[np.arange(len(own)), group[own]].astype(np.float64)
+            keys = np.unique(np.stack([place[own], first[own], second[own], group[own], label[own]]), axis=1, return_inverse=True)[1].ravel()
+            order = np.lexsort((ids[own], spot, keys))
+            own, every, spot, keys = own[order], every[order], spot[order], keys[order]
+            cells = np.stack([np.frombuffer(c, np.int32) for c in table.column("cells").take(pa.array(own)).to_pylist()])
+            matrix = np.stack([np.frombuffer(raw[i], np.float64) for i in own])
+            unit = _unit(matrix / np.abs(matrix).max(1)[:, None])
+            projected = unit @ lines.lines[:, : lines.counted]
+            for a, b in _windows(keys, spot, float(lines.reach)):
+                # one of each chunk, one at home in the stretch, and no collision in the groups before
+                p, q = own[a], own[b]
+                right = ((chunk[p] == first[p]) & (chunk[q] == second[q]) | (chunk[q] == first[p]) & (chunk[p] == second[q])) & ~(guest[p] & guest[q])
+                a, b = a[right], b[right]
+                together = (cells[a] == cells[b]) & (np.abs(every[a] - every[b]) <= lines.reach)
+                g = group[own[a]]
+                fresh = together[np.arange(len(a)), g] & (together.argmax(1) == g)
                 a, b = a[fresh], b[fresh]
                 near = lines.counts(projected, a, b) >= lines.count
                 a, b = a[near], b[near]
                 close = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-                a, b = own[a[close]], own[b[close]]
-                out.append((a, b))
-        a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
-        # a vector stands in several cells of a batch: by its id from here on
+                found_a.append(own[a[close]])
+                found_b.append(own[b[close]])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        # a vector stands in several stretches of a batch: by its id from here on
         names, at = np.unique(ids, return_inverse=True)
         links = np.bincount(at[a], copies[b], len(names)) + np.bincount(at[b], copies[a], len(names))
         some = np.flatnonzero(links)
@@ -180,28 +206,32 @@ def _links(cosine: float, options: dict):
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding: str = "embedding", label: str = "label", **options) -> DataFrame:
-    """(key, n_links, component_id, kept) for each row of rows.
+    """(key, n_links, component_id, kept) for each row of rows. Keys are whole numbers.
 
     Links: other vectors of an equal, non-null label with cosine >= cosine in double precision. Null or zero
     vectors, vectors with a null or non-finite component, null labels and null keys link with nothing and
     are kept; a null key has a null component_id. Vectors of different lengths don't link. Repeated rows are vectors of their
-    own: copies of one another, counted in n_links. Ties go to the smaller key.
+    own: copies of one another, counted in n_links. Ties go to the smaller key. options: those of Lines.
     """
-    base = rows.select(F.col(key).alias("id"), F.when(F.col(key).isNotNull(), F.col(label)).alias("label"), F.col(embedding).alias(embedding))
-    drawn = common.materialize(prepared(base, cosine, options, embedding), "vectors")
-    classes = common.materialize(drawn.where("s1 is not null").groupBy("label", "s1", "s2").agg(F.min("id").alias("member"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("cells").alias("cells")), "classes")
-
-    number = lambda g: F.conv(F.hex(F.substring("cells", 4 * g + 1, 4)), 16, 10).cast("long")
-    groups = options.get("groups", 24)
-    spread = classes.select("label", "member", F.posexplode(F.array(*[number(g) for g in range(groups)])).alias("group", "cell"))
-    crowded = spread.groupBy("label", "group", "cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int"))
-    met = spread.join(crowded, ["label", "group", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
+    base = rows.select(F.col(key).cast("long").alias("id"), F.when(F.col(key).isNotNull(), F.col(label)).alias("label"), F.col(embedding).alias(embedding))
+    vectors = base.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    drawn = common.materialize(prepared(base, cosine, vectors, options, embedding), "vectors")
+    known = ["vector", "cells", "spots", "own", "before"]
+    classes = common.materialize(drawn.where("s1 is not null").groupBy("label", "s1", "s2").agg(F.min("id").alias("member"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in known]), "classes")
+
+    home = classes.select("label", "member", F.posexplode("own").alias("group", "place"), F.lit(False).alias("guest"))
+    guests = classes.select("label", "member", F.posexplode("before").alias("group", "place"), F.lit(True).alias("guest")).where("place >= 0")
+    spread = home.unionByName(guests)
+    where = ["label", "group", "place"]
+    crowded = spread.groupBy(*where).agg(F.count("*").alias("size"), F.bool_and("guest").alias("guests")).where("size > 1 and not guests").withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("guests")
+    crowded = common.materialize(crowded, "stretches")
+    met = spread.join(crowded, where).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")})
-    rows_in_cells = crowded.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0
-    met = met.withColumn("place", F.xxhash64("label", "group", "cell")).withColumn("batch", F.pmod(F.xxhash64("place", "first", "second"), F.lit(max(1, rows_in_cells // BATCH))).cast("int"))
-    bodies = classes.select(F.col("member").alias("id"), F.col("label").alias("body_label"), "copies", "vector", "cells")
-    filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("batch", "label", "place", "group", "first", "second", "chunk", "id", "copies", "vector", "cells")
-    found = common.materialize(filled.groupBy("batch").applyInArrow(_links(cosine, options), "a long, b long, n long"), "links")
+    work = crowded.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0
+    met = met.withColumn("place", F.xxhash64(*where)).withColumn("batch", F.pmod(F.xxhash64("place", "first", "second"), F.lit(max(1, work // BATCH))).cast("int"))
+    bodies = classes.select(F.col("member").alias("id"), F.col("label").alias("body_label"), "copies", "vector", "cells", "spots")
+    filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("batch", "label", "place", "group", "guest", "first", "second", "chunk", "id", "copies", "vector", "cells", "spots")
+    found = common.materialize(filled.groupBy("batch").applyInArrow(_links(cosine, vectors, options), "a long, b long, n long"), "links")
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
@@ -212,7 +242,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id",
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and classes of all embeddings at cosine 0.98 within a label."""
+    """Links and classes of all embeddings at cosine 0.98 within a label. What vectors without links are is said above."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
