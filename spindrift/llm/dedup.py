@@ -6,9 +6,10 @@
 2. A bucket of two or more different sets has one centre: the member that shares most buckets. Its members
    and the centre form star-shaped candidate edges; over all buckets a centre gathers a family.
 3. A family is worked in chunks of bounded size, each with the centre's text. Whole sets are intersected:
-   centre against all members, and then each member that is not linked with the centre against all others,
-   over chunk borders too. So no link inside a family is lost, and links leave as a spanning forest:
-   fewer rows than members, never all pairs.
+   centre against all members, and then each member that is not linked with the centre against those that share
+   one of its rarest shingles, as many as a link can't do without (an exact prefix filter), over chunk
+   borders too. So no link inside a family is lost, texts that only share frequent shingles don't meet, and
+   links leave as a spanning forest: fewer rows than members, never all pairs.
 4. Components of the links; the smallest id names the class.
 """
 
@@ -26,6 +27,8 @@ from spindrift.llm.components import components
 
 #: Shingles that one chunk of a family may hold.
 CHUNK = 1_000_000
+#: Families of several chunks whose sizes may be broadcast, 3 MB.
+MOST_BROADCAST = 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _words: common.TwoGenerations | None = None
 
@@ -112,21 +115,49 @@ def sketched(docs: DataFrame, width: int, sketch: Sketch, key: str = "doc_id", t
 
 
 class _Block:
-    """Sets of one chunk side by side; intersects one set with all of them at once."""
+    """Sets of one chunk side by side, none of them empty; finds the sets linked with one of them."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.vocabulary, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
-
-    def links(self, other: np.ndarray, percent: int) -> np.ndarray:
-        """Which sets have 100 * intersection >= percent * union with other. All sets have a member."""
-        at = np.searchsorted(self.vocabulary, other)
-        at = at[(at < len(self.vocabulary))]
-        mask = np.zeros(len(self.vocabulary), np.int64)
-        mask[at[self.vocabulary[at] == other[: len(at)]]] = 1  # sorted: what lies beyond the vocabulary is last
-        both = np.add.reduceat(mask[self.flat], self.starts)
-        return 100 * both >= percent * (self.sizes + len(other) - both)
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        # shingles as numbers that rise with how many sets have them, so that a sorted set begins with its rarest
+        frequency = np.bincount(flat)
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[np.argsort(frequency, kind="stable")] = np.arange(len(vocabulary))
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        flat = rank[flat]
+        self.flat = flat[np.lexsort((flat, owner))]
+        self.mask = np.zeros(len(vocabulary), np.int64)
+        # linked sets share at least percent of the larger one, so at least one of as many of the rarest as may be missing and one
+        prefix = self.sizes - -(-percent * self.sizes // 100) + 1
+        rarest = np.arange(len(self.flat)) - self.starts[owner] < prefix[owner]
+        order = np.argsort(self.flat[rarest], kind="stable")
+        self.listed = owner[rarest][order]
+        self.ends = np.searchsorted(self.flat[rarest][order], np.arange(len(vocabulary) + 1))
+        self.prefix = prefix
+
+    def _linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+        sizes = self.sizes[others]
+        begins = np.cumsum(sizes) - sizes
+        self.mask[own] = 1
+        both = np.add.reduceat(self.mask[self.flat[np.repeat(self.starts[others] - begins, sizes) + np.arange(sizes.sum())]], begins)
+        self.mask[own] = 0
+        return others[100 * both >= self.percent * (sizes + self.sizes[i] - both)]
+
+    def links(self, i: int) -> np.ndarray:
+        """The sets with 100 * intersection >= percent * union with set i, by looking at all."""
+        return self._linked(i, np.arange(len(self.sizes)))
+
+    def near(self, i: int) -> np.ndarray:
+        """The same sets, by looking at those that share one of the rarest shingles."""
+        rarest = self.flat[self.starts[i] : self.starts[i] + self.prefix[i]]
+        others = np.unique(np.concatenate([self.listed[self.ends[r] : self.ends[r + 1]] for r in rarest.tolist()]))
+        sizes = self.sizes[others]
+        fit = 100 * np.minimum(sizes, self.sizes[i]) >= self.percent * np.maximum(sizes, self.sizes[i])
+        return self._linked(i, others[fit])
 
 
 class _Forest:
@@ -154,19 +185,19 @@ def _within_chunk(width: int, percent: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         center, ids = key[0].as_py(), table.column("member").to_pylist()
         sets = [shingles(t, width) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        block, forest, rows = _Block(sets), _Forest(len(ids)), []
+        block, forest, rows = _Block(sets, percent), _Forest(len(ids)), []
 
-        def link(i: int) -> None:
-            for j in np.flatnonzero(block.links(sets[i], percent)).tolist():
+        def link(i: int, others: np.ndarray) -> None:
+            for j in others.tolist():
                 if forest.join(i, j) and ids[i] != ids[j]:
                     rows.append((ids[i], ids[j], False))
 
         hub = ids.index(center) if center in ids else None
         if hub is not None:
-            link(hub)
+            link(hub, block.links(hub))
         for i in range(len(ids)):
             if hub is None or forest.find(i) != forest.find(hub):
-                link(i)
+                link(i, block.near(i))
         if table.column("chunks")[0].as_py() > 1:
             rows += [(ids[i], None, True) for i in range(len(ids)) if hub is None or forest.find(i) != forest.find(hub)]
         return pa.table({"center": pa.array([center] * len(rows), pa.int64()), "a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "loose": pa.array([r[2] for r in rows], pa.bool_())})
@@ -179,16 +210,14 @@ def _across_chunks(width: int, percent: int):
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, loose = table.column("member").to_pylist(), table.column("loose").to_pylist()
-        sets = [shingles(t, width) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        inside = [i for i in range(len(ids)) if not loose[i]]
         rows = []
-        if inside:
-            block, forest = _Block([sets[i] for i in inside]), _Forest(len(ids))
+        if any(loose) and not all(loose):
+            block, forest = _Block([shingles(t, width) for t in table.column("text").cast(pa.binary()).to_pylist()], percent), _Forest(len(ids))
             for i in range(len(ids)):
                 if loose[i]:
-                    for j in np.flatnonzero(block.links(sets[i], percent)).tolist():
-                        if forest.join(i, inside[j]) and ids[i] != ids[inside[j]]:
-                            rows.append((ids[i], ids[inside[j]]))
+                    for j in block.near(i).tolist():
+                        if not loose[j] and forest.join(i, j) and ids[i] != ids[j]:
+                            rows.append((ids[i], ids[j]))
         return pa.table({"center": pa.array([key[0].as_py()] * len(rows), pa.int64()), "a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "loose": pa.array([False] * len(rows), pa.bool_())})
 
     return work
@@ -207,7 +236,7 @@ def _across(members: DataFrame, found: DataFrame, width: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of docs.
+    """(key, n_shingles, component_id, kept) for each row of docs. Keys are whole numbers.
 
     Links: 100 * intersection >= percent * union of whole shingle sets, each confirmed on the sets.
     Candidates share a band; with the defaults two sets of similarity 0.8 do with probability 1 - 3e-6.
@@ -230,20 +259,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     center = shared.join(company, "member").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("member")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("center"))
     family = shared.join(center, "bucket").select("center", "member", "n").distinct()
     family = common.materialize(family, "families")
-    chunks = family.groupBy("center").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    placed = family.join(chunks, "center").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
-    everywhere = placed.where("member = center and chunks > 1").select("center", "member", "n", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    placed = placed.where("member <> center or chunks = 1").unionByName(everywhere)
+    # families of several chunks: at most a row for each CHUNK shingles of all families, sent to all tasks up to a bound
+    chunks = family.groupBy("center").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK)
+    chunks = common.materialize(chunks.select("center", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("several")), "chunks")
+    large = chunks.count()
+    placed = family.join(F.broadcast(chunks) if large <= MOST_BROADCAST else chunks, "center", "left").withColumn("chunks", F.coalesce("several", F.lit(1))).drop("several")
+    # the centre stands in every chunk
+    chunk = F.when(F.col("member") == F.col("center"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")))
+    placed = placed.withColumn("chunk", F.explode(chunk))
 
     texts = docs.select(F.col(key).alias("member"), F.col(text).alias("text")).where("text is not null")
     # by a shuffle of the texts at every size: a broadcast of the members would end at some size
     filled = placed.hint("merge").join(texts, "member").select("center", "chunk", "chunks", "member", "n", "text")
-    several = not chunks.where("chunks > 1").isEmpty()
-    if several:  # their texts are needed twice, and then lie in the shared folder
+    if large:  # their texts are needed twice, and then lie in the shared folder
         filled = common.materialize(filled, "members")
     found = common.materialize(filled.select("center", "chunk", "chunks", "member", "text").groupBy("center", "chunk").applyInArrow(_within_chunk(width, percent), _LINKS), "links")
     links = found.where("not loose").select("a", "b")
-    if several:
+    if large:
         links = links.unionByName(_across(filled.where("chunks > 1"), found, width, percent).select("a", "b"))
 
     roots = components(links)
@@ -254,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8."""
+    """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8. Null, wordless and repeated rows: as said above."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
 
 
