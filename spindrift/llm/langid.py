@@ -114,46 +114,72 @@ class Model:
         self.trees = [ContextTree(counts[x]) for x in self.languages]
 
 
+#: Letters of a word that is remembered, at most; bytes of a longer one that are costed at once.
+LONGEST, PART = 64, 1 << 16
+
+
 class Scorer:
-    """Costs of words under a model: a matrix row per word, at most memo words at once."""
+    """Costs of words under a model: a matrix row per word, at most memo words of LONGEST letters at once.
+
+    Longer words (a line in a script without spaces is one) are costed part by part and not remembered.
+    """
 
     def __init__(self, model: Model, memo: int = 400_000):
         self.model, self.memo = model, max(1, min(memo, 4_000_000 // (len(model.languages) + 1)))
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
 
+    def _bits(self, flat: np.ndarray, depth: np.ndarray, coded: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """A row per word: bits by language, and bytes, of the coded ones of flat; depth: how many bytes of its word are before each."""
+        made = np.zeros((words, len(self.model.languages) + 1))
+        grams = [flat]
+        for k in range(1, ORDER + 1):
+            longer = grams[-1].copy()
+            longer[k:] += flat[:-k] << 8 * k
+            grams.append(longer)
+        grams, depth = [g[coded] for g in grams], depth[coded]
+        for i, tree in enumerate(self.model.trees):
+            made[:, i] = np.bincount(word, tree.cost(grams, depth), words)
+        made[:, -1] = np.bincount(word, minlength=words)
+        return made
+
     def learn(self, words: list[str]) -> None:
         codes = [_coded(w) for w in words]
         flat = np.frombuffer(b"".join(codes), np.uint8).astype(np.int64)
         sizes = np.array([len(c) for c in codes], np.int64)
-        made = np.zeros((len(words), len(self.model.languages) + 1))
-        if len(flat):
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            depth = np.arange(len(flat)) - np.repeat(starts, sizes)
-            grams = [flat]
-            for k in range(1, ORDER + 1):
-                longer = grams[-1].copy()
-                longer[k:] += flat[:-k] << 8 * k
-                grams.append(longer)
-            coded = np.flatnonzero(depth > 0)  # the opening space is given
-            grams, depth = [g[coded] for g in grams], depth[coded]
-            word = np.repeat(np.arange(len(words)), np.maximum(sizes - 1, 0))
-            for i, tree in enumerate(self.model.trees):
-                made[:, i] = np.bincount(word, tree.cost(grams, depth), len(words))
-            made[:, -1] = np.maximum(sizes - 1, 0)
+        starts = np.cumsum(sizes) - sizes
+        depth = np.arange(len(flat)) - np.repeat(starts, sizes)
+        coded = np.flatnonzero(depth > 0)  # the opening space is given
+        made = self._bits(flat, depth, coded, np.repeat(np.arange(len(words)), np.maximum(sizes - 1, 0)), len(words)) if len(flat) else np.zeros((len(words), self.rows.shape[1]))
         self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.rows = np.concatenate([self.rows, made])
 
+    def _long(self, word: str) -> np.ndarray:
+        flat = np.frombuffer(_coded(word), np.uint8)
+        total = np.zeros(self.rows.shape[1])
+        for start in range(1, len(flat), PART):
+            first = max(0, start - ORDER)
+            part = flat[first : start + PART].astype(np.int64)
+            coded = np.arange(start - first, len(part))
+            total += self._bits(part, np.arange(first, first + len(part)), coded, np.zeros(len(coded), np.int64), 1)[0]
+        return total
+
     def _add(self, group: list[tuple[int, list[str]]], total: np.ndarray) -> None:
         """Add the words' costs to their texts' rows of total. A group has at most memo words."""
         if len(self.at) > self.memo:
             self.at, self.rows = {}, self.rows[:0]
-        new = [w for w in dict.fromkeys(w for _, words in group for w in words) if w not in self.at]
+        new = [w for w in dict.fromkeys(w for _, words in group for w in words) if w not in self.at and len(w) <= LONGEST]
         if new:
             self.learn(new)
-        get = self.at.__getitem__
+        get = self.at.get
         for i, words in group:
-            total[i] += self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
+            at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            known = at >= 0
+            if not known.all():
+                for j in np.flatnonzero(~known):
+                    total[i] += self._long(words[j])
+                at = at[known]
+            total[i] += self.rows[at].sum(0)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its posterior probability, and bits for each coded byte, of each text."""
@@ -209,16 +235,17 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     return Model(counts, name)
 
 
-FIELDS = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("bits_per_byte", T.DoubleType(), False)]
+NAMES = ("lang_pred", "score", "bits_per_byte")
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score (the language's posterior probability, even priors) and bits_per_byte.
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs with lang_pred, score (the language's posterior probability, even priors) and bits_per_byte, called as names says.
 
     Narrow. Null text, or text without a letter: und, 0, 0. Ties go to the first language by name. Without
     any labelled text all is und. Columns of these names are replaced; repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as fit() says
+    fields = [T.StructField(n, t, False) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)]
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         common.sole_memo("langid", _live.clear)
@@ -226,19 +253,22 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         if name not in _live:
             _live.clear()
             _live[name] = Scorer(shared.value)
-        names, score, bits = _live[name].score(common.texts_of(part, text))
-        return [pa.array(names, pa.string()), pa.array(score), pa.array(bits)]
+        found, score, bits = _live[name].score(common.texts_of(part, text))
+        return [pa.array(found, pa.string()), pa.array(score), pa.array(bits)]
 
-    return common.add_columns(docs, FIELDS, compute, text, keep)
+    return common.add_columns(docs, fields, compute, text, keep)
 
 
-def rejected(bits_limit: float = 8.0):
+def rejected(bits_limit: float = 8.0, names: tuple[str, str, str] = NAMES):
     """Documents in no learned language: und, or coded no better than raw bytes."""
-    return (F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") >= bits_limit)
+    return (F.col(names[0]) == UNKNOWN) | (F.col(names[2]) >= bits_limit)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text of documents, learned from the folds that aren't held out."""
+    """Language of every whole text of documents, learned from the folds that aren't held out.
+
+    Null texts and those without a letter are und; ties go to the first language by name; repeated rows each have their row.
+    """
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs.where(common.fold("doc_id", 3) != 1))
     return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")

@@ -154,6 +154,34 @@ def test_langid_groups_dont_matter():
     assert names == others and all(np.allclose(x, y) for x, y in zip(want, got, strict=True))
 
 
+def test_langid_long_words():
+    """A word of any length costs what its definition says, and is not remembered."""
+    model = langid.Model({"a": Counter(["hund", "katze"]), "b": Counter(["dog", "cat"])}, "m")
+    word = "hundkatze" * 40_000 + "é"
+    plain, parts = langid.Scorer(model), langid.Scorer(model)
+    plain.learn([word])
+    names, score, bits = parts.score([word, f"dog {word} cat"])
+    assert not any(len(w) > langid.LONGEST for w in parts.at) and names == ["a", "a"]
+    assert bits[0] == pytest.approx(plain.rows[0, :-1].min() / plain.rows[0, -1]) and plain.rows[0, -1] == len(word.encode()) + 1
+
+
+def test_langid_query_brute(spark, sf, documents):
+    """lang_pred and score of the query from plainly added code lengths."""
+    docs = documents.collect()
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 for r in docs}
+    model = langid.fit(documents.where(~F.col("doc_id").isin([i for i, f in fold.items() if f == 1])))
+    got = {r.doc_id: r for r in queries.queries()["op1_language"](spark, sf).collect()}
+    scorer = langid.Scorer(model)
+    words = sorted({w for r in docs[:60] for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())})
+    scorer.learn(words)
+    for r in docs[:60]:
+        cost = sum((scorer.rows[scorer.at[w], :-1] for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())), np.zeros(len(model.languages)))
+        if not cost.any():
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+        else:
+            assert got[r.doc_id].lang_pred == model.languages[cost.argmin()] and got[r.doc_id].score == pytest.approx(1 / np.exp2(cost.min() - cost).sum())
+
+
 def test_langid_odd(odd, nothing):
     model = langid.fit(odd)
     out = {r.doc_id: r for r in langid.identify(odd.withColumn("score", F.lit("clash")), model).collect()}
