@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.operators.storage import materialize  # noqa: F401  for the operators here
+from spindrift.operators.storage import discard, materialize  # noqa: F401  for the operators here
 
 #: Bytes of text that one Arrow slice may hold; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20

@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     center = shared.join(company, "member").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("member")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("center"))
     family = shared.join(center, "bucket").select("center", "member", "n").distinct()
     family = common.materialize(family, "families")
+    common.discard(shared)
     # families of several chunks: at most a row for each CHUNK shingles of all families, sent to all tasks up to a bound
     chunks = family.groupBy("center").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK)
     chunks = common.materialize(chunks.select("center", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("several")), "chunks")
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links = links.unionByName(_across(filled.where("chunks > 1"), found, width, percent).select("a", "b"))
 
     roots = components(links)
+    common.discard(family, chunks, filled, found)
     named = classes.select("s1", "s2", "member").join(roots, classes["member"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "member").alias("root"))
     out = drawn.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("root", "id"))

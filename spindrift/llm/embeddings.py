@@ -232,6 +232,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     bodies = classes.select(F.col("member").alias("id"), F.col("label").alias("body_label"), "copies", "vector", "cells", "spots")
     filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("batch", "label", "place", "group", "guest", "first", "second", "chunk", "id", "copies", "vector", "cells", "spots")
     found = common.materialize(filled.groupBy("batch").applyInArrow(_links(cosine, vectors, options), "a long, b long, n long"), "links")
+    common.discard(crowded)
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
