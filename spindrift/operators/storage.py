@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that materialize() writes inside of the block, for discard() after it."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that materialize() gave, once all that was made from them is written too. Other tables are left alone."""
     for df in tables:
