@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import bpe, common, dedup, langid, mixing, secrets
+from spindrift.operators import storage
 
 
 #: What a stage adds for itself, by names that no column of documents has.
@@ -67,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again. Its other tables go then, and those rows before."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with storage.scratch() as made:
+            after = common.materialize(stage(spark, docs, sf_dir), name)
+        common.discard(docs, *[table for table in made if table is not after])
+        docs = after
     return docs
