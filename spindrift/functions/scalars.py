@@ -33,9 +33,16 @@ def position(x: Column, extent: Column) -> Column:
     return clamp(x / F.greatest(F.lit(1.0), extent - 1), 0.0, 1.0)
 
 
+#: Small letters of European languages that full case folding replaces. Fixed values.
+FOLDED = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ"}
+
+
 def normalized_goal(text: Column) -> Column:
-    """Lower case, white space collapsed; null where nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), F.lit(""))
+    """Case folded (lower case, and the letters that folding writes out), white space collapsed; null where nothing is left."""
+    folded = F.lower(text)
+    for letter, out in FOLDED.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(out))
+    return F.nullif(F.trim(F.regexp_replace(folded, r"\s+", " ")), F.lit(""))
 
 
 def normalized_header(text: Column) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import folds
+
 
 def standardize(train: np.ndarray, *others: np.ndarray, floor: float = 1e-12) -> list[np.ndarray]:
     """Columns to mean 0, deviation 1 (population) by the training rows; constant columns become 0."""
@@ -64,13 +67,53 @@ def pipeline(x: np.ndarray, y: np.ndarray, components: int, alpha: float, gamma:
     return lambda new: fit(project(standardize(x, new)[1]))
 
 
-def loocv(samples: DataFrame, grid: DataFrame, kind: str = "regression") -> DataFrame:
+def held_out_score(x: np.ndarray, target: np.ndarray, components: int, alpha: float, gamma: float | None, kind: str) -> float | None:
+    """Leave-one-out score of one setting: mean absolute error, or accuracy of the largest of one-hot scores (ties: the first class)."""
+    if len(x) < 2:
+        return None
+    classes = np.unique(target)
+    y = target.astype(np.float64)[:, None] if kind == "regression" else (target[:, None] == classes[None]).astype(np.float64)
+    errors = []
+    for held in range(len(x)):
+        keep = np.arange(len(x)) != held
+        out = pipeline(x[keep], y[keep], components, alpha, gamma)(x[held : held + 1])[0]
+        errors.append(abs(out[0] - y[held, 0]) if kind == "regression" else float(out.argmax() == y[held].argmax()))
+    return float(np.mean(errors))
+
+
+def loocv_sets(samples: DataFrame, grid: DataFrame, kind: str = "classification") -> DataFrame:
+    """(set, components, alpha, gamma, n, score): leave-one-out of every setting of grid in each set of samples (set, row, features, target).
+
+    A set is one experiment's samples, few by nature; sets are worked side by side. A set of one row has a null score.
+    """
+    settings = [(int(r["components"]), float(r["alpha"]), r["gamma"]) for r in grid.select("components", "alpha", F.col("gamma").cast("double").alias("gamma")).collect()]
+
+    def work(key, table):
+        table = table.sort_by("row")
+        x = np.array(table.column("features").to_pylist(), np.float64)
+        target = np.array(table.column("target").to_pylist())
+        rows = [(key[0].as_py(), c, a, g, len(x), held_out_score(x, target, c, a, g, kind)) for c, a, g in settings]
+        types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(("set", "components", "alpha", "gamma", "n", "score"), types, strict=True))})
+
+    return samples.select("set", "row", "features", "target").groupBy("set").applyInArrow(work, "set long, components int, alpha double, gamma double, n long, score double")
+
+
+def best_settings(scored: DataFrame, by: list[str], largest: bool = True) -> DataFrame:
+    """The best row of each group; ties go to fewer components, then smaller alpha, then smaller gamma."""
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("score") if largest else F.asc_nulls_last("score"), "components", "alpha", "gamma")
+    return scored.withColumn("__at", F.row_number().over(order)).where("__at = 1").drop("__at")
+
+
+def loocv(samples: DataFrame, grid: DataFrame, kind: str = "regression", most: int = 5_000) -> DataFrame:
     """(components, alpha, gamma, n, score): leave-one-out over samples (row, features, target) for every row of grid (components, alpha, gamma).
 
     regression: mean absolute error; classification: accuracy of the largest of one-hot scores (ties: the
-    first class). Each pair of setting and held-out row is a task's row; the samples, which have to be few,
-    go along with the function.
+    first class). Each pair of setting and held-out row is a task's row; the samples go along with the
+    function, and more than most of them raise.
     """
+    if samples.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} samples: see ridge_loocv() and loocv_sets()")
     table = samples.orderBy("row").toPandas()
     x = np.array(table["features"].tolist(), np.float64)
     target = table["target"].to_numpy()
@@ -223,29 +266,18 @@ def motor_rates(rates: DataFrame, gain: float, most: float, click_hz: float = 20
 
 
 def cursor_path(commands: DataFrame, by: list[str], order: str, dx: str, dy: str, step: float, start: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """(by, position, x, y): a cursor moved by commands and kept inside 0..1 after each, as a fold over the ordered commands."""
-    keep = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    packed = commands.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, F.col(dx).alias("dx"), F.col(dy).alias("dy")))).alias("cs"))
-    zero = F.struct(F.lit(start[0]).alias("x"), F.lit(start[1]).alias("y"), F.expr("cast(array() as array<struct<x:double,y:double>>)").alias("path"))
-
-    def move(acc, c):
-        at = F.struct(keep(acc["x"] + c["dx"] * step).alias("x"), keep(acc["y"] + c["dy"] * step).alias("y"))
-        return F.struct(at["x"].alias("x"), at["y"].alias("y"), F.concat(acc["path"], F.array(at)).alias("path"))
-
-    return packed.select(*by, F.posexplode(F.aggregate("cs", zero, move)["path"]).alias("position", "at")).select(*by, "position", "at.x", "at.y")
+    """(by, position, x, y): a cursor moved by commands and kept inside 0..1 after each."""
+    return folds.folded(commands, by, [order], {"x": F.col(dx) * step, "y": F.col(dy) * step}, folds.clamped_walk(0.0, 1.0, start, ("x", "y")), "x double, y double")
 
 
 def hysteresis(scores: DataFrame, by: list[str], order: str, margin: str, threshold: float) -> DataFrame:
     """(by, position, action): the sign of margin, but a reversal needs |margin| of at least threshold."""
-    packed = scores.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(margin).alias("m")))), lambda s: s["m"]).alias("ms"))
-    zero = F.struct(F.lit(0).alias("last"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def choose(acc, m):
-        raw = F.when(m >= 0, 1).otherwise(-1)
-        action = F.when((acc["last"] != 0) & (raw != acc["last"]) & (F.abs(m) < threshold), acc["last"]).otherwise(raw)
-        return F.struct(action.alias("last"), F.concat(acc["out"], F.array(action)).alias("out"))
+    def choose(last, m):
+        raw = 1 if m >= 0 else -1
+        return last if last and raw != last and abs(m) < threshold else raw
 
-    return packed.select(*by, F.posexplode(F.aggregate("ms", zero, choose)["out"]).alias("position", "action"))
+    return folds.folded(scores, by, [order], {"m": F.col(margin).cast("double")}, folds.machine((-1, 0, 1), 0, choose, ("m",), lambda before, after, m: {"action": after}), "action int")
 
 
 def episodes(path: DataFrame, by: list[str], order: str, target: tuple[float, float], radius: float) -> DataFrame:

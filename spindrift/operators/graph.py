@@ -99,43 +99,54 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(a, "source_index").join(b, "target_index").select("local_source", "local_target", "synapse_count", "source_index", "target_index")
 
 
-def distances(neurons: DataFrame, edges: DataFrame, sources: DataFrame, hops: int, forward: bool = True) -> DataFrame:
-    """(node, distance): bounded breadth-first search. A neuron without sign is reached but doesn't pass on.
+def carrying(neurons: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_index, target_index) of edges whose source has a sign: what searches walk on, written once for all of their hops."""
+    carriers = neurons.where("sign <> 0").select(F.col("neuron_index").alias("source_index"))
+    return storage.materialize(edges.join(carriers, "source_index", "left_semi").select("source_index", "target_index"), "carrying")
 
-    forward: from the sources along edges; else against them, where the presynaptic neuron must have a sign.
-    Each hop joins the frontier with the edges and leaves out what is known; its result is written to the
-    shared folder, so plans stay one hop deep.
+
+def _search(start: DataFrame, walk: DataFrame, hops: int) -> DataFrame:
+    """start (keys and node) with distance 0, and what walk (node, next) reaches from it within hops.
+
+    A hop joins the last frontier with the edges and leaves out what is known. Only the new frontier is written, to
+    the shared folder, so plans stay one hop deep; what is known is the union of the frontiers.
     """
-    carriers = neurons.where("sign <> 0").select(F.col("neuron_index").alias("source_index"))
-    usable = edges.join(carriers, "source_index", "left_semi").select("source_index", "target_index")
-    if forward:
-        usable = usable.select(F.col("source_index").alias("node"), F.col("target_index").alias("next"))
-    else:
-        usable = usable.select(F.col("target_index").alias("node"), F.col("source_index").alias("next"))
-    found = sources.select(F.col("neuron_index").alias("node")).distinct().withColumn("distance", F.lit(0))
+    keys = start.columns
+    frontier = storage.materialize(start.withColumn("distance", F.lit(0)), "hop")
+    found = frontier
     for hop in range(1, hops + 1):
-        new = found.where(F.col("distance") == hop - 1).join(usable, "node").select(F.col("next").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
-        found = storage.materialize(found.unionByName(new.withColumn("distance", F.lit(hop))), "hops")
+        ahead = frontier.drop("distance").join(walk, "node").drop("node").withColumnRenamed("next", "node").select(*keys).distinct()
+        frontier = storage.materialize(ahead.join(found.select(*keys), keys, "left_anti").withColumn("distance", F.lit(hop)), "hop")
+        found = found.unionByName(frontier)
     return found
 
 
-def batched_reverse(neurons: DataFrame, edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
+def distances(neurons: DataFrame, edges: DataFrame, sources: DataFrame, hops: int, forward: bool = True, walk: DataFrame | None = None) -> DataFrame:
+    """(node, distance): bounded breadth-first search. A neuron without sign is reached but doesn't pass on.
+
+    forward: from the sources along edges; else against them, where the presynaptic neuron must have a sign.
+    walk: carrying(neurons, edges), where it is written already.
+    """
+    walk = carrying(neurons, edges) if walk is None else walk
+    at, to = ("source_index", "target_index") if forward else ("target_index", "source_index")
+    return _search(sources.select(F.col("neuron_index").alias("node")).distinct(), walk.select(F.col(at).alias("node"), F.col(to).alias("next")), hops)
+
+
+def batched_reverse(neurons: DataFrame, edges: DataFrame, targets: DataFrame, hops: int, walk: DataFrame | None = None) -> DataFrame:
     """(target, node, distance): reverse search from every target at once."""
-    carriers = neurons.where("sign <> 0").select(F.col("neuron_index").alias("source_index"))
-    usable = edges.join(carriers, "source_index", "left_semi").select(F.col("target_index").alias("node"), F.col("source_index").alias("next"))
-    found = targets.select(F.col("neuron_index").alias("target"), F.col("neuron_index").alias("node")).distinct().withColumn("distance", F.lit(0))
-    for hop in range(1, hops + 1):
-        new = found.where(F.col("distance") == hop - 1).join(usable, "node").select("target", F.col("next").alias("node")).distinct().join(found.select("target", "node"), ["target", "node"], "left_anti")
-        found = storage.materialize(found.unionByName(new.withColumn("distance", F.lit(hop))), "hops")
-    return found
+    walk = carrying(neurons, edges) if walk is None else walk
+    start = targets.select(F.col("neuron_index").alias("target"), F.col("neuron_index").alias("node")).distinct()
+    return _search(start, walk.select(F.col("target_index").alias("node"), F.col("source_index").alias("next")), hops)
 
 
 def path_layers(neurons: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """(target, length, layer, node): nodes on shortest effective paths from the sources to each target within hops."""
-    ahead = distances(neurons, edges, sources, hops)
-    back = batched_reverse(neurons, edges, targets, hops)
+    """(target, length, layer, node): nodes on shortest effective paths from the sources to each target within hops. A written table."""
+    walk = carrying(neurons, edges)
+    ahead = distances(neurons, edges, sources, hops, walk=walk)
+    back = batched_reverse(neurons, edges, targets, hops, walk=walk)
     length = ahead.join(targets.select(F.col("neuron_index").alias("node")).distinct(), "node").select(F.col("node").alias("target"), F.col("distance").alias("length"))
-    return ahead.withColumnRenamed("distance", "layer").join(back, "node").join(length, "target").where(F.col("layer") + F.col("distance") == F.col("length")).select("target", "length", "layer", "node")
+    found = ahead.withColumnRenamed("distance", "layer").join(back, "node").join(length, "target").where(F.col("layer") + F.col("distance") == F.col("length")).select("target", "length", "layer", "node")
+    return storage.materialize(found, "layers")
 
 
 def layer_edges(neurons: DataFrame, edges: DataFrame, layers: DataFrame) -> DataFrame:

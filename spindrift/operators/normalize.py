@@ -23,21 +23,39 @@ REQUIRED = {
 INT_MAX = 2**31 - 1
 
 
-def dense_index(df: DataFrame, key: str, name: str = "neuron_index", buckets: int = 64) -> DataFrame:
-    """df with name: 0-based position of key in ascending order (keys unique and integral).
+#: Rows of one range of keys, about, and how many ranges there are at most.
+RANGE_ROWS, MOST_RANGES = 200_000, 1024
 
-    Not one task's global sort: keys fall in equal-width ranges, ranges are counted, and a row's position
-    is its range's offset plus its place inside. Offsets are at most buckets rows.
+
+def key_ranges(df: DataFrame, key: str) -> tuple[int, Column]:
+    """(rows, number of the range that key falls in): ranges of about equal numbers of rows, ascending, cut at quantiles.
+
+    A row looks its range up in two steps of at most 32 comparisons each. Keys that many rows share lie in one range.
+    """
+    n, cuts = df.agg(F.count(key), F.percentile_approx(key, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 10_000)).first()
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
+    cuts = sorted({cuts[MOST_RANGES * i // ranges - 1] for i in range(1, ranges)}) if n else []
+    if not cuts:
+        return n, F.lit(0)
+    coarse, fine = cuts[31::32], F.array(*[F.lit(c) for c in cuts])
+    below = lambda cs: F.size(F.filter(cs, lambda c: c <= F.col(key)))
+    block = below(F.array(*[F.lit(c) for c in coarse])) if coarse else F.lit(0)
+    return n, block * 32 + below(F.slice(fine, block * 32 + 1, F.lit(32)))
+
+
+def dense_index(df: DataFrame, key: str, name: str = "neuron_index") -> DataFrame:
+    """df with name: 0-based position of key in ascending order (keys unique, not null and integral); long beyond 2 ** 31 rows.
+
+    Not one task's global sort: keys fall in ranges of about equal size, ranges are counted, and a row's position
+    is its range's offset plus its place inside. Offsets are at most MOST_RANGES rows.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("int"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    ranged = df.withColumn("__range", F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int"))
+    n, number = key_ranges(df, key)
+    ranged = df.withColumn("__range", number.cast("int"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("__range").orderBy(key)
-    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__offset") + F.row_number().over(inside) - 1).cast("int")).drop("__range", "__offset")
+    place = (F.col("__offset") + F.row_number().over(inside) - 1).cast("int" if n <= INT_MAX else "long")
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, place).drop("__range", "__offset")
 
 
 def check_columns(df: DataFrame, role: str) -> DataFrame:
@@ -90,14 +108,14 @@ def checked_edges(table: DataFrame) -> DataFrame:
     return table.withColumn("synapse_count", F.when(ok, F.col("synapse_count")).otherwise(F.raise_error(F.lit("synapse_count out of range")).cast("long")))
 
 
-def offsets(table: DataFrame, nodes: DataFrame, by: str = "target_index", buckets: int = 64) -> DataFrame:
+def offsets(table: DataFrame, nodes: DataFrame, by: str = "target_index") -> DataFrame:
     """(node, degree, start): the compressed-row offsets of one orientation; every node has a row.
 
     The running sum goes over ranges of nodes first, then inside each range.
     """
     degree = nodes.select(F.col("neuron_index").alias("node")).join(table.groupBy(F.col(by).alias("node")).agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    high = nodes.agg(F.max("neuron_index")).first()[0] or 0
-    ranged = degree.withColumn("__range", F.floor(F.col("node") / F.lit(max(1, -(-(high + 1) // buckets)))).cast("int"))
+    _, number = key_ranges(nodes.select(F.col("neuron_index").alias("node")), "node")
+    ranged = degree.withColumn("__range", number.cast("int"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__range").agg(F.sum("degree").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("__range").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,11 +144,16 @@ def report(annotations: DataFrame, connectivity: DataFrame, neuron_table: DataFr
     return one.withColumn("excluded_connectivity_rows", F.col("__raw") - F.col("edge_count")).drop("__raw")
 
 
-def degree_mismatches(edge_table: DataFrame, outgoing: DataFrame) -> DataFrame:
-    """Nodes whose degrees differ between two orientations of one graph."""
-    a = edge_table.groupBy(F.col("source_index").alias("node")).agg(F.count("*").alias("a"), F.sum("synapse_count").alias("wa"))
-    b = outgoing.groupBy(F.col("source_index").alias("node")).agg(F.count("*").alias("b"), F.sum("synapse_count").alias("wb"))
-    return a.join(b, "node", "full").where("not (a <=> b and wa <=> wb)")
+def orientation_check(incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
+    """One row on two written orientations of one graph: edges and contacts of each, edges that only one has or that differ
+    in their count, and nodes whose out-degrees or sums of contacts differ."""
+    pair = ["source_index", "target_index"]
+    both = incoming.select(*pair, F.col("synapse_count").alias("a")).join(outgoing.select(*pair, F.col("synapse_count").alias("b")), pair, "full")
+    per = both.groupBy("source_index").agg(F.count("a").alias("a"), F.count("b").alias("b"), F.sum("a").alias("wa"), F.sum("b").alias("wb"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("apart"))
+    return per.agg(
+        F.sum("a").alias("in_edges"), F.sum("b").alias("out_edges"), F.sum("wa").alias("in_contacts"), F.sum("wb").alias("out_contacts"), F.sum("apart").alias("edges_apart"),
+        F.count_if(~(F.col("a").eqNullSafe(F.col("b")) & F.col("wa").eqNullSafe(F.col("wb")))).alias("nodes_apart"),
+    )
 
 
 def content_lock(df: DataFrame) -> DataFrame:

@@ -31,8 +31,13 @@ def first(population: DataFrame, n: int, by: str = "rank") -> DataFrame:
 
 
 def by_sign(neurons: DataFrame) -> DataFrame:
-    """(sign, n, members): indices by sign."""
-    return neurons.groupBy("sign").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("neuron_index")).alias("members"))
+    """(sign, n, first_member, last_member): how many neurons have each sign, and the first and last of their indices."""
+    return neurons.groupBy("sign").agg(F.count("*").alias("n"), F.min("neuron_index").alias("first_member"), F.max("neuron_index").alias("last_member"))
+
+
+def sign_members(neurons: DataFrame) -> DataFrame:
+    """(sign, neuron_index): the same sets as rows."""
+    return neurons.select("sign", "neuron_index")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.scalars import filter_gain, half_up
+from spindrift.operators import folds
 
 
 @dataclass(frozen=True)
@@ -68,11 +69,8 @@ def graded_channels(frames: DataFrame, config: EarlyVision = EarlyVision()) -> D
 
 
 def low_pass_fold(df: DataFrame, by: list[str], value: str, order: str, gain: float, start: float) -> DataFrame:
-    """(by, position, filtered): a first-order low-pass by a fold over each group's ordered array; for short traces."""
-    packed = df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double")).alias("xs"))
-    empty = F.expr("cast(array() as array<double>)")
-    fold = F.aggregate("xs", F.struct(F.lit(float(start)).alias("y"), empty.alias("out")), lambda acc, x: F.struct((acc["y"] + gain * (x - acc["y"])).alias("y"), F.concat(acc["out"], F.array(acc["y"] + gain * (x - acc["y"]))).alias("out")))
-    return packed.select(*by, F.posexplode(fold["out"]).alias("position", "filtered"))
+    """(by, position, filtered): a first-order low-pass along each group, of any length."""
+    return folds.folded(df, by, [order], {"x": F.col(value).cast("double")}, folds.low_pass(gain, float(start)), "filtered double")
 
 
 def pulses(frames: DataFrame, rate_hz: float, most: int, dt_ms: float) -> DataFrame:

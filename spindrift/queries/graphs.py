@@ -8,6 +8,7 @@ from spindrift.operators import graph as g
 from spindrift.operators import metrics as m
 from spindrift.operators import normalize as nz
 from spindrift.operators import populations as pop
+from spindrift.operators import storage
 from spindrift.queries import views as v
 
 QUERIES, ORACLE = {}, {}
@@ -80,10 +81,23 @@ def degree_histogram(s, d):
     return n.groupBy("in_degree", "out_degree").agg(F.count("*").alias("nodes"))
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+def _orientations(s, d, lost: str = "false"):
+    """Both orientations as tables written apart; edges that lost names are missing from the outgoing one."""
+    e = storage.materialize(v.edges(s, d), "edges")
+    into = storage.materialize(e.repartitionByRange("target_index", "source_index").sortWithinPartitions("target_index", "source_index"), "incoming")
+    out = storage.materialize(e.where(f"not ({lost})").repartitionByRange("source_index", "target_index").sortWithinPartitions("source_index", "target_index"), "outgoing")
+    return into, out
+
+
+@query(W("edges") + "SELECT count(*) AS in_edges, count(*) AS out_edges, sum(synapse_count)::BIGINT AS in_contacts, sum(synapse_count)::BIGINT AS out_contacts, 0::BIGINT AS edges_apart, 0::BIGINT AS nodes_apart FROM edges")
 def degree_validation(s, d):
-    e = v.edges(s, d)
-    return nz.degree_mismatches(e, e.orderBy("source_index", "target_index")).agg(F.count("*").alias("mismatches"))
+    return nz.orientation_check(*_orientations(s, d))
+
+
+@query(W("edges") + "SELECT count(*) AS in_edges, count(*) FILTER (NOT x) AS out_edges, sum(synapse_count)::BIGINT AS in_contacts, (sum(synapse_count) FILTER (NOT x))::BIGINT AS out_contacts, count(*) FILTER (x) AS edges_apart, count(DISTINCT source_index) FILTER (x) AS nodes_apart FROM (SELECT *, (source_index + target_index) % 97 = 0 AS x FROM edges)")
+def degree_validation_fault(s, d):
+    """The same check over an outgoing table that lacks some edges."""
+    return nz.orientation_check(*_orientations(s, d, "(source_index + target_index) % 97 = 0"))
 
 
 @query(W("neurons") + "SELECT coalesce(lower(coalesce(ground_truth_nt, consensus_nt)), 'missing') AS transmitter, count(*) AS n FROM neurons GROUP BY 1")
@@ -91,9 +105,9 @@ def transmitter_counts(s, d):
     return v.neurons(s, d).groupBy(F.coalesce(F.lower(g.effective_transmitter()), F.lit("missing")).alias("transmitter")).agg(F.count("*").alias("n"))
 
 
-@query(W("neurons") + "SELECT sign, count(*) AS n, min(neuron_index) AS first_member FROM neurons GROUP BY sign")
+@query(W("neurons") + "SELECT sign, count(*) AS n, min(neuron_index) AS first_member, max(neuron_index) AS last_member FROM neurons GROUP BY sign")
 def sign_counts(s, d):
-    return pop.by_sign(v.neurons(s, d)).select("sign", "n", F.col("members")[0].alias("first_member"))
+    return pop.by_sign(v.neurons(s, d))
 
 
 @query(W("neurons") + "SELECT CASE lower(coalesce(ground_truth_nt, consensus_nt)) WHEN 'acetylcholine' THEN 1 WHEN 'gaba' THEN -1 WHEN 'glutamate' THEN 1 ELSE 0 END AS sign, count(*) AS n FROM neurons GROUP BY 1")
@@ -244,8 +258,13 @@ layers AS (SELECT len.target, length, d2.distance AS layer, d2.node FROM len JOI
 between_ AS (SELECT a.target, a.layer AS hop, source_index, target_index, synapse_count, sign FROM edges JOIN layers a ON a.node = source_index JOIN layers b ON b.node = target_index AND b.target = a.target AND b.layer = a.layer + 1 JOIN neurons ON neuron_index = source_index WHERE sign <> 0)"""
 
 
+def _written(s, d):
+    """The graph's two tables, written once for searches that read them several times."""
+    return storage.materialize(v.neurons(s, d), "neurons"), storage.materialize(v.edges(s, d), "edges")
+
+
 def _layers(s, d):
-    n, e = v.neurons(s, d), v.edges(s, d)
+    n, e = _written(s, d)
     return n, e, g.path_layers(n, e, n.where("neuron_index < 3"), n.where("neuron_index between 500 and 540"), 2)
 
 

@@ -117,14 +117,14 @@ _ACTIONS = ["start", "pause", "resume", "finish", "reset", "observe"]
 
 def _commands(s, d):
     names = F.array(*[F.lit(a) for a in _ACTIONS])
-    return v.read(s, d, "events").where("user_id < 20").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % len(_ACTIONS) + 1).cast("int")).alias("action"))
+    return v.read(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % len(_ACTIONS) + 1).cast("int")).alias("action"))
 
 
 _NEXT = " ".join(f"WHEN state = '{a}' AND action = '{b}' THEN '{c}'" for (a, b), c in t.TRANSITIONS.items())
 _NEXT_K = _NEXT.replace("state = ", "f.state = ").replace("action = ", "k.action = ")
 
 
-@query(f"WITH RECURSIVE k AS (SELECT user_id AS session, ['start', 'pause', 'resume', 'finish', 'reset', 'observe'][event_id % 6 + 1] AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position FROM events WHERE user_id < 20), f AS (SELECT session, position, action, CASE {_NEXT} ELSE state END AS state, (CASE {_NEXT} END) IS NOT NULL AS legal FROM (SELECT *, 'idle' AS state FROM k WHERE position = 0) UNION ALL SELECT k.session, k.position, k.action, CASE {_NEXT_K} ELSE f.state END, (CASE {_NEXT_K} END) IS NOT NULL FROM f JOIN k ON k.session = f.session AND k.position = f.position + 1) SELECT session, position, action, state, legal FROM f")
+@query(f"WITH RECURSIVE k AS (SELECT user_id AS session, ['start', 'pause', 'resume', 'finish', 'reset', 'observe'][event_id % 6 + 1] AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position FROM events), f AS (SELECT session, position, action, CASE {_NEXT} ELSE state END AS state, (CASE {_NEXT} END) IS NOT NULL AS legal FROM (SELECT *, 'idle' AS state FROM k WHERE position = 0) UNION ALL SELECT k.session, k.position, k.action, CASE {_NEXT_K} ELSE f.state END, (CASE {_NEXT_K} END) IS NOT NULL FROM f JOIN k ON k.session = f.session AND k.position = f.position + 1) SELECT session, position, action, state, legal FROM f")
 def session_state(s, d):
     return t.session_states(_commands(s, d), ["session"], ["seq"])
 

@@ -10,7 +10,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.scalars import LABEL
@@ -62,7 +62,7 @@ COLUMN_FIELDS = "column string, side string, grid_row int, grid_column int, l1 l
 
 
 def optic_columns(spark: SparkSession, path: str) -> DataFrame:
-    """COLUMN_FIELDS of a column workbook (columns: column, L1, R7, R8, column_type). Negative ids mean none; repeated labels raise."""
+    """COLUMN_FIELDS of a column workbook (columns: column, L1, R7, R8, column_type). Negative ids mean none; repeated labels and a missing or empty sheet of an eye raise."""
     data = spark.read.format("binaryFile").load(path).select("content").first()[0]  # one workbook
     found = []
     for name, rows in workbook_rows(bytes(data)).items():
@@ -81,6 +81,8 @@ def optic_columns(spark: SparkSession, path: str) -> DataFrame:
             found.append((label, m[1], int(m[2]), int(m[3]), number(row, "l1"), number(row, "r7"), number(row, "r8"), cell(row, "column_type")))
     if len({f[0] for f in found}) != len(found):
         raise ValueError("a column label occurs twice")
+    if {f[1] for f in found} != set(SHEETS.values()):
+        raise ValueError(f"a workbook has the sheets {', '.join(SHEETS)}")
     return spark.createDataFrame(sorted(found), COLUMN_FIELDS)
 
 
@@ -88,11 +90,12 @@ DIRECTIONS = "side string, column string, p int, q int, forward double, right do
 
 
 def directions(spark: SparkSession, path: str, tolerance: float = 1e-6) -> DataFrame:
-    """Measured unit directions per column, by side, q, p. Rows that contradict themselves raise while they're read."""
-    rows = spark.read.csv(path, schema=DIRECTIONS, header=True)
+    """Measured unit directions per column, by side, q, p. Rows that contradict themselves or repeat a column raise while they're read."""
+    rows = spark.read.csv(path, schema=DIRECTIONS, header=True).withColumn("times", F.count("*").over(Window.partitionBy("column")))
     norm = F.sqrt(F.col("forward") ** 2 + F.col("right") ** 2 + F.col("up") ** 2)
     good = (F.abs(norm - 1) <= tolerance) & (F.abs(F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("up"))))) - F.col("elevation_deg")) <= math.degrees(tolerance) * 10) & (F.abs(F.degrees(F.atan2("right", "forward")) - F.col("azimuth_deg")) <= math.degrees(tolerance) * 10)
-    return rows.withColumn("column", F.when(F.coalesce(good, F.lit(False)), F.col("column")).otherwise(F.raise_error(F.concat(F.lit("inconsistent direction of "), F.coalesce("column", F.lit("?")))).cast("string"))).orderBy("side", "q", "p")
+    good &= F.col("times") == 1
+    return rows.withColumn("column", F.when(F.coalesce(good, F.lit(False)), F.col("column")).otherwise(F.raise_error(F.concat(F.lit("inconsistent direction of "), F.coalesce("column", F.lit("?")))).cast("string"))).drop("times").orderBy("side", "q", "p")
 
 
 def write_directions(df: DataFrame, path: str) -> None:

@@ -41,17 +41,27 @@ def load(text: str) -> Manifest:
     return Manifest(raw["dataset"], artifacts, raw.get("selection", {}).get("expected_neuron_count"))
 
 
-def hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, size_bytes, sha256) of the files in a folder, hashed where they're read."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+def hashes(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(filename, size_bytes, sha256) of the named files of a folder that are there. Files of any size, read as streams by the driver's JVM."""
+    jvm, found = spark._jvm, []
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(where, name)
+        if system.exists(path):
+            stream = system.open(path)
+            try:
+                found.append((name, system.getFileStatus(path).getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            finally:
+                stream.close()
+    return spark.createDataFrame(found, "filename string, size_bytes long, sha256 string")
 
 
 def verify(spark: SparkSession, manifest: Manifest, folder: str) -> DataFrame:
     """(role, filename, state): ok, missing, size or hash for each artifact, checked in this order."""
     wanted = spark.createDataFrame([(a.role, a.filename, a.size_bytes, a.sha256) for a in manifest.artifacts], "role string, filename string, want_size long, want_hash string")
     state = F.when(F.col("size_bytes").isNull(), "missing").when(F.col("size_bytes") != F.col("want_size"), "size").when(F.col("sha256") != F.col("want_hash"), "hash").otherwise("ok")
-    return wanted.join(hashes(spark, folder), "filename", "left").select("role", "filename", state.alias("state"))
+    return wanted.join(hashes(spark, folder, [a.filename for a in manifest.artifacts]), "filename", "left").select("role", "filename", state.alias("state"))
 
 
 def require(verified: DataFrame) -> None:

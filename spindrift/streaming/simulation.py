@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +13,20 @@ from spindrift.operators.events import Adjacency, Lif, Simulator, State
 STEPS = "session string, chunk long, step long, spikes long, total long"
 
 
-def dump(s: State) -> str:
-    """A state as text; doubles read back as they were."""
-    return json.dumps([s.step, s.v.tolist(), s.g.tolist(), s.refractory.tolist(), {str(k): v for k, v in s.pending.items()}])
+def dump(s: State) -> bytes:
+    """A state as the bytes of its arrays; spikes on their way as (step, neuron) pairs."""
+    pending = np.array([(k, i) for k, v in sorted(s.pending.items()) for i in v], np.int64).reshape(-1, 2)
+    head = np.array([s.step, len(s.v), len(pending)], np.int64)
+    return b"".join(x.tobytes() for x in (head, s.v, s.g, s.refractory, pending))
 
 
-def load(text: str) -> State:
-    step, v, g, refractory, pending = json.loads(text)
-    return State(step, np.array(v), np.array(g), np.array(refractory, np.int64), {int(k): v for k, v in pending.items()})
+def load(data: bytes) -> State:
+    step, n, m = np.frombuffer(data, np.int64, 3).tolist()
+    parts = [np.frombuffer(data, t, n, 24 + 8 * n * k).copy() for k, t in enumerate((np.float64, np.float64, np.int64))]
+    pending: dict[int, list[int]] = {}
+    for k, i in np.frombuffer(data, np.int64, 2 * m, 24 + 24 * n).reshape(-1, 2).tolist():
+        pending.setdefault(k, []).append(i)
+    return State(step, *parts, pending)
 
 
 def simulate(commands: DataFrame, graph: Adjacency, config: Lif = Lif(), amplitude: float = 8.0) -> DataFrame:
@@ -36,8 +41,8 @@ def simulate(commands: DataFrame, graph: Adjacency, config: Lif = Lif(), amplitu
         sim = Simulator(shared.value, config)
         state, last, total = sim.fresh(), -1, 0
         if kept.exists:
-            text, last, total = kept.get
-            state = load(text)
+            data, last, total = kept.get
+            state = load(bytes(data))
         rows = []
         for row in pd.concat(list(frames)).sort_values("chunk").itertuples(index=False):
             if row.chunk <= last:
@@ -51,4 +56,4 @@ def simulate(commands: DataFrame, graph: Adjacency, config: Lif = Lif(), amplitu
         kept.update((dump(state), int(last), int(total)))
         yield pd.DataFrame(rows, columns=["session", "chunk", "step", "spikes", "total"])
 
-    return commands.groupBy("session").applyInPandasWithState(work, STEPS, "state string, chunk long, total long", "append", "NoTimeout")
+    return commands.groupBy("session").applyInPandasWithState(work, STEPS, "state binary, chunk long, total long", "append", "NoTimeout")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import folds
+
 
 def as_stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream; timestamps without zone become UTC instants, as watermarks need."""
@@ -91,18 +93,11 @@ def next_state(state: str, action: str) -> tuple[str, bool]:
 
 
 def session_states(commands: DataFrame, by: list[str], order: list[str], action: str = "action") -> DataFrame:
-    """Batch: (by, position, action, state, legal): commands folded in order from idle."""
-    packed = commands.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(action).alias("__a")))), lambda s: s["__a"]).alias("actions"))
-    table = F.create_map(*[F.lit(x) for (s, a), t in TRANSITIONS.items() for x in (f"{s}:{a}", t)])
-    empty = F.expr("cast(array() as array<struct<action:string,state:string,legal:boolean>>)")
-
-    def step(acc, a):
-        after = F.try_element_at(table, F.concat_ws(":", acc["state"], a))
-        state = F.coalesce(after, acc["state"])
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(F.struct(a.alias("action"), state.alias("state"), after.isNotNull().alias("legal")))).alias("out"))
-
-    folded = F.aggregate("actions", F.struct(F.lit("idle").alias("state"), empty.alias("out")), step)
-    return packed.select(*by, F.posexplode(folded["out"]).alias("position", "x")).select(*by, "position", "x.action", "x.state", "x.legal")
+    """Batch: (by, position, action, state, legal): commands in order from idle. A null action is illegal."""
+    states = sorted({s for s, _ in TRANSITIONS} | set(TRANSITIONS.values()))
+    shown = lambda before, after, a: {"action": a, "state": after, "legal": (before, a) in TRANSITIONS}
+    fold = folds.machine(states, "idle", lambda state, a: next_state(state, a)[0], ("action",), shown)
+    return folds.folded(commands, by, order, {"action": F.col(action)}, fold, "action string, state string, legal boolean")
 
 
 def session_stream(commands: DataFrame, key: str = "session", order: str = "seq") -> DataFrame:

@@ -41,9 +41,10 @@ def test_manifest(spark, tmp_path):
         manifest.load(json.dumps({"dataset": "d", "sources": sources[:2]}))
 
 
-def workbook(rows, sheet="Right OL") -> bytes:
+def workbook(sheets: dict) -> bytes:
+    """A workbook of sheets (name: rows), with the parts that its file format asks for."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    strings = sorted({c for row in rows for c in row if isinstance(c, str)})
+    strings = sorted({c for rows in sheets.values() for row in rows for c in row if isinstance(c, str)})
 
     def cell(c, i, j):
         where = f"{chr(65 + j)}{i + 1}"
@@ -51,22 +52,26 @@ def workbook(rows, sheet="Right OL") -> bytes:
 
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{sheet}" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{name}" r:id="rId{i}"/>' for i, name in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{i + 1}">' + "".join(cell(c, i, j) for j, c in enumerate(row)) + "</row>" for i, row in enumerate(rows)) + "</sheetData></worksheet>")
+        for k, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{i + 1}">' + "".join(cell(c, i, j) for j, c in enumerate(row)) + "</row>" for i, row in enumerate(rows)) + "</sheetData></worksheet>")
     return out.getvalue()
 
 
 def test_workbook(spark, tmp_path):
     path = tmp_path / "columns.xlsx"
-    path.write_bytes(workbook([["Column", "L1", "R7", "R8", "Column type"], ["ME_R_col_18_19", 5, -99, 7, "pale"], ["ME_R_col_02_30", None, 3, None, None]]))
+    head = ["Column", "L1", "R7", "R8", "Column type"]
+    right = [head, ["ME_R_col_21_07", 310, -1, 64, "dim"], [None, 1, 2, 3, "skipped"], ["ME_R_col_03_33", None, 12, None, None]]
+    path.write_bytes(workbook({"Right OL": right, "Notes": [["nothing"]], "Left OL": [head, ["ME_L_col_21_07", 8]]}))
     got = {r.column: r for r in files.optic_columns(spark, str(path)).collect()}
-    assert got["ME_R_col_18_19"].l1 == 5 and got["ME_R_col_18_19"].r7 is None and got["ME_R_col_18_19"].column_type == "pale"
-    assert (got["ME_R_col_02_30"].grid_row, got["ME_R_col_02_30"].grid_column, got["ME_R_col_02_30"].l1) == (2, 30, None)
-    path.write_bytes(workbook([["Column"], ["ME_L_col_18_19"]]))
-    with pytest.raises(ValueError):
-        files.optic_columns(spark, str(path))
+    assert len(got) == 3 and got["ME_R_col_21_07"].l1 == 310 and got["ME_R_col_21_07"].r7 is None and got["ME_R_col_21_07"].column_type == "dim"
+    assert (got["ME_R_col_03_33"].grid_row, got["ME_R_col_03_33"].grid_column, got["ME_R_col_03_33"].l1) == (3, 33, None)
+    for bad in ({"Right OL": right}, {"Right OL": [["Column"], ["ME_L_col_21_07"]], "Left OL": right}, {"Right OL": right, "Left OL": [head]}):
+        path.write_bytes(workbook(bad))
+        with pytest.raises(ValueError):
+            files.optic_columns(spark, str(path))
 
 
 def test_directions(spark, tmp_path):
