@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.queries import analyses, graphs, measures, services, streams
+from spindrift.queries import analyses, graphs, measures, readouts, services, streams
 
-_MODULES = (graphs, measures, analyses, services, streams)
+_MODULES = (graphs, measures, analyses, readouts, services, streams)
 
 
 def queries():

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import folds
@@ -289,3 +290,62 @@ def episodes(path: DataFrame, by: list[str], order: str, target: tuple[float, fl
     return out.withColumns({"reduction": F.col("first_distance") - F.col("last_distance"), "success": F.col("last_distance") <= radius})
 
 
+
+
+def voltage_command(state: DataFrame, gains: tuple[float, float] = (1.0, 1.0), deadzone: float = 0.0, most: float = 1.0) -> DataFrame:
+    """(dx, dy, click) from a map column state of population voltages: right - left and backward - forward, small ones 0, times gain, clamped. Never a click; absent populations count 0."""
+    v = lambda k: F.coalesce(F.try_element_at("state", F.lit(k)), F.lit(0.0))
+    moved = lambda plus, minus, gain: F.greatest(F.lit(-most), F.least(F.lit(most), F.when(F.abs(v(plus) - v(minus)) <= deadzone, 0.0).otherwise(v(plus) - v(minus)) * gain))
+    return state.withColumns({"dx": moved("steer_right", "steer_left", gains[0]), "dy": moved("backward", "forward", gains[1]), "click": F.lit(False)})
+
+
+def heldout_affine(df: DataFrame, by: list[str], x: str, y: str, train: Column) -> DataFrame:
+    """(by, n, mae, rmse, accuracy) of a line fitted to the train rows on the others; accuracy: predictions on y's side of the train mean."""
+    fitted = affine(df.where(train), by, x, y).join(df.where(train).groupBy(*by).agg(F.avg(y).alias("center")), by)
+    guess = F.col("slope") * F.col(x) + F.col("intercept")
+    test = df.where(~train).join(fitted, by).withColumns({"__e": guess - F.col(y), "__same": ((guess > F.col("center")) == (F.col(y) > F.col("center"))).cast("double")})
+    return test.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs("__e")).alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg("__same").alias("accuracy"))
+
+
+def evaluate(x: np.ndarray, y: np.ndarray, train: np.ndarray, settings: list[tuple], kind: str, whiten: bool = False) -> tuple[tuple, float | None, np.ndarray]:
+    """The setting (components, alpha, gamma) that leave-one-out on the train rows likes best (the first of equals), its score there,
+    and the fitted pipeline's outputs for the other rows: numbers, or a score per class."""
+    largest = kind == "classification"
+    scored = [(held_out_score(x[train], y[train], c, a, g, kind), (c, a, g)) for c, a, g in sorted(settings, key=lambda s: (s[0], s[1], s[2] or 0.0))]
+    best = max if largest else min
+    score, setting = best(scored, key=lambda s: s[0]) if scored[0][0] is not None else scored[0]
+    goal = y[train].astype(np.float64)[:, None] if not largest else (y[train][:, None] == np.unique(y[train])[None]).astype(np.float64)
+    return setting, score, pipeline(x[train], goal, *setting, whiten=whiten)(x[~train])
+
+
+def benchmark_sets(samples: DataFrame, grid: DataFrame, kind: str = "classification", whiten: bool = False, least: float = 0.0) -> DataFrame:
+    """(set, modality, row, actual, predicted, components, alpha, gamma, train_score, test_score, passes): every held-out row of every
+    set, by the modality and setting that leave-one-out on its train rows likes best.
+
+    samples: set, modality, row, features, target, train. Sets are experiments, few rows each, worked side by side; of
+    equal modalities the first by name wins. test_score: accuracy or mean absolute error over the held-out rows; passes:
+    at least (error: at most) least.
+    """
+    settings = [(int(r["components"]), float(r["alpha"]), r["gamma"]) for r in grid.select("components", "alpha", F.col("gamma").cast("double").alias("gamma")).collect()]
+    largest = kind == "classification"
+
+    def work(key, table):
+        found = []
+        for modality in sorted(set(table.column("modality").to_pylist())):
+            own = table.filter(pa.compute.equal(table.column("modality"), modality)).sort_by("row")
+            x, y, train = (np.array(own.column(c).to_pylist()) for c in ("features", "target", "train"))
+            if train.sum() < 2 or train.all():
+                continue
+            setting, score, out = evaluate(x.astype(np.float64), y, train, settings, kind, whiten)
+            guess = np.unique(y[train])[out.argmax(1)].astype(np.float64) if largest else out[:, 0]
+            found.append((-score if largest else score, modality, setting, np.array(own.column("row"))[~train], y[~train].astype(np.float64), guess))
+        rows = []
+        if found:
+            score, modality, setting, ids, actual, guess = min(found, key=lambda f: f[:2])
+            test = float(np.mean(actual == guess) if largest else np.mean(np.abs(actual - guess)))
+            rows = [(key[0].as_py(), modality, int(i), a, p, *setting, abs(score), test, test >= least if largest else test <= least) for i, a, p in zip(ids.tolist(), actual.tolist(), guess.tolist(), strict=True)]
+        types = (("set", pa.int64()), ("modality", pa.string()), ("row", pa.int64()), ("actual", pa.float64()), ("predicted", pa.float64()), ("components", pa.int32()), ("alpha", pa.float64()), ("gamma", pa.float64()), ("train_score", pa.float64()), ("test_score", pa.float64()), ("passes", pa.bool_()))
+        return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types)})
+
+    chosen = samples.select("set", "modality", "row", "features", "target", "train")
+    return chosen.groupBy("set").applyInArrow(work, "set long, modality string, row long, actual double, predicted double, components int, alpha double, gamma double, train_score double, test_score double, passes boolean")

@@ -190,3 +190,56 @@ def infer_columns(contacts: DataFrame, least: int, high: float, low: float) -> D
     best = ranked.where("__rank = 1").withColumn("fraction", F.try_divide(F.col("contacts").cast("double"), F.col("total"))).withColumn("margin", F.try_divide((F.col("contacts") - F.col("__second")).cast("double"), F.col("total")))
     status = F.when(F.col("total") < least, "unmapped").when(F.col("candidates") == 1, "unique").when(F.col("fraction") >= high, "dominant").when(F.col("fraction") >= low, "low").otherwise("ambiguous")
     return best.withColumn("status", status).select("source", "status", F.when(F.col("status").isin("unique", "dominant", "low"), F.col("column")).alias("column"), "contacts", "total", "candidates", "fraction", "margin")
+
+
+def population_state(trace: DataFrame, members: DataFrame, rest: float) -> DataFrame:
+    """(population, chunk, voltage, drive): means over members (population, neuron) of voltage over rest and of drive, each at its chunk's last step.
+
+    trace: chunk, step, neuron, v, g.
+    """
+    last = trace.groupBy("chunk", "neuron").agg(F.max_by(F.struct("v", "g"), "step").alias("at"))
+    return last.join(members, "neuron").groupBy("population", "chunk").agg(F.avg(F.col("at.v") - rest).alias("voltage"), F.avg("at.g").alias("drive"))
+
+
+def pathway_measurement(trace: DataFrame, route: DataFrame, counts: DataFrame) -> DataFrame:
+    """(chunk, neurons, voltage_mean, drive_mean, spikes) of a route (position, neuron): last samples of each chunk, and its spikes (chunk, neuron, spikes)."""
+    last = trace.join(route, "neuron").groupBy("chunk", "neuron").agg(F.max_by(F.struct("v", "g"), "step").alias("at"))
+    seen = last.join(counts, ["chunk", "neuron"], "left")
+    return seen.groupBy("chunk").agg(F.count("*").alias("neurons"), F.avg("at.v").alias("voltage_mean"), F.avg("at.g").alias("drive_mean"), F.coalesce(F.sum("spikes"), F.lit(0)).cast("long").alias("spikes"))
+
+
+def route_positions(route: DataFrame, watch: DataFrame) -> DataFrame:
+    """(position, neuron, column): where each neuron of a route stands among the watched ones in ascending order; null where it isn't watched."""
+    from spindrift.operators.normalize import dense_index
+
+    return route.join(dense_index(watch.select("neuron").distinct(), "neuron", "column"), "neuron", "left").select("position", "neuron", "column")
+
+
+def median_trace(trace: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
+    """(by, time, value): the median over the watched neurons at each time; what signal metrics of a population are taken of."""
+    return trace.groupBy(*by, time).agg(F.percentile(value, 0.5).alias(value))
+
+
+def finite_correlation(x: Column, y: Column) -> Column:
+    """Pearson's r; raises where it is not a finite number."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.isNotNull() & ~F.isnan(r) & (F.abs(r) < F.lit(float("inf"))), r).otherwise(F.raise_error(F.lit("correlation is not finite")).cast("double"))
+
+
+def condition_summary(columns: DataFrame) -> DataFrame:
+    """Per condition of columns (condition, kind, coordinate, mean, background, sources, peak, low, v_peak, v_low): active columns and
+    their sources, the part of the active ones that answers with the expected sign, the drive's centroid and the extremes.
+
+    Active: mean intensity off the background the way the kind goes. The centroid is that of dark conditions.
+    """
+    from spindrift.operators.vision import active
+
+    is_active = active(F.col("mean"), F.col("kind"), F.col("background"))
+    expected = F.when(F.col("kind") == "dark", F.col("peak") > 0).otherwise(F.col("low") < 0)
+    weight = F.when(F.col("kind") == "dark", F.greatest(F.lit(0.0), F.col("peak")))
+    marked = columns.withColumns({"__a": is_active, "__w": weight})
+    return marked.groupBy("condition", "kind").agg(
+        F.count_if("__a").alias("active_columns"), F.coalesce(F.sum(F.when(F.col("__a"), F.col("sources"))), F.lit(0)).cast("long").alias("active_sources"),
+        F.avg(F.when(F.col("__a"), expected.cast("double"))).alias("expected_sign"), F.try_divide(F.sum(F.col("coordinate") * F.col("__w")), F.sum("__w")).alias("centroid"),
+        F.max(F.greatest(F.abs("peak"), F.abs("low"))).alias("max_abs_drive"), F.max("peak").alias("max_drive"), F.min("low").alias("min_drive"), F.max("v_peak").alias("max_voltage"), F.min("v_low").alias("min_voltage"),
+    )

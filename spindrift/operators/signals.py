@@ -128,3 +128,17 @@ def bilinear(frames: DataFrame, points: DataFrame, width: int, height: int) -> D
     corner = lambda dx, dy: F.struct(F.least(x0 + dx, F.lit(width - 1)).cast("int").alias("x"), F.least(y0 + dy, F.lit(height - 1)).cast("int").alias("y"), ((fx - x0 if dx else 1 - fx + x0) * (fy - y0 if dy else 1 - fy + y0)).alias("w"))
     corners = points.select("key", F.explode(F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])).alias("c")).select("key", "c.x", "c.y", "c.w").groupBy("key", "x", "y").agg(F.sum("w").alias("w"))
     return frames.join(corners, ["x", "y"]).groupBy("frame", "key").agg(F.sum(F.col("intensity") * F.col("w")).alias("value"))
+
+
+def chunk_pulses(chunks: DataFrame, neurons: DataFrame, start_s: float, stop_s: float, interval_s: float, dt_ms: float) -> DataFrame:
+    """(chunk, neuron_index, number, time_s): a stimulus' pulses in each chunk (chunk, from_s, to_s), counted from the chunk's start on the step grid.
+
+    Pulses fall at start, start + interval, ... before stop; a chunk has those from its start up to, not at, its end.
+    """
+    edge = 1e-12
+    first = F.greatest(F.lit(0), F.ceil((F.greatest("from_s", F.lit(start_s)) - start_s) / interval_s - edge))
+    last = F.ceil((F.least("to_s", F.lit(stop_s)) - edge - start_s) / interval_s) - 1
+    numbered = chunks.withColumns({"a": first.cast("long"), "b": last.cast("long")}).where("a <= b").withColumn("number", F.explode(F.sequence("a", "b")))
+    dt = dt_ms / 1000
+    timed = numbered.withColumn("time_s", F.rint((F.lit(start_s) + F.col("number") * interval_s - F.col("from_s")) / dt) * dt + 0.0)
+    return timed.select("chunk", "number", "time_s").crossJoin(F.broadcast(neurons.select("neuron_index"))).select("chunk", "neuron_index", "number", "time_s")  # a stimulus' neurons, bounded by its request

@@ -199,12 +199,6 @@ def graded_filter(s, d):
     return rounded(sig.low_pass_fold(k, ["population"], "x", "day", 0.25, 50.0), "filtered")
 
 
-@query()
-def graded_vision(s, d):
-    f = v.frames(s, d).groupBy("frame", F.col("x").alias("channel")).agg(F.avg("intensity").alias("luminance"))
-    return rounded(sig.graded_channels(f.where("channel < 4"), sig.EarlyVision(frame_rate_hz=100.0)), "photoreceptor", "release", "l1", "l2", "l3", digits=9)
-
-
 _LONG = "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings WHERE label < 2)"
 
 
