@@ -73,13 +73,13 @@ def low_pass_fold(df: DataFrame, by: list[str], value: str, order: str, gain: fl
     return folds.folded(df, by, [order], {"x": F.col(value).cast("double")}, folds.low_pass(gain, float(start)), "filtered double")
 
 
-def pulses(frames: DataFrame, rate_hz: float, most: int, dt_ms: float) -> DataFrame:
-    """(frame, pulse, time_s, step): floor(luminance x most + 0.5) pulses, evenly inside their frame, on the step grid (half up)."""
+def pulses(frames: DataFrame, rate_hz: float, most: int, dt_ms: float, by: list[str] | None = None) -> DataFrame:
+    """(by, frame, pulse, time_s, step): floor(luminance x most + 0.5) pulses, evenly inside their frame, on the step grid (half up)."""
     period = 1.0 / rate_hz
     counted = frames.withColumn("count", half_up(F.col("luminance") * most).cast("int")).where("count > 0")
     spread = counted.withColumn("pulse", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     timed = spread.withColumn("time_s", F.col("frame") * period + (F.col("pulse") + 0.5) * period / F.col("count"))
-    return timed.select("frame", "pulse", "time_s", half_up(F.col("time_s") * 1000 / dt_ms).cast("long").alias("step"))
+    return timed.select(*(by or []), "frame", "pulse", "time_s", half_up(F.col("time_s") * 1000 / dt_ms).cast("long").alias("step"))
 
 
 def pulse_train(members: DataFrame, start_s: float, stop_s: float, interval_s: float) -> DataFrame:

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from spindrift.operators import decode as dec
+from spindrift.operators import events as ev
 from spindrift.operators import features as ft
 from spindrift.operators import graph as g
 from spindrift.operators import metrics as m
 from spindrift.operators import pathways as pw
 from spindrift.operators import signals as sig
 from spindrift.operators import vision as vis
+from spindrift.plans import eye as eyes
 from spindrift.queries import graphs, measures
 from spindrift.queries import views as v
 
@@ -408,3 +410,43 @@ def heldout_benchmark(s, d):
     both = F.array(F.struct(F.lit("first").alias("modality"), F.slice("x", 1, 16).alias("features")), F.struct(F.lit("second").alias("modality"), F.slice("x", 17, 16).alias("features")))
     samples = e.select("set", "row", "target", "train", F.explode(both).alias("m")).select("set", "row", "target", "train", "m.modality", "m.features")
     return rounded(dec.benchmark_sets(samples, measures._grid(s, (None, 0.05)), least=0.5), "train_score", "test_score")
+
+
+# from the screen to the network: nations as the columns of an eye and as neurons
+
+PROTOCOL = eyes.Protocol(1, 2, 1, _VISION, 1.0, 0.01, 0.002, 1.8)
+
+
+def nation_eye(s, d) -> eyes.Eye:
+    """A column ahead for each nation, on a 5 x 5 grid of directions; its sources are itself and the nations 7 and 13 on."""
+    n = [r[0] for r in v.read(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # the eye's columns
+    ahead = [(1.0, (k % 5 - 2) * 0.6, (k // 5 - 2) * 0.35) for k in n]
+    return eyes.Eye(tuple(n), tuple(ahead), tuple({"l1": k, "l2": (k + 7) % len(n), "l3": (k + 13) % len(n)} for k in n))
+
+
+def seen_conditions(s, d):
+    """The conditions with their bars moved to where the eye has columns."""
+    return _conditions(s, d).withColumn("position", F.col("position") * 0.4 + 0.3)
+
+
+def _network(s, d):
+    n = s.range(25).select(F.col("id").cast("int").alias("neuron_index"), F.when(F.col("id") % 2 == 1, -1).otherwise(1).alias("sign"))
+    return ev.collect_graph(n, v.trade(s, d), 10_000)
+
+
+@query()
+def position_features(s, d):
+    """Signed peaks of every nation's neuron under each condition of the screen; baselines, which drive nothing, are left out."""
+    conditions = seen_conditions(s, d).where("kind <> 'baseline'")
+    out = eyes.position_features(conditions, nation_eye(s, d), _SCREEN, PROTOCOL, _network(s, d), tuple(range(25)), bins=2)
+    flat = out.select("condition", "neuron_index", "voltage", "drive", "spikes", *[F.col(f"temporal_{c}")[i].alias(f"{c}_{i}") for c in ("voltage", "drive") for i in (0, 1)], "total_spikes")
+    return rounded(flat, "voltage", "drive", "voltage_0", "voltage_1", "drive_0", "drive_1")
+
+
+@query()
+def motor_ticks(s, d):
+    """Motor commands every 5 ms while a bar shows, for every condition."""
+    samples = eyes.column_samples(vis.condition_frames(seen_conditions(s, d), _SCREEN, 1, 2, 1), nation_eye(s, d), _SCREEN, PROTOCOL.frames)
+    groups = {"left": (1, 3, 5), "right": (2, 4, 6), "up": (7,), "down": (8, 10), "click": (24,)}
+    out = eyes.motor_sequence(samples, PROTOCOL.frames, nation_eye(s, d), _SCREEN.background, PROTOCOL, _network(s, d), groups, 5.0)
+    return rounded(out.drop("rates", "voltages"), "start_s", "end_s", "dx", "dy", "peak_mv")
