@@ -157,6 +157,10 @@ def orientation_check(incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
 
 
 def content_lock(df: DataFrame) -> DataFrame:
-    """(rows, content): a lock on content that doesn't depend on files or order: row count and summed row hashes."""
-    row: Column = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    """(rows, content): a lock on content that doesn't depend on files or order: row count, and the sum of the rows' hashes.
+
+    A row's hash is the first 60 bits of the md5 of its values as text, columns by name; null has a mark of its own.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
+    row: Column = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content"))

@@ -293,7 +293,9 @@ def neighborhood_candidates(s, d):
     return g.neighborhood_candidates(v.trade(s, d), s.createDataFrame([(1,), (4,), (9,)], "neuron_index int"), 6).select("source_index", "target_index", "synapse_count", "rank")
 
 
-@query()
+@query(W("trade", recursive=True) + """, c AS (SELECT source_index, target_index, synapse_count, row_number() OVER (ORDER BY synapse_count DESC, source_index, target_index) AS i FROM (SELECT *, row_number() OVER (PARTITION BY source_index ORDER BY synapse_count DESC, target_index) AS rank FROM trade WHERE source_index IN (1, 4, 9)) WHERE rank <= 20),
+g AS (SELECT 0::BIGINT AS i, [1, 4, 9]::BIGINT[] AS nodes, 0::BIGINT AS kept, false AS keep UNION ALL SELECT i, CASE WHEN ok THEN more ELSE nodes END, kept + ok::BIGINT, ok FROM (SELECT *, kept < 20 AND len(more) <= 8 AS ok FROM (SELECT c.i, nodes, kept, list_distinct(nodes || [source_index::BIGINT, target_index::BIGINT]) AS more FROM g JOIN c ON c.i = g.i + 1)))
+SELECT source_index, target_index, synapse_count FROM g JOIN c USING (i) WHERE keep""")
 def neighborhood(s, d):
     return g.neighborhood(v.trade(s, d).select("source_index", "target_index", "synapse_count"), [1, 4, 9], max_nodes=8, max_edges=20)
 
@@ -341,13 +343,13 @@ def source_consistency(s, d):
     return j.agg(F.count_if(F.col("known").isNull()).alias("missing"), F.count_if(F.col("type") != F.col("s_name")).alias("type_mismatch"), F.count("*").alias("listed"))
 
 
-@query()
+@query(W("edges", recursive=True) + ", up(node, hop) AS (SELECT 500::BIGINT, 0 UNION SELECT source_index, hop + 1 FROM up JOIN edges ON target_index = node WHERE hop < 8) SELECT min(hop) AS hop FROM up WHERE hop >= 1 AND node < 3")
 def upstream_hop(s, d):
-    n = v.neurons(s, d)
-    hop = g.upstream_hop(v.edges(s, d), n.where("neuron_index < 3"), n.where("neuron_index = 500"))
+    n, e = _written(s, d)
+    hop = g.upstream_hop(e, n.where("neuron_index < 3"), n.where("neuron_index = 500"))
     return s.createDataFrame([(hop,)], "hop int")
 
 
-@query()
+@query(W("edges") + "SELECT count(*) AS rows, sum(('0x' || substr(md5(source_index || '|' || synapse_count || '|' || target_index), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS content FROM edges")
 def content_lock(s, d):
     return nz.content_lock(v.edges(s, d))

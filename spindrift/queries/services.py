@@ -8,6 +8,7 @@ from spindrift.functions import scalars as sc
 from spindrift.operators import graph
 from spindrift.plans import service
 from spindrift.plans.dataset import Dataset
+from spindrift.queries import graphs
 from spindrift.queries import views as v
 
 QUERIES, ORACLE = {}, {}
@@ -48,10 +49,10 @@ def panel_preset(s, d):
     return service.preset(n, v.edges(s, d), n.where("neuron_index < 300"), ["Brand#11", "Brand#12", "Brand#13"], 6)
 
 
-@query()
+@query(W("edges") + graphs._LAYERS + """, walks AS (SELECT target FROM between_ WHERE hop = 0 AND target_index = target UNION ALL SELECT a.target FROM between_ a JOIN between_ b ON a.target = b.target AND a.hop = 0 AND b.hop = 1 AND a.target_index = b.source_index AND b.target_index = a.target UNION ALL SELECT target FROM layers WHERE layer = 0 AND node = target),
+w AS (SELECT target, count(*) AS n FROM walks GROUP BY 1) SELECT target, length, count(*) FILTER (layer BETWEEN 1 AND length - 1) AS relays, least(12, any_value(n)) AS paths FROM layers JOIN w USING (target) GROUP BY target, length""")
 def pathway_catalog(s, d):
-    n, e = v.neurons(s, d), v.edges(s, d)
-    layers = graph.path_layers(n, e, n.where("neuron_index < 3"), n.where("neuron_index between 500 and 540"), 2)
+    n, e, layers = graphs._layers(s, d)
     paths = graph.ranked_paths(layers, graph.layer_edges(n, e, layers), 12, 2)
     return service.pathway_catalog(layers, paths).select("target", "length", "relays", F.size("paths").alias("paths"))
 
