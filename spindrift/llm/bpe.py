@@ -91,7 +91,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 class Codec:
     """Encodes and decodes with one vocabulary. Memory: the ranks and a memo of at most 2 x memo pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.number = {rank: str(rank) for rank in ranks.values()}

@@ -124,7 +124,7 @@ class Scorer:
     Longer words (a line in a script without spaces is one) are costed part by part and not remembered.
     """
 
-    def __init__(self, model: Model, memo: int = 400_000):
+    def __init__(self, model: Model, memo: int = 200_000):
         self.model, self.memo = model, max(1, min(memo, 4_000_000 // (len(model.languages) + 1)))
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
