@@ -12,7 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,12 +114,55 @@ class Index:
         return (None, pattern.verdict, pattern.name) if pattern else (None, "allow", None)
 
 
+class _Lazy:
+    """Rules and frequencies on their way to a worker, whose index is made there, once for all of a broadcast's tasks."""
+
+    def __init__(self, rules: list[Rule], frequency: dict[str, int]):
+        self.rules, self.frequency, self._made = rules, frequency, None
+
+    def index(self) -> Index:
+        if self._made is None:
+            self._made = Index(self.rules, self.frequency)
+        return self._made
+
+
+def read_rules(spark: SparkSession, path: str, most: int = 1_000_000) -> list[Rule]:
+    """Rules of a text file, one to a line, tab-separated: `site`, verdict and host/path; or `pattern`, verdict, name, regular
+    expression, tokens that a match needs all of, and tokens of which it needs one (both separated by commas, either may be empty).
+
+    Empty lines and those from # on count as none. A line of another form, and more than most lines, raise.
+    """
+    rows = spark.read.text(path).where("value <> '' and not value like '#%'").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    out = []
+    for (line,) in rows:
+        kind, verdict, *rest = line.split("\t")
+        if verdict not in ("block", "allow") or (kind, len(rest)) not in (("site", 1), ("pattern", 2), ("pattern", 3), ("pattern", 4)):
+            raise ValueError(f"no rule: {line!r}")
+        if kind == "site":
+            out.append(site_rule(verdict, rest[0]))
+        else:
+            needed, any_of = (tuple(filter(None, x.split(","))) for x in [*rest[2:], "", ""][:2])
+            out.append(Rule(verdict, rest[0], rest[1], needed, any_of=any_of))
+    return out
+
+
+def split_url(url: Column) -> list[Column]:
+    """host and path as parts() has them, as expressions."""
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+    rest = F.coalesce(rest, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), upper, upper.lower()).alias("host"), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1).alias("path")]
+
+
 def token_frequency(urls: DataFrame, url: str, rules) -> dict[str, int]:
     """In how many rows each token of the rules occurs: counted over all rows, as many results as the rules have tokens."""
     wanted = sorted({t for rule in rules for t in rule.tokens})
     if not wanted:
         return {}
-    tokens = F.array_intersect(F.split(F.lower(url), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in wanted]))
+    tokens = F.filter(F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+")), lambda t: t.isin(wanted))
     return {r["token"]: r["n"] for r in urls.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -132,21 +175,24 @@ def judge(pages: DataFrame, rules=None, url: str = "url", keep: list[str] | None
     Of listed rules that fit the longest decides (equal lengths: the last by name); else an allowing
     general pattern, else a blocking one, else the URL is allowed. Null URLs and those without :// have
     empty host and path, match nothing and are allowed. Narrow but for the token counts. Repeated rows
-    stay; columns of these names are replaced.
+    stay; columns of these names are replaced. rules: Rules, e.g. read_rules(); by default SITE_LIST and PATTERNS.
     """
     rules = [*(site_rule(v, r) for v, r in SITE_LIST), *PATTERNS] if rules is None else list(rules)
-    index = Index(rules, token_frequency(pages, url, rules))
+    shared = pages.sparkSession.sparkContext.broadcast(_Lazy(rules, token_frequency(pages, url, rules)))  # the caller's rules
+    taken = {f.name for f in FIELDS}
+    kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in taken]
+    split = pages.select(*[F.col(c) for c in kept], *split_url(F.col(url)))
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        split = [parts(u) for u in common.texts_of(part, url)]
-        judged = [index.judge(*s) for s in split]
-        return [pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), *(pa.array([j[k] for j in judged], pa.string()) for k in range(3))]
+        index = shared.value.index()
+        judged = [index.judge(h, p) for h, p in zip(common.texts_of(part, "host"), common.texts_of(part, "path"), strict=True)]
+        return [pa.array([j[k] for j in judged], pa.string()) for k in range(3)]
 
-    return common.add_columns(pages, FIELDS, compute, url, keep)
+    return common.add_columns(split, FIELDS[2:], compute, "path", [*kept, "host", "path"])
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url judged by the site list and the general patterns."""
+    """Every page's url judged by the site list and the general patterns. Null, empty and repeated urls: as judge() says."""
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
 
 
