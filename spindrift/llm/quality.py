@@ -128,7 +128,7 @@ def _sent(groups: DataFrame) -> DataFrame:
 
 
 def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataFrame:
-    """(g, mean, inverse, scale): the MCD estimate of each group g of points (g, x0..x3).
+    """(g, mean, inverse, scale): the MCD estimate of each group g of points (g, x0..x3). A row may stand in several groups.
 
     central: the part of a group's points that the estimate rests on. scale makes the median squared
     distance that of a normal distribution.
@@ -155,7 +155,7 @@ def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataF
     return now.join(scale, "g")
 
 
-def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 200, min_words: int = 50, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 50, min_words: int = 50, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """(key, the five statistics, base_failed, distance, kept) for each row of docs.
 
     base_failed: fewer than min_words words, or over half of the words in repeated three-word windows.
@@ -173,8 +173,13 @@ def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 200, min_word
     fine = _sent(common.materialize(good.groupBy("fine").agg(F.count("*").alias("nf")), "groups"))
     coarse = _sent(common.materialize(good.groupBy("coarse").agg(F.count("*").alias("nc")), "groups"))
     group = F.when(F.coalesce("nf", F.lit(0)) >= least_group, F.col("fine")).when(F.coalesce("nc", F.lit(0)) >= least_group, F.col("coarse")).otherwise(F.lit("all"))
-    stats = common.materialize(stats.join(fine, "fine", "left").join(coarse, "coarse", "left").withColumn("g", group).select("id", *STATS, "base_failed", *[f"x{i}" for i in range(_D)], "g"), "points")
-    found = common.materialize(estimates(stats.where(~F.col("base_failed")), **options), "estimates")
+    xs = [f"x{i}" for i in range(_D)]
+    stats = common.materialize(stats.join(fine, "fine", "left").join(coarse, "coarse", "left").withColumn("g", group).select("id", *STATS, "base_failed", *xs, "g", "fine", "coarse"), "points")
+    good = stats.where(~F.col("base_failed"))
+    # a group's estimate rests on all of its rows, also on those that a smaller group judges
+    needed = _sent(common.materialize(good.select("g").distinct(), "needed"))
+    among = good.select(*xs, F.explode(F.array("fine", "coarse", F.lit("all"))).alias("g")).join(needed, "g")
+    found = common.materialize(estimates(among, **options), "estimates")
     out = stats.join(_sent(found), "g", "left").withColumn("distance", _distance() / F.col("scale"))
     return out.select(F.col("id").alias(key), *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 
