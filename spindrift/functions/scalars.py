@@ -33,15 +33,19 @@ def position(x: Column, extent: Column) -> Column:
     return clamp(x / F.greatest(F.lit(1.0), extent - 1), 0.0, 1.0)
 
 
-#: Small letters of European languages that full case folding replaces. Fixed values.
-FOLDED = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ǰ": "ǰ"}
+#: What full case folding makes of characters where it isn't their lower case; one character or several.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1E943)) if c.isalpha() and c.casefold() != c.lower()}
+_ONE = {c: x for c, x in FOLDED.items() if len(x) == 1}
+_MORE = {c: x for c, x in FOLDED.items() if len(x) > 1}
 
 
 def normalized_goal(text: Column) -> Column:
     """Case folded (lower case, and the letters that folding writes out), white space collapsed; null where nothing is left."""
-    folded = F.lower(text)
-    for letter, out in FOLDED.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(out))
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    wide = low
+    for letter, out in _MORE.items():
+        wide = F.replace(wide, F.lit(letter), F.lit(out))
+    folded = F.when(low.rlike(f"[{''.join(_MORE)}]"), wide).otherwise(low)  # few texts have such letters
     return F.nullif(F.trim(F.regexp_replace(folded, r"\s+", " ")), F.lit(""))
 
 
@@ -136,3 +140,13 @@ def index_list(text: Column) -> Column:
     ok = F.forall(parts, lambda x: x.rlike(r"^\d{1,16}$"))
     numbers = F.transform(parts, lambda x: F.try_to_number(x, F.lit("9999999999999999")).cast("long"))
     return F.when(ok & F.forall(numbers, lambda x: x <= 2**53 - 1), numbers)
+
+
+def utc_stamp(at: Column) -> Column:
+    """An instant as ISO 8601 text in UTC with microseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def frame_at(time_s: Column, rate_hz: float, frames: int) -> Column:
+    """The frame that shows at a time, the last one from its start on."""
+    return F.least(F.floor(time_s * rate_hz + 1e-12), F.lit(frames - 1)).cast("long")

@@ -248,3 +248,9 @@ def group_sources(spark: SparkSession, indices: list[int]) -> DataFrame:
     if len(set(indices)) != len(indices) or any(i < 0 for i in indices):
         raise ValueError("indices must be unique and not negative")
     return spark.createDataFrame([(i,) for i in indices], "source_index int")
+
+
+def truncated_layers(between: DataFrame, most: int = 50) -> DataFrame:
+    """(target, hop, rank, ...): the heaviest edges of each hop of each target's paths, at most most; ties by source, then target."""
+    order = Window.partitionBy("target", "hop").orderBy(F.desc("synapse_count"), "source_index", "target_index")
+    return between.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -149,3 +149,20 @@ def unique_sources(df: DataFrame, column: str, kind: str, source: str) -> DataFr
     """(column, kind, source) where a column has one source of a kind; competing sources raise while they're read."""
     n = df.groupBy(column, kind).agg(F.min(source).alias(source), F.count_distinct(source).alias("__n"))
     return n.withColumn(source, F.when(F.col("__n") == 1, F.col(source)).otherwise(F.raise_error(F.lit("competing sources")).cast("long"))).drop("__n")
+
+
+def _peaks(traces: DataFrame, neuron: str, v: str, g: str, rest: float) -> DataFrame:
+    delta = F.col(v) - rest
+    return traces.groupBy(neuron).agg(F.max(F.abs(delta)).alias("peak_v"), F.max(F.abs(g)).alias("peak_g"), F.max(delta).alias("max_v"), F.min(delta).alias("min_v"))
+
+
+def subthreshold(traces: DataFrame, neuron: str, v: str, g: str, rest: float, threshold: float) -> DataFrame:
+    """One row: watched and responsive neurons (|v - rest| of threshold or more), largest and median peak voltage, largest drive, extremes."""
+    if threshold <= 0:
+        raise ValueError("the threshold is positive")
+    return _peaks(traces, neuron, v, g, rest).agg(F.count("*").alias("watched"), F.count_if(F.col("peak_v") >= threshold).alias("responsive"), F.max("peak_v").alias("max_peak"), F.percentile("peak_v", 0.5).alias("median_peak"), F.max("peak_g").alias("max_drive"), F.max("max_v").alias("max_delta"), F.min("min_v").alias("min_delta"))
+
+
+def subthreshold_top(traces: DataFrame, neuron: str, v: str, g: str, rest: float, n: int = 10) -> DataFrame:
+    """(neuron, peak_v, peak_g): the n neurons of the largest peaks; ties by neuron."""
+    return _peaks(traces, neuron, v, g, rest).orderBy(F.desc("peak_v"), neuron).limit(n).select(neuron, "peak_v", "peak_g")

@@ -73,7 +73,17 @@ def write_graph(edges: DataFrame, table: str, buckets: int = 64) -> None:
         edges.repartition(buckets, first).write.option("compression", "zstd").bucketBy(buckets, first).sortBy(first, second).mode("errorifexists").saveAsTable(f"{table}_{suffix}")
 
 
-def write_sorted(df: DataFrame, path: str, *order: str, partitions: int | None = None) -> None:
-    """Globally sorted ZSTD Parquet: ranges over partitions, sorted inside. Existing output raises."""
+def write_sorted(df: DataFrame, path: str, *order: str, partitions: int | None = None, group_rows: int | None = None) -> None:
+    """Globally sorted ZSTD Parquet: ranges over partitions, sorted inside, with row groups of at most group_rows. Existing output raises."""
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*[F.col(c) for c in order]).write.option("compression", "zstd").mode("errorifexists").parquet(path)
+    out = ranged.sortWithinPartitions(*[F.col(c) for c in order]).write.option("compression", "zstd").mode("errorifexists")
+    (out.option("parquet.block.row.count.limit", group_rows) if group_rows else out).parquet(path)
+
+
+def publish(spark: SparkSession, partial: str, path: str) -> None:
+    """A finished folder under its final name, by one rename. Existing output raises, and the partial one stays."""
+    where, system = _path(spark, path)
+    if system.exists(where):
+        raise FileExistsError(path)
+    if not system.rename(_path(spark, partial)[0], where):
+        raise OSError(f"{partial} could not become {path}")

@@ -107,3 +107,16 @@ class Registry:
         if name not in self._makers:
             raise KeyError(name)
         return self._makers[name](**options)
+
+
+def memory_limit(text: str) -> str:
+    """A limit such as 512MB or 4GB; anything else raises."""
+    if not re.fullmatch(r"[1-9][0-9]*(?:MB|GB)", text):
+        raise ValueError(f"{text!r} is no memory limit")
+    return text
+
+
+def sql_text(path: str) -> str:
+    """A path as an SQL string: single quotes doubled."""
+    doubled = path.replace("'", "''")
+    return f"'{doubled}'"

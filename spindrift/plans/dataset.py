@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,24 +36,30 @@ class Dataset:
         return graph.induced(self.edges, members)
 
 
+#: Rows of a row group of each table. Fixed values.
+NEURON_GROUP, EDGE_GROUP = 262_144, 1_048_576
+
+
 def build(spark: SparkSession, description: manifest.Manifest, folder: str, out: str) -> DataFrame:
     """Verify the source files, normalize, write out/neurons, out/edges, out/report and out/lock; the report.
 
-    Each table is written once, sorted, and published by Spark's committer; existing output raises. The
-    census must have the manifest's expected size, if it names one.
+    Each table is written once, sorted, in row groups of a fixed size, and all of them are published by one
+    rename; existing output raises, and a failed build leaves its partial folder. The census must have the manifest's
+    expected size, if it names one.
     """
+    final, out = out, f"{out}.partial-{uuid.uuid4().hex}"
     manifest.require(manifest.verify(spark, description, folder))
     ann, nts, con = (normalize.check_columns(arrow_ipc.read(spark, f"{folder}/{description.artifact(role).filename}", normalize.REQUIRED[role]), role) for role in manifest.ROLES)
     for df, key in ((ann, "bodyId"), (nts, "body")):
         found = normalize.check_unique_ids(df, key).first()
         if found.null_ids or found.duplicate_ids:
             raise ValueError(f"{key}: {found.null_ids} null and {found.duplicate_ids} repeated ids")
-    storage.write_sorted(normalize.neurons(ann, nts), f"{out}/neurons", "neuron_index")
+    storage.write_sorted(normalize.neurons(ann, nts), f"{out}/neurons", "neuron_index", group_rows=NEURON_GROUP)
     neurons = spark.read.parquet(f"{out}/neurons")
     if description.expected_neurons is not None and neurons.count() != description.expected_neurons:
         raise ValueError(f"{neurons.count()} neurons, {description.expected_neurons} expected")
     edges = normalize.checked_edges(normalize.edges(con, neurons.select("body_id", "neuron_index")))
-    storage.write_sorted(edges, f"{out}/edges", "target_index", "source_index")
+    storage.write_sorted(edges, f"{out}/edges", "target_index", "source_index", group_rows=EDGE_GROUP)
     edges = spark.read.parquet(f"{out}/edges")
     wrong = normalize.edge_order_violations(edges).first()
     if wrong.duplicate_pairs or wrong.bad_weights:
@@ -60,7 +68,8 @@ def build(spark: SparkSession, description: manifest.Manifest, folder: str, out:
     report.coalesce(1).write.json(f"{out}/report")
     locks = normalize.content_lock(neurons).withColumn("part", F.lit("neurons")).unionByName(normalize.content_lock(edges).withColumn("part", F.lit("edges")))
     locks.coalesce(1).write.json(f"{out}/lock")
-    return spark.read.json(f"{out}/report")
+    storage.publish(spark, out, final)
+    return spark.read.json(f"{final}/report")
 
 
 def validate(spark: SparkSession, out: str) -> DataFrame:

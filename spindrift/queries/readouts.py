@@ -6,15 +6,19 @@ import math
 
 from pyspark.sql import functions as F
 
+from spindrift.functions import scalars as sc
 from spindrift.operators import decode as dec
 from spindrift.operators import events as ev
 from spindrift.operators import features as ft
 from spindrift.operators import graph as g
 from spindrift.operators import metrics as m
 from spindrift.operators import pathways as pw
+from spindrift.operators import populations as pop
+from spindrift.operators import responses as rs
 from spindrift.operators import signals as sig
 from spindrift.operators import vision as vis
 from spindrift.plans import eye as eyes
+from spindrift.streaming import telemetry as t
 from spindrift.queries import graphs, measures
 from spindrift.queries import views as v
 
@@ -412,6 +416,55 @@ def heldout_benchmark(s, d):
     return rounded(dec.benchmark_sets(samples, measures._grid(s, (None, 0.05)), least=0.5), "train_score", "test_score")
 
 
+@query(W("spikes") + "SELECT event_id, least(floor(time_d * 0.5 + 1e-12), 9)::BIGINT AS frame FROM spikes")
+def frame_lookup(s, d):
+    return v.spikes(s, d).select("event_id", sc.frame_at(F.col("time_d"), 0.5, 10).alias("frame"))
+
+
+_PEAKS = _TRACE + ", p AS (SELECT neuron, max(abs(v)) AS peak_v, max(abs(g)) AS peak_g, max(v) AS max_v, min(v) AS min_v FROM t GROUP BY 1)"
+
+
+@query(W("spikes") + _PEAKS + " SELECT count(*) AS watched, count(*) FILTER (peak_v >= 49) AS responsive, round(max(peak_v), 6) AS max_peak, round(quantile_cont(peak_v, 0.5), 6) AS median_peak, round(max(peak_g), 6) AS max_drive, round(max(max_v), 6) AS max_delta, round(min(min_v), 6) AS min_delta FROM p")
+def subthreshold_summary(s, d):
+    return rounded(rs.subthreshold(_trace(s, d), "neuron", "v", "g", 0.0, 49.0), "max_peak", "median_peak", "max_drive", "max_delta", "min_delta")
+
+
+@query(W("spikes") + _PEAKS + " SELECT neuron, round(peak_v, 6) AS peak_v, round(peak_g, 6) AS peak_g FROM p ORDER BY p.peak_v DESC, neuron LIMIT 10")
+def subthreshold_top(s, d):
+    return rounded(rs.subthreshold_top(_trace(s, d), "neuron", "v", "g", 0.0), "peak_v", "peak_g")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp FROM events")
+def utc_stamps(s, d):
+    at = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    return v.read(s, d, "events").select("event_id", sc.utc_stamp(at).alias("stamp"))
+
+
+@query(W("neurons") + "SELECT row_number() OVER (ORDER BY body_id) AS rank, neuron_index FROM neurons WHERE superclass = 'ECONOMY' QUALIFY rank <= 7")
+def reference_sample(s, d):
+    specs = s.createDataFrame([("economy", "ECONOMY", None)], "key string, superclass string, sample_limit int")
+    return pop.first(pop.resolve(v.neurons(s, d), specs, ["superclass"]), 7).select("rank", "neuron_index")
+
+
+@query(W("edges") + graphs._LAYERS + " SELECT target, hop, row_number() OVER (PARTITION BY target, hop ORDER BY synapse_count DESC, source_index, target_index) AS rank, source_index, target_index, synapse_count FROM between_ QUALIFY rank <= 2")
+def truncated_layers(s, d):
+    return g.truncated_layers(g.layer_edges(*graphs._layers(s, d)), 2).select("target", "hop", "rank", "source_index", "target_index", "synapse_count")
+
+
+@query("""WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'factorized-2d' WHEN 'click' THEN 'horizontal-1d' ELSE 'vertical-1d' END AS recording, user_id % 64 AS episode, event_id % 4096 AS step, value / 100 AS a, (event_id % 97) / 97.0::DOUBLE AS b, event_id FROM events)
+SELECT step AS row, recording, recording || ':episode-' || (episode + 1) || ':step-' || step AS event_id, CASE recording WHEN 'factorized-2d' THEN 'horizontal,vertical' WHEN 'horizontal-1d' THEN 'horizontal' ELSE 'vertical' END AS axes, CASE recording WHEN 'factorized-2d' THEN 'LEFT,RIGHT,UP,DOWN' WHEN 'horizontal-1d' THEN 'LEFT,RIGHT' ELSE 'UP,DOWN' END AS labels,
+CASE WHEN recording = 'vertical-1d' THEN 0.0 ELSE round(b - a, 6) END AS dx, CASE WHEN recording = 'horizontal-1d' THEN 0.0 ELSE round(a - b, 6) END AS dy, round(a - b, 6) AS distance_delta, b < a AS improved FROM r""")
+def recorded_steps(s, d):
+    e = v.read(s, d, "events")
+    kind = F.when(F.col("event_type") == "view", "factorized-2d").when(F.col("event_type") == "click", "horizontal-1d").otherwise("vertical-1d")
+    a, b = F.col("value") / 100, (F.col("event_id") % 97) / 97.0
+    point = lambda x, y: F.struct(F.when(kind != "vertical-1d", x).alias("x"), F.when(kind != "horizontal-1d", y).alias("y"))
+    steps = e.select(kind.alias("recording"), (F.col("user_id") % 64).alias("episode"), (F.col("event_id") % 4096).alias("step"), point(a, b).alias("before"), point(b, a).alias("after"), point(b, b).alias("target"), a.alias("distance_before"), b.alias("distance_after"), F.col("event_id").alias("row"))
+    out = t.recorded_steps(steps.withColumn("step", F.col("step")))
+    both = out.select("recording", "event_id", "axes", "labels", "dx", "dy", "distance_delta", "improved").withColumn("row", F.regexp_extract("event_id", "step-([0-9]+)$", 1).cast("long"))
+    return rounded(both, "dx", "dy", "distance_delta")
+
+
 # from the screen to the network: nations as the columns of an eye and as neurons
 
 PROTOCOL = eyes.Protocol(1, 2, 1, _VISION, 1.0, 0.01, 0.002, 1.8)

@@ -143,3 +143,16 @@ def documents(spark: SparkSession, path: str, schema: str | None = None) -> Data
     if "schema_version" not in rows.columns:
         raise ValueError("no schema_version")
     return rows.withColumn("schema_version", F.when(F.col("schema_version") == 1, F.col("schema_version")).otherwise(F.raise_error(F.lit("unknown schema_version")).cast(rows.schema["schema_version"].dataType)))
+
+
+def vectors(spark: SparkSession, path: str, sided: bool = False) -> DataFrame:
+    """(side, p, q, x, y, z) of a CSV file of raw vectors; without sides (columns p, q instead of raw_p, raw_q) side is null.
+
+    A number that isn't one raises while it's read, and an empty table at once.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    if rows.isEmpty():
+        raise ValueError(f"no vectors in {path}")
+    whole = lambda c, name: F.col(c).cast("int").alias(name)  # noqa: E731  ANSI casts raise
+    side = F.col("side") if sided else F.lit(None).cast("string")
+    return rows.select(side.alias("side"), whole("raw_p" if sided else "p", "p"), whole("raw_q" if sided else "q", "q"), *[F.col(c).cast("double").alias(c) for c in "xyz"])

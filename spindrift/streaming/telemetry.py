@@ -119,3 +119,39 @@ def replay_steps(episodes: DataFrame) -> DataFrame:
     """(episode, step, dx, dy, distance_delta, improved) of nested episodes(episode, steps: array of x0, y0, x1, y1, distance_before, distance_after)."""
     flat = episodes.select("episode", F.posexplode("steps").alias("step", "s"))
     return flat.select("episode", "step", (F.col("s.x1") - F.col("s.x0")).alias("dx"), (F.col("s.y1") - F.col("s.y0")).alias("dy"), (F.col("s.distance_before") - F.col("s.distance_after")).alias("distance_delta"), (F.col("s.distance_after") < F.col("s.distance_before")).alias("improved"))
+
+
+#: Recordings by how many axes they have: the axes' names, what their probes are called, and the labels of their scores. Fixed values.
+AXES = {"horizontal": ("LEFT", "RIGHT"), "vertical": ("UP", "DOWN")}
+KINDS = {"horizontal-1d": ("horizontal",), "vertical-1d": ("vertical",), "factorized-2d": ("horizontal", "vertical")}
+
+
+def recorded_steps(steps: DataFrame, most_episodes: int = 64, most_steps: int = 4096) -> DataFrame:
+    """Steps of recordings in one form: (recording, episode, step, event_id, axes, labels, before_x, before_y, target_x, target_y, dx, dy, distance_delta, improved).
+
+    steps: recording (one of KINDS), episode, step, before, after and target (structs x, y, where an axis that the recording
+    lacks is null and counts as the middle), distance_before, distance_after. Episodes and steps beyond the
+    bounds, and unknown recordings, raise while they're read.
+    """
+    middle = lambda c: F.coalesce(F.col(c), F.lit(0.5))
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k, v in KINDS.items() for x in (k, v)])
+    labels = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k, v in AXES.items() for x in (k, v)])
+    axes = F.try_element_at(known, F.col("recording"))
+    bad = axes.isNull() | (F.col("episode") >= most_episodes) | (F.col("step") >= most_steps)
+    checked = F.when(~F.coalesce(bad, F.lit(True)), F.col("recording")).otherwise(F.raise_error(F.lit("unknown recording, or beyond its bounds")).cast("string"))
+    return steps.select(
+        checked.alias("recording"), "episode", "step", F.concat(F.col("recording"), F.lit(":episode-"), F.col("episode") + 1, F.lit(":step-"), F.col("step")).alias("event_id"),
+        F.array_join(axes, ",").alias("axes"), F.array_join(F.flatten(F.transform(axes, lambda a: F.try_element_at(labels, a))), ",").alias("labels"),
+        middle("before.x").alias("before_x"), middle("before.y").alias("before_y"), middle("target.x").alias("target_x"), middle("target.y").alias("target_y"),
+        (middle("after.x") - middle("before.x")).alias("dx"), (middle("after.y") - middle("before.y")).alias("dy"),
+        (F.col("distance_before") - F.col("distance_after")).alias("distance_delta"), (F.col("distance_after") < F.col("distance_before")).alias("improved"),
+    )
+
+
+def recording_catalog(spark, folder: str, files: dict[str, str]) -> DataFrame:
+    """(recording, file, available) of the named recordings, and of nothing else in the folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [(name, file, bool(system.exists(jvm.org.apache.hadoop.fs.Path(where, file)))) for name, file in sorted(files.items())]
+    return spark.createDataFrame(rows, "recording string, file string, available boolean")
