@@ -110,7 +110,7 @@ def _unpacked_hashes(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _blocks(batches, id_type: pa.DataType):
+def _blocks(batches, id_type: pa.DataType, most: int):
     """(number of the block, its id, held or not, texts, weights, ids): cut from one task's rows, the deleted fold apart."""
     waiting: dict[bool, list] = {True: [], False: []}
     size = {True: 0, False: 0}
@@ -130,16 +130,16 @@ def _blocks(batches, id_type: pa.DataType):
                 held = row[3]
                 waiting[held].append((row[0], row[1], row[2]))
                 size[held] += len(row[2]) + 16
-                if size[held] >= BLOCK:
+                if size[held] >= most:
                     yield cut(held)
     for held in (True, False):
         if waiting[held]:
             yield cut(held)
 
 
-def _count(shards: int, id_type: pa.DataType):
+def _count(shards: int, id_type: pa.DataType, most: int):
     def run(batches):
-        for name, held, texts, weights, _ in _blocks(batches, id_type):
+        for name, held, texts, weights, _ in _blocks(batches, id_type, most):
             block = Block(texts, weights)
             rows = []
             for kind, (_, hashes, counts) in block.asked.items():
@@ -175,12 +175,12 @@ def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "held": pa.array([*held, None], pa.bool_()), "kind": pa.array([kind] * (n + 1)), "shard": pa.array([shard] * (n + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "kinds": pa.array([None] * n + [int((total > 0).sum())], pa.int64()), "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()), "retained": pa.array([None] * n + [int(both[0].sum())], pa.int64())})
 
 
-def _payload(id_type: pa.DataType, only_held: bool):
+def _payload(id_type: pa.DataType, only_held: bool, most: int):
     """One compressed row for each block: ids, weights and texts."""
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for name, held, texts, weights, ids in _blocks(batches, id_type):
+        for name, held, texts, weights, ids in _blocks(batches, id_type, most):
             if held or not only_held:
                 sink = pa.BufferOutputStream()
                 batch = pa.RecordBatch.from_arrays([ids, pa.array(weights), pa.array(texts, pa.binary())], names=["id", "weight", "text"])
@@ -273,7 +273,7 @@ def _score(id_type: pa.DataType, key_name: str, tokens: int, kinds: int, weights
     return work
 
 
-def score(docs: DataFrame, train, deleted, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train, deleted, key: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     train: boolean Column, which rows are learned from; deleted: which of those the mixture weights are
@@ -281,32 +281,37 @@ def score(docs: DataFrame, train, deleted, key: str = "doc_id", text: str = "tex
     log10 probability by the interpolated model. Null text counts as empty: one end. Null keys and
     repeated rows are rows like others. No training rows: every estimate is the uniform one.
 
+    block_bytes (BLOCK): text that a block holds, and that a shard of the hash range stands for. About (size of all texts
+    / block_bytes) squared rows go to the shards, and a task needs some 30 times block_bytes of memory: give it
+    what the executors allow, so that rows stay long on large inputs. Results don't depend on it.
+
     docs is read three times and must give the same rows in the same tasks each time, as tables do; if it
     doesn't, that is noticed and raised.
     """
     id_type = to_arrow_type(docs.schema[key].dataType)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).cast("int").alias("weight"), F.coalesce(train & deleted, F.lit(False)).alias("held"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // BLOCK))
+    most = block_bytes or BLOCK
+    shards = max(1, -(-size // most))
 
-    asked = rows.mapInArrow(_count(shards, id_type), "kind string, shard int, block long, held boolean, hashes binary, counts binary")
+    asked = rows.mapInArrow(_count(shards, id_type, most), "kind string, shard int, block long, held boolean, hashes binary, counts binary")
     answered = common.materialize(asked.groupBy("kind", "shard").applyInArrow(_add_up, _RETURNS), "answers")
     sums = answered.where("block is null and kind = 'u'").agg(F.sum("kinds"), F.sum("tokens"), F.sum("retained")).first()
     kinds, tokens, retained = (int(x or 0) for x in sums)
     answers = answered.where("block is not null").select("block", "held", "kind", "shard", "answer")
 
-    held = rows.mapInArrow(_payload(id_type, True), _SCHEMA)
+    held = rows.mapInArrow(_payload(id_type, True, most), _SCHEMA)
     tally = held.groupBy("block").cogroup(answers.where("held").groupBy("block")).applyInArrow(_tally(retained), "bucket long, p2 long, p1 long, n long")
     cells = tally.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS x steps x steps
     weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4), 1 / (kinds + 1))
 
     fields = T.StructType([T.StructField(key, from_arrow_type(id_type), True), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = rows.mapInArrow(_payload(id_type, False), _SCHEMA).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(id_type, key, tokens, kinds, weights), fields)
+    scored = rows.mapInArrow(_payload(id_type, False, most), _SCHEMA).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(id_type, key, tokens, kinds, weights), fields)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents; fold 2 of 7 is held out, fold 3 is the deleted one."""
+    """Scores of all documents; fold 2 of 7 is held out, fold 3 is the deleted one. Nulls, empty texts and repeated rows: as score() says."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = common.fold("doc_id", 7)
     return score(docs, fold != 2, fold == 3).select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

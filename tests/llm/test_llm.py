@@ -503,11 +503,26 @@ def test_lm_blocks_dont_matter(spark, documents, monkeypatch):
 
 def test_lm_block_names():
     """Blocks whose rows differ only late in their texts have names of their own."""
-    name = lambda t: next(ngram_lm._blocks([pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "weight": [1], "held": [False], "text": [t]})], pa.int64()))[0]
+    name = lambda t: next(ngram_lm._blocks([pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "weight": [1], "held": [False], "text": [t]})], pa.int64(), ngram_lm.BLOCK))[0]
     start = "the same opening words " * 4
     assert name(start + "one") == name(start + "one") != name(start + "two")
 
 
+def test_lm_repeated_and_null_ids(spark):
+    """Rows that share id, length and opening, over several partitions, against plain counts; any size of blocks."""
+    start = "the same opening words of a template " * 3
+    texts = [start + x for x in ("aaa bbb", "ccc ddd", "aaa ddd", "eee")] * 3 + [start + "aaa bbb"] * 2
+    rows = [(None if i % 3 else 1, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(5).cache()
+    c = Counter(w for t in texts for w in [*t.split(), "</s>"])
+    n, v = sum(c.values()), len(c)
+    want = sorted(round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*t.split(), "</s>"]), 9) for t in texts)
+    for size in (None, 200, 1 << 20):
+        out = ngram_lm.score(docs, F.lit(True), F.length("text") % 2 == 0, block_bytes=size).toPandas()
+        assert sorted(round(x, 9) for x in out.base_score) == want and (out.n_known == out.n_tokens).all() and out.doc_id.isna().sum() == sum(r[0] is None for r in rows)
+
+
 def test_lm_weights():
     cells = np.array([(3, 0, -8, 90), (3, 1, -8, 10), (5, 1, 1, 50)])
     w = ngram_lm.learn_weights(cells, 1e-4)
