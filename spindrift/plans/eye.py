@@ -142,6 +142,47 @@ def position_features(conditions: DataFrame, eye: Eye, screen: vision.Screen, pr
     return samples.groupBy("condition").applyInArrow(work, FEATURES)
 
 
+def receptor_drives(shown: np.ndarray, groups: tuple[tuple[int, ...], ...], protocol: Protocol, graph: events.Adjacency) -> list[events.Drive]:
+    """Delayed drives of each column's photoreceptors on their targets, by how far release departs from that at the background."""
+    vision_ = protocol.vision
+    release = signals.graded_traces(shown, vision_)["release"] - (vision_.tonic + (1 - vision_.tonic) * vision_.background)
+    delay = round(protocol.delay_ms / vision_.dt_ms)
+    signal = np.clip(release / protocol.gain, -1, 1)
+    amplitude = np.zeros_like(signal)
+    amplitude[delay:] = (np.where(np.abs(signal) <= protocol.epsilon, 0.0, signal) * protocol.factor)[: len(signal) - delay]
+    out = []
+    for column, group in enumerate(groups):
+        for source in group if amplitude[:, column].any() else ():
+            own = slice(graph.start[source], graph.start[source + 1])
+            if graph.sign[source]:
+                out.append(events.Drive(graph.target[own], graph.count[own] * float(graph.sign[source]), amplitude[:, column]))
+    return out
+
+
+TRACES = "condition long, step long, time_s double, neuron_index int, v double, g double, spikes long"
+
+
+def position_traces(conditions: DataFrame, eye: Eye, screen: vision.Screen, protocol: Protocol, graph: events.Adjacency, watch: tuple[int, ...], receptors: tuple[tuple[int, ...], ...] | None = None, config: events.Lif = events.Lif(), clamped: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(TRACES of the watched neurons, samples (condition, key, frame, intensity)) of each condition; spikes: a neuron's over the whole run.
+
+    The network is driven by the eye's lamina sources, or by receptors: a group of neurons for each column.
+    """
+    shared = conditions.sparkSession.sparkContext.broadcast((eye, graph))
+    samples = column_samples(vision.condition_frames(conditions, screen, protocol.before, protocol.during, protocol.after), eye, screen, protocol.frames)
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        eye, graph = shared.value
+        shown = luminance(table, eye, protocol.frames, screen.background)
+        drives = lamina_drives(shown, eye, protocol, graph) if receptors is None else receptor_drives(shown, receptors, protocol, graph)
+        sim = events.Simulator(graph, config, clamped=clamped)
+        sim.check(drives)
+        out = sim.advance(sim.fresh(), protocol.seconds(protocol.frames), drives=drives, watch=watch, max_events=0)
+        step, neuron, v, g = (np.array(x) for x in zip(*out["trace"], strict=True))
+        return pa.table({"condition": pa.array([key[0].as_py()] * len(step), pa.int64()), "step": pa.array(step, pa.int64()), "time_s": step * config.dt / 1000, "neuron_index": pa.array(neuron, pa.int32()), "v": v, "g": g, "spikes": pa.array(out["counts"][neuron], pa.int64())})
+
+    return samples.groupBy("condition").applyInArrow(work, TRACES), samples
+
+
 def position_samples(features: DataFrame, conditions: DataFrame) -> DataFrame:
     """(condition, axis, position, voltage, drive, spike, temporal_voltage, temporal_drive): a condition's features as arrays in the order of neurons."""
     packed = features.groupBy("condition").agg(F.sort_array(F.collect_list(F.struct("neuron_index", "voltage", "drive", F.col("spikes").cast("double").alias("spike"), "temporal_voltage", "temporal_drive"))).alias("n"))

@@ -49,6 +49,51 @@ def screen_geometry(spark, directions: DataFrame, screen: vision.Screen, positio
     return {"sweep": out, "summary": summary.crossJoin(seen_n)}  # a row
 
 
+def spatial_neural_vision(conditions: DataFrame, eye: eyes.Eye, screen: vision.Screen, protocol: eyes.Protocol, graph_arrays: events.Adjacency, receptors: tuple[tuple[int, ...], ...], targets: tuple[int, ...], config: events.Lif = events.Lif()) -> DataFrame:
+    """metrics.condition_summary() of conditions (condition, kind, axis, position): what each column's target neuron does while photoreceptors see a bar."""
+    spark = conditions.sparkSession
+    traces, samples = eyes.position_traces(conditions, eye, screen, protocol, graph_arrays, tuple(sorted(set(targets))), receptors, config)
+    start, stop = protocol.seconds(protocol.before), protocol.seconds(protocol.before + protocol.during)
+    delta = F.col("v") - config.resting
+    seen = traces.where((F.col("time_s") >= start) & (F.col("time_s") < stop)).groupBy("condition", "neuron_index").agg(F.max("g").alias("peak"), F.min("g").alias("low"), F.max(delta).alias("v_peak"), F.min(delta).alias("v_low"))
+    rows = [(k, int(n), len(group)) for k, n, group in zip(eye.keys, targets, receptors, strict=True)]
+    columns = spark.createDataFrame(rows, "key long, neuron_index int, sources int")  # the eye's columns
+    places = eye.table(spark).select("key", *sc.screen(F.col("forward"), F.col("right"), F.col("up"), *eye.field_deg)).where("visible")
+    means = vision.window_mean(samples, ["condition", "key"], protocol.before, protocol.during)
+    joined = seen.join(F.broadcast(columns), "neuron_index").join(F.broadcast(places), "key").join(means, ["condition", "key"]).join(conditions, "condition")
+    joined = joined.withColumns({"coordinate": F.when(F.col("axis") == "horizontal", F.col("u")).otherwise(F.col("v")), "background": F.lit(screen.background)})
+    return metrics.condition_summary(joined)
+
+
+def graded_lamina(conditions: DataFrame, eye: eyes.Eye, screen: vision.Screen, protocol: eyes.Protocol, graph_arrays: events.Adjacency, watch: tuple[int, ...], threshold: float, n: int = 10, config: events.Lif = events.Lif()) -> dict[str, DataFrame]:
+    """summary and top of the watched neurons' peaks below threshold, over all conditions of a lamina-driven network."""
+    traces = storage.materialize(eyes.position_traces(conditions, eye, screen, protocol, graph_arrays, watch, None, config)[0], "traces")
+    return {"summary": responses.subthreshold(traces, "neuron_index", "v", "g", config.resting, threshold), "top": responses.subthreshold_top(traces, "neuron_index", "v", "g", config.resting, n), "traces": traces}
+
+
+def early_vision_comparison(luminance: DataFrame, lif_trace: DataFrame, protocol: eyes.Protocol, rest: float) -> DataFrame:
+    """(model, signal, windowed metrics): the graded model's lamina signals (median over channels) beside a spiking population's median voltage.
+
+    luminance: channel, frame, luminance. lif_trace: time_s, neuron, v.
+    """
+    graded = signals.graded_channels(luminance, protocol.vision)
+    long = graded.select((F.col("step") * protocol.vision.dt_ms / 1000).alias("time_s"), F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.col(k).alias("value")) for k in eyes.KINDS])).alias("x")).select("time_s", F.lit("graded").alias("model"), "x.signal", "x.value")
+    spiking = lif_trace.select("time_s", F.lit("spiking").alias("model"), F.lit("voltage").alias("signal"), (F.col("v") - rest).alias("value"))
+    both = metrics.median_trace(long.unionByName(spiking), ["model", "signal"], "time_s", "value")
+    return metrics.windowed_signal(both, ["model", "signal"], "value", "time_s", protocol.seconds(protocol.before), protocol.seconds(protocol.before + protocol.during))
+
+
+def motor_characterization(traces: DataFrame, populations: DataFrame, rest: float, plus: str, minus: str, limits: DataFrame) -> dict[str, DataFrame]:
+    """members, populations, difference and gates of motor populations (population, neuron_index) in TRACES of conditions.
+
+    limits: name, low, high of the gates; their names are population|condition, of the mean signed voltage peak.
+    """
+    members = features.window_features(traces, ["condition", "neuron_index"], "v", "g", rest).join(traces.select("condition", "neuron_index", "spikes").distinct(), ["condition", "neuron_index"]).join(populations, "neuron_index")
+    peaks = responses.population_peaks(members, ["condition", "population"], "voltage", "drive", "spikes")
+    named = peaks.select(F.concat_ws("|", "population", "condition").alias("name"), F.col("mean_voltage").alias("value"))
+    return {"members": members, "populations": peaks, "difference": responses.channel_difference(peaks, ["condition"], "population", "mean_voltage", plus, minus), "gates": metrics.gates(named, limits)}
+
+
 def position_readout(samples: DataFrame, train: list[float], test: list[float], alpha: float, modalities: tuple[str, ...] = ("voltage", "drive", "spike")) -> DataFrame:
     """(axis, modality, active, position, train, actual, predicted): a ridge per axis and modality, fitted on the train positions.
 

@@ -162,6 +162,53 @@ def test_pixel_motor_with_its_control(spark, sf):
         studies.pixel_motor(frames, eye, SCREEN, readouts.PROTOCOL, graph, {"left": (1,)}, 10.0, most_frames=3)
 
 
+def test_spatial_neural_vision(spark, sf):
+    eye, graph = readouts.nation_eye(spark, sf), readouts._network(spark, sf)
+    conditions = readouts.seen_conditions(spark, sf)
+    receptors, targets = tuple((k, (k + 3) % 25) for k in range(25)), tuple((k + 1) % 25 for k in range(25))
+    out = {r.condition: r for r in studies.spatial_neural_vision(conditions, eye, SCREEN, readouts.PROTOCOL, graph, receptors, targets).collect()}
+    gain = lambda tau: 1 - math.exp(-0.1 / tau)
+    for r in conditions.collect():
+        shown = plain_samples(plain_frames(r.kind, r.axis == "horizontal", r.position), eye)
+        drives = np.zeros((400, 25))
+        for col in range(25):
+            p = 0.5
+            for t in range(400 - 18):
+                p += gain(15.0) * (shown[t // 100, col] - p)
+                x = 0.9 * (p - 0.5)
+                amplitude = 0.0 if abs(x) <= 0.01 else max(-1.0, min(1.0, x)) * 0.002
+                for source in receptors[col]:
+                    for e in range(graph.start[source], graph.start[source + 1]):
+                        drives[t + 18, graph.target[e]] += amplitude * graph.count[e] * graph.sign[source]
+        v, g, _ = plain_run(graph, drives, 400)
+        got, window = out[r.condition], slice(100, 300)
+        mean = shown[1:3].mean(0)
+        active = {"baseline": np.zeros(25, bool), "dark": mean < 0.5 - 1e-9, "bright": mean > 0.5 + 1e-9}[r.kind]
+        assert (got.active_columns, got.active_sources) == (active.sum(), 2 * active.sum())
+        assert got.max_drive == pytest.approx(g[window].max(), abs=1e-9) and got.min_voltage == pytest.approx(v[window].min(), abs=1e-9)
+        own = [targets[k] for k in range(25) if active[k]]
+        want = None if not own else np.mean([g[window, i].max() > 0 if r.kind == "dark" else g[window, i].min() < 0 for i in own])
+        assert got.expected_sign == pytest.approx(want) if own else got.expected_sign is None
+
+
+def test_lamina_motor_and_early_vision(spark, sf):
+    eye, graph = readouts.nation_eye(spark, sf), readouts._network(spark, sf)
+    conditions = readouts.seen_conditions(spark, sf).where("kind <> 'baseline'")
+    out = studies.graded_lamina(conditions, eye, SCREEN, readouts.PROTOCOL, graph, tuple(range(25)), 0.05, 5)
+    features = readouts.QUERIES["position_features"](spark, sf).collect()
+    summary, top = out["summary"].first(), out["top"].collect()
+    assert summary.watched == 25 and len(top) == 5 and top[0].peak_v == pytest.approx(summary.max_peak) and summary.max_peak >= max(abs(r.voltage) for r in features) - 1e-5
+    populations = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "population string, neuron_index int")
+    limits = spark.createDataFrame([("a|3", None, None), ("none", 0.0, None)], "name string, low double, high double")
+    motor = studies.motor_characterization(out["traces"], populations, -52.0, "a", "b", limits)
+    n = conditions.count()
+    assert motor["members"].count() == 3 * n and motor["populations"].count() == 2 * n and motor["difference"].count() == n and {r.name: r.passed for r in motor["gates"].collect()}["none"] is False
+    shown = spark.createDataFrame([(c, f, 0.1 if 1 <= f < 3 else 0.5) for c in range(3) for f in range(4)], "channel long, frame long, luminance double")
+    trace = spark.createDataFrame([(t / 1000, n, -52.0 + n * t) for t in range(40) for n in range(3)], "time_s double, neuron int, v double")
+    rows = {r.signal: r for r in studies.early_vision_comparison(shown, trace, readouts.PROTOCOL, -52.0).collect()}
+    assert set(rows) == {"l1", "l2", "l3", "voltage"} and rows["l1"].stimulus_max > 0.1 and rows["voltage"].abs_peak == 39.0
+
+
 def test_position_readout(spark):
     rows = [(a, p / 10, [p / 10, 1.0, float(p % 3)], [0.0] * 3, [1.0, p * p / 100, 0.0]) for a in ("horizontal", "vertical") for p in range(11)]
     samples = spark.createDataFrame(rows, "axis string, position double, voltage array<double>, drive array<double>, spike array<double>")
