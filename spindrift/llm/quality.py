@@ -122,21 +122,15 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("products")]
 
 
-def _sent(groups: DataFrame) -> DataFrame:
-    """A written table of a row for each group, for joins with all points: broadcast up to a bound, beyond it by shuffle."""
-    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
-
-
-def estimates(points: DataFrame, central: float = 0.75, steps: int = 5) -> DataFrame:
+def estimates(points: DataFrame, central: float = 0.75, steps: int = 5, few: bool = False) -> DataFrame:
     """(g, mean, inverse, scale): the MCD estimate of each group g of points (g, x0..x3). A row may stand in several groups.
 
     central: the part of a group's points that the estimate rests on. scale makes the median squared
-    distance that of a normal distribution.
+    distance that of a normal distribution. few: there are at most MOST_BROADCAST groups, so a step's estimates (300
+    bytes each) go to all tasks; else they are joined by shuffle.
     """
     median = F.percentile_approx
-    # a row of about 300 bytes for each group: sent to all tasks up to a bound, beyond it joined by shuffle
-    few = points.select("g").distinct().count() <= MOST_BROADCAST
-    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    sent = F.broadcast if few else lambda df: df
     start = points.groupBy("g").agg(F.array(*[median(f"x{i}", 0.5, 1000) for i in range(_D)]).alias("mean"), F.array(*[median(f"x{i}", 0.75, 1000) - median(f"x{i}", 0.25, 1000) for i in range(_D)]).alias("range"))
     spread = [(F.col("range")[i] / 1.349) * (F.col("range")[i] / 1.349) + FLOOR[i] ** 2 for i in range(_D)]
     now = start.select("g", "mean", F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inverse"))
@@ -169,18 +163,20 @@ def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 50, min_words
     stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(point())})
     name = lambda *parts: F.to_json(F.struct(*[F.coalesce(F.col(p), F.lit("\0")).alias(p) for p in parts]))
     stats = stats.withColumn("fine", name("lang", "source")).withColumn("coarse", name("lang"))
-    good = stats.where(~F.col("base_failed"))
-    fine = _sent(common.materialize(good.groupBy("fine").agg(F.count("*").alias("nf")), "groups"))
-    coarse = _sent(common.materialize(good.groupBy("coarse").agg(F.count("*").alias("nc")), "groups"))
-    group = F.when(F.coalesce("nf", F.lit(0)) >= least_group, F.col("fine")).when(F.coalesce("nc", F.lit(0)) >= least_group, F.col("coarse")).otherwise(F.lit("all"))
+    # a row for each language and source: the group that judges it, its own if that is large enough
+    good = F.col("good")
+    sizes = stats.groupBy("fine", "coarse").agg(F.count_if(~F.col("base_failed")).alias("good")).withColumn("all", F.sum(good).over(Window.partitionBy("coarse")))
+    group = F.when(good >= least_group, F.col("fine")).when(F.col("all") >= least_group, F.col("coarse")).otherwise(F.lit("all"))
+    sizes = common.materialize(sizes.select("fine", good, group.alias("g")), "groups")
+    few = sizes.count() <= MOST_BROADCAST
+    sent = F.broadcast if few else lambda df: df
     xs = [f"x{i}" for i in range(_D)]
-    stats = common.materialize(stats.join(fine, "fine", "left").join(coarse, "coarse", "left").withColumn("g", group).select("id", *STATS, "base_failed", *xs, "g", "fine", "coarse"), "points")
-    good = stats.where(~F.col("base_failed"))
-    # a group's estimate rests on all of its rows, also on those that a smaller group judges
-    needed = _sent(common.materialize(good.select("g").distinct(), "needed"))
-    among = good.select(*xs, F.explode(F.array("fine", "coarse", F.lit("all"))).alias("g")).join(needed, "g")
-    found = common.materialize(estimates(among, **options), "estimates")
-    out = stats.join(_sent(found), "g", "left").withColumn("distance", _distance() / F.col("scale"))
+    stats = common.materialize(stats.join(sent(sizes.select("fine", "g")), "fine").select("id", *STATS, "base_failed", *xs, "g", "fine", "coarse"), "points")
+    # an estimate rests on all rows of its group, also on those that a smaller group judges
+    needed = sizes.where(good > 0).select("g").distinct()
+    among = stats.where(~F.col("base_failed")).select(*xs, F.explode(F.array("fine", "coarse", F.lit("all"))).alias("g")).join(sent(needed), "g")
+    found = common.materialize(estimates(among, few=few, **options), "estimates")
+    out = stats.join(sent(found), "g", "left").withColumn("distance", _distance() / F.col("scale"))
     return out.select(F.col("id").alias(key), *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 
 
