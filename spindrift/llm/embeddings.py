@@ -41,7 +41,8 @@ class Lines:
     vectors: how many there are of a label, at most. cell, reach, window: in spreads of the difference of two
     projections at the wanted cosine, the width of grid cells, and half the windows on sorted lines and
     for counting. unmet: how often a pair at the cosine may meet in no group; miss: how often its count may
-    fall short. counted: lines that collisions are counted on, at most.
+    fall short. counted: lines that collisions are counted on, at most. A cosine that would need more than 2,000
+    groups (0.88 and less at a million vectors) raises: random lines don't tell such pairs from chance.
     """
 
     def __init__(self, dimension: int, cosine: float, vectors: int, cell: float = 4.5, reach: float = 2.5, window: float = 1.5, unmet: float = 1e-3, miss: float = 1e-4, counted: int = 168, seed: int = 9):
@@ -53,6 +54,8 @@ class Lines:
         same_cell = 1 - math.sqrt(2 / math.pi) / cell
         meet = same_cell ** (self.per_group - 1) * math.erf(reach / math.sqrt(2))
         self.groups = max(1, math.ceil(math.log(unmet) / math.log1p(-meet)))
+        if self.groups > 2_000:
+            raise ValueError(f"cosine {cosine} is too low for {vectors} vectors of a label")
         n = self.groups * self.per_group
         random = np.random.default_rng([seed, dimension])
         self.lines = random.standard_normal((dimension, n))

@@ -76,6 +76,14 @@ def test_pairs_at_the_cosine_meet_and_pass_the_count(vectors):
     assert chance * vectors < 50 * lines.groups
 
 
+def test_lines_follow_the_vectors():
+    sizes = [embeddings.Lines(8, 0.98, 10**k) for k in range(1, 10)]
+    assert [x.per_group for x in sizes] == sorted(x.per_group for x in sizes) and sizes[-1].groups < 200
+    assert embeddings.Lines(8, 0.9, 10**5).groups < 500
+    with pytest.raises(ValueError):
+        embeddings.Lines(8, 0.7, 10**5)
+
+
 def test_windows():
     rng = np.random.default_rng(5)
     keys, spots = rng.integers(0, 9, 400), rng.normal(0, 1, 400)
