@@ -150,3 +150,8 @@ def utc_stamp(at: Column) -> Column:
 def frame_at(time_s: Column, rate_hz: float, frames: int) -> Column:
     """The frame that shows at a time, the last one from its start on."""
     return F.least(F.floor(time_s * rate_hz + 1e-12), F.lit(frames - 1)).cast("long")
+
+
+def relative_position(target: Column, cursor: Column, center: float = 0.5, low: float = 0.0, high: float = 1.0) -> Column:
+    """Where a target appears around a cursor that stays at the centre, kept within bounds."""
+    return clamp(F.lit(center) + target - cursor, low, high)

@@ -243,3 +243,14 @@ def condition_summary(columns: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("__a"), expected.cast("double"))).alias("expected_sign"), F.try_divide(F.sum(F.col("coordinate") * F.col("__w")), F.sum("__w")).alias("centroid"),
         F.max(F.greatest(F.abs("peak"), F.abs("low"))).alias("max_abs_drive"), F.max("peak").alias("max_drive"), F.min("low").alias("min_drive"), F.max("v_peak").alias("max_voltage"), F.min("v_low").alias("min_voltage"),
     )
+
+
+def run_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of repeated runs (wall_s, simulated_s, spikes, visited, memory): how many, median and 95th percentile of the time, median
+    ratio of simulated to wall time, whether spikes and visited edges are the same in all, and the most memory."""
+    same = lambda c: F.count_distinct(c) == 1
+    ratio = F.try_divide(F.col("simulated_s"), F.col("wall_s"))
+    return runs.groupBy(*by).agg(
+        F.count("*").alias("repeats"), F.percentile("wall_s", 0.5).alias("median_s"), F.percentile("wall_s", 0.95).alias("p95_s"), F.percentile(ratio, 0.5).alias("median_ratio"),
+        same("spikes").alias("same_spikes"), same("visited").alias("same_visited"), F.max("memory").alias("max_memory"),
+    )

@@ -181,3 +181,12 @@ def require_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
 def require_subset(left: DataFrame, right: DataFrame, key: str) -> None:
     if not left.select(key).join(right.select(key), key, "left_anti").isEmpty():
         raise ValueError(f"values of {key} are missing")
+
+
+def diagnosis(members: DataFrame, neurons: DataFrame) -> DataFrame:
+    """(fact, value, n): how many of a set's neurons have each transmitter, sign, side and instance; missing ones are called so."""
+    mine = neurons.join(members.select("neuron_index").distinct(), "neuron_index", "left_semi")
+    told = lambda name, c: F.struct(F.lit(name).alias("fact"), F.coalesce(c.cast("string"), F.lit("missing")).alias("value"))
+    nt = F.lower(F.coalesce("ground_truth_nt", "consensus_nt"))
+    facts = F.array(told("transmitter", nt), told("sign", F.col("sign")), told("side", F.col("root_side")), told("instance", F.col("instance")))
+    return mine.select(F.explode(facts).alias("x")).groupBy("x.fact", "x.value").agg(F.count("*").alias("n"))

@@ -465,6 +465,28 @@ def recorded_steps(s, d):
     return rounded(both, "dx", "dy", "distance_delta")
 
 
+@query(W("neurons") + ", m AS (SELECT * FROM neurons WHERE superclass = 'ECONOMY') SELECT 'transmitter' AS fact, coalesce(lower(coalesce(ground_truth_nt, consensus_nt)), 'missing') AS value, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'sign', sign::VARCHAR, count(*) FROM m GROUP BY 2 UNION ALL SELECT 'side', coalesce(side, 'missing'), count(*) FROM m GROUP BY 2 UNION ALL SELECT 'instance', type || '_' || side, count(*) FROM m GROUP BY 2")
+def anatomical_diagnosis(s, d):
+    n = v.neurons(s, d)
+    return pw.diagnosis(g.select(n, superclass="ECONOMY"), n)
+
+
+@query("SELECT event_type, count(*) AS repeats, round(quantile_cont(value, 0.5), 6) AS median_s, round(quantile_cont(value, 0.95), 6) AS p95_s, round(quantile_cont(CASE WHEN value <> 0 THEN 2.5 / value END, 0.5), 6) AS median_ratio, count(DISTINCT user_id % 1) = 1 AS same_spikes, count(DISTINCT user_id) = 1 AS same_visited, max(user_id) AS max_memory FROM events GROUP BY 1")
+def run_summary(s, d):
+    runs = v.read(s, d, "events").select("event_type", F.col("value").alias("wall_s"), F.lit(2.5).alias("simulated_s"), (F.col("user_id") % 1).alias("spikes"), F.col("user_id").alias("visited"), F.col("user_id").alias("memory"))
+    return rounded(m.run_summary(runs, ["event_type"]), "median_s", "p95_s", "median_ratio")
+
+
+@query("SELECT event_id, round(greatest(0.1, least(0.9, 0.5 + (event_id % 10) / 10.0::DOUBLE - value / 100)), 6) AS seen FROM events")
+def relative_positions(s, d):
+    return v.read(s, d, "events").select("event_id", F.round(sc.relative_position(F.col("event_id") % 10 / 10.0, F.col("value") / 100, 0.5, 0.1, 0.9), 6).alias("seen"))
+
+
+@query("SELECT l_returnflag AS flag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def finite_correlation(s, d):
+    return v.read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(m.finite_correlation(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("r"))
+
+
 # from the screen to the network: nations as the columns of an eye and as neurons
 
 PROTOCOL = eyes.Protocol(1, 2, 1, _VISION, 1.0, 0.01, 0.002, 1.8)

@@ -103,8 +103,11 @@ def write_directions(df: DataFrame, path: str) -> None:
     df.select(*[f.split()[0] for f in DIRECTIONS.split(", ")]).orderBy("side", "q", "p").write.option("header", True).mode("errorifexists").csv(path)
 
 
-def pixel_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, y, x, intensity) of .npy sequences: frames x height x width (x 3), bytes or 0..1 doubles; one task per file."""
+def pixel_frames(spark: SparkSession, path: str, most_frames: int = 3_600, most_pixels: int = 1 << 22) -> DataFrame:
+    """(frame, y, x, intensity) of .npy sequences: frames x height x width (x 3), bytes or 0..1 doubles; one task per file.
+
+    Sequences without a pixel, with more than most_frames images or most_pixels pixels in each raise while they're read.
+    """
     if not path.endswith(".npy"):
         raise ValueError("pixel sequences are .npy files")
 
@@ -114,6 +117,8 @@ def pixel_frames(spark: SparkSession, path: str) -> DataFrame:
                 raw = np.load(io.BytesIO(content), allow_pickle=False)
                 if raw.ndim not in (3, 4) or raw.ndim == 4 and raw.shape[3] != 3:
                     raise ValueError(f"shape {raw.shape} is no pixel sequence")
+                if not raw.size or len(raw) > most_frames or raw.shape[1] * raw.shape[2] > most_pixels:
+                    raise ValueError(f"shape {raw.shape} is beyond the limits")
                 values = raw / 255.0 if raw.dtype == np.uint8 else raw.astype(np.float64)
                 if not np.isfinite(values).all() or values.min(initial=0) < 0 or values.max(initial=0) > 1:
                     raise ValueError("intensities must lie in 0 to 1")

@@ -144,3 +144,34 @@ def test_entry_says_what_is_missing(tmp_path):
     assert int(run().stdout) > 150
     (tmp_path / "repo" / "corpus_pipeline.py").unlink()
     assert int(run().stdout) > 150
+
+
+def test_budgets(graph):
+    sim = events.Simulator(graph)
+    pulses = {k: np.arange(12) for k in range(5, 300, 40)}
+    run = lambda **limits: events.run_budgeted(sim, sim.fresh(), 0.03, 0.003, events.Budgets(**limits), pulses, 12.0)
+    whole = run()
+    assert whole["stop"] is None and whole["steps"] == 300 and whole["spikes"] > 12
+    few = run(spikes=3)
+    assert few["stop"] == "spikes" and 3 < few["spikes"] <= whole["spikes"] and few["steps"] % 30 == 0 and few["steps"] < 300
+    assert run(spikes=0, wall_s=0.0)["stop"] == "wall_s" and run(memory_mb=0.1, spikes=10**6)["stop"] == "memory_mb"
+    state = sim.fresh()
+    state.v[0] = np.nan
+    assert events.run_budgeted(sim, state, 0.03, 0.003, events.Budgets(wall_s=0.0))["stop"] == "non_finite"
+
+
+def test_limits_of_pixel_files(spark, tmp_path):
+    np.save(tmp_path / "f.npy", np.zeros((3, 4, 5)))
+    path = str(tmp_path / "f.npy")
+    assert files.pixel_frames(spark, path).count() == 60
+    for limits in ({"most_frames": 2}, {"most_pixels": 19}):
+        with pytest.raises(Exception, match="beyond the limits"):
+            files.pixel_frames(spark, path, **limits).count()
+
+
+def test_correlation_that_must_be_finite(spark):
+    from spindrift.operators import metrics
+
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "x double, y double")
+    with pytest.raises(Exception, match="not finite"):
+        rows.agg(metrics.finite_correlation(F.col("x"), F.col("y"))).collect()
