@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators import folds
+from spindrift.operators import folds, storage
 
 
 def standardize(train: np.ndarray, *others: np.ndarray, floor: float = 1e-12) -> list[np.ndarray]:
@@ -97,7 +97,7 @@ def loocv_sets(samples: DataFrame, grid: DataFrame, kind: str = "classification"
         types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
         return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(("set", "components", "alpha", "gamma", "n", "score"), types, strict=True))})
 
-    return samples.select("set", "row", "features", "target").groupBy("set").applyInArrow(work, "set long, components int, alpha double, gamma double, n long, score double")
+    return storage.dealt(samples.select("set", "row", "features", "target"), "set").groupBy("set").applyInArrow(work, "set long, components int, alpha double, gamma double, n long, score double")
 
 
 def best_settings(scored: DataFrame, by: list[str], largest: bool = True) -> DataFrame:
@@ -348,4 +348,4 @@ def benchmark_sets(samples: DataFrame, grid: DataFrame, kind: str = "classificat
         return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types)})
 
     chosen = samples.select("set", "modality", "row", "features", "target", "train")
-    return chosen.groupBy("set").applyInArrow(work, "set long, modality string, row long, actual double, predicted double, components int, alpha double, gamma double, train_score double, test_score double, passes boolean")
+    return storage.dealt(chosen, "set").groupBy("set").applyInArrow(work, "set long, modality string, row long, actual double, predicted double, components int, alpha double, gamma double, train_score double, test_score double, passes boolean")

@@ -67,6 +67,16 @@ def discard(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+def dealt(df: DataFrame, key: str, groups: int | None = None) -> DataFrame:
+    """df in explicit ranges of key, a few for each core or one for each of its groups where these are fewer.
+
+    For groups whose work is long however few bytes they have: adaptive execution would merge them into one task by
+    their size, and hashes would deal several to one. groupBy(key) needs no other shuffle.
+    """
+    groups = df.select(key).distinct().count() if groups is None else groups
+    return df.repartitionByRange(min(max(1, groups), max(64, 4 * df.sparkSession.sparkContext.defaultParallelism)), key)
+
+
 def write_graph(edges: DataFrame, table: str, buckets: int = 64) -> None:
     """Both orientations as bucketed, sorted tables: <table>_in by target, <table>_out by source. Existing tables raise."""
     for suffix, first, second in (("in", "target_index", "source_index"), ("out", "source_index", "target_index")):

@@ -108,4 +108,4 @@ def closed_loop(starts: DataFrame, classify, target: tuple[float, float], step:
                 x, y = min(1.0, max(0.0, x + step * last[0])), min(1.0, max(0.0, y + step * last[1]))
         return pd.DataFrame(rows, columns=["episode", "step", "x", "y", "distance"])
 
-    return starts.groupBy("episode").applyInPandas(run, "episode long, step long, x double, y double, distance double")
+    return storage.dealt(starts, "episode").groupBy("episode").applyInPandas(run, "episode long, step long, x double, y double, distance double")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators import events, signals, vision
+from spindrift.operators import events, signals, storage, vision
 
 KINDS = ("l1", "l2", "l3")
 
@@ -139,7 +139,7 @@ def position_features(conditions: DataFrame, eye: Eye, screen: vision.Screen, pr
         by_neuron = lambda rows: pa.array([[float(r[i]) for r in rows] for i in range(n)], pa.list_(pa.float64()))
         return pa.table({"condition": pa.array([key[0].as_py()] * n, pa.int64()), "neuron_index": pa.array(watch, pa.int32()), "voltage": signed_peak(v), "drive": signed_peak(g), "spikes": pa.array(out["counts"][list(watch)], pa.int64()), "temporal_voltage": by_neuron(temporal[0]), "temporal_drive": by_neuron(temporal[1]), "total_spikes": pa.array([out["spikes"]] * n, pa.int64())})
 
-    return samples.groupBy("condition").applyInArrow(work, FEATURES)
+    return storage.dealt(samples, "condition", conditions.count()).groupBy("condition").applyInArrow(work, FEATURES)
 
 
 def receptor_drives(shown: np.ndarray, groups: tuple[tuple[int, ...], ...], protocol: Protocol, graph: events.Adjacency) -> list[events.Drive]:
@@ -180,7 +180,7 @@ def position_traces(conditions: DataFrame, eye: Eye, screen: vision.Screen, prot
         step, neuron, v, g = (np.array(x) for x in zip(*out["trace"], strict=True))
         return pa.table({"condition": pa.array([key[0].as_py()] * len(step), pa.int64()), "step": pa.array(step, pa.int64()), "time_s": step * config.dt / 1000, "neuron_index": pa.array(neuron, pa.int32()), "v": v, "g": g, "spikes": pa.array(out["counts"][neuron], pa.int64())})
 
-    return samples.groupBy("condition").applyInArrow(work, TRACES), samples
+    return storage.dealt(samples, "condition", conditions.count()).groupBy("condition").applyInArrow(work, TRACES), samples
 
 
 def position_samples(features: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def motor_sequence(samples: DataFrame, frames: int, eye: Eye, background: float,
         types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.map_(pa.string(), pa.float64()), pa.map_(pa.string(), pa.float64()), pa.float64(), pa.float64(), pa.bool_(), pa.float64())
         return pa.table({f.split()[0]: pa.array([r[i] for r in rows], t) for i, (f, t) in enumerate(zip(("condition", "tick", "start_s", "end_s", "spikes", "rates", "voltages", "dx", "dy", "click", "peak_mv"), types, strict=True))})
 
-    return samples.select("condition", "key", "frame", "intensity").groupBy("condition").applyInArrow(work, TICKS)
+    return storage.dealt(samples.select("condition", "key", "frame", "intensity"), "condition").groupBy("condition").applyInArrow(work, TICKS)
 
 
 def sequence_summary(ticks: DataFrame) -> DataFrame:
