@@ -209,8 +209,8 @@ class Scorer:
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = 400, max_bytes: int = 1 << 20, total_bytes: int = 64 << 20) -> Model:
     """Train on a bounded sample of the labelled rows of docs. Every language is learned.
 
-    The bounds, the same at every input size: of each language the first max_docs documents by hash of id,
-    as whole texts, while they have at most its share together: max_bytes, or an equal part of total_bytes
+    The bounds, the same at every input size: of each language the first max_docs documents by hash of id
+    and text, as whole texts, while they have at most its share together: max_bytes, or an equal part of total_bytes
     where the languages are too many for that. Texts over an eighth of the share come after all others, the
     shortest first, so that none shuts out those after it; a language has one document at least. Rows with
     null lang, null text or an empty text teach nothing.
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     rows = docs.select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("text")).where("lang is not null and length(text) > 0")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     known = sizes.withColumn("share", F.least(F.lit(float(max_bytes)), F.lit(float(total_bytes)) / F.count("*").over(Window.partitionBy())))  # a row for each language, as the model has a tree
-    draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(7)), F.lit(1 << 30))  # of the text too: rows may share an id, or have none
     # about twice max_docs rows of each language pass; an exact count follows on what is left
     near = rows.join(F.broadcast(known), "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < F.lit(float((1 << 30) * max_docs * 2)) + F.lit(float(1 << 30)) * 20)
     size = F.octet_length("text")

@@ -139,6 +139,15 @@ def test_langid_learns_every_language(spark):
     assert all(r.lang == r.lang_pred for r in langid.identify(docs, model).collect())
 
 
+def test_langid_shared_ids_shut_none_out(spark, monkeypatch):
+    """Languages whose rows all have one id, or none, are learned like others, from as many documents."""
+    monkeypatch.setattr(langid, "Model", lambda counts, name: counts)
+    letters = "translate(id, '0123456789', 'abcdefghij')"
+    docs = spark.range(14_000).selectExpr("nullif(id % 7, 0) as doc_id", "concat('l', id % 7) as lang", f"concat('word ', {letters}) as text")
+    counts = langid.fit(docs)
+    assert sorted(counts) == [f"l{k}" for k in range(7)] and {c["word"] for c in counts.values()} == {400}
+
+
 def test_langid_long_texts_shut_none_out(spark, monkeypatch):
     monkeypatch.setattr(langid, "Model", lambda counts, name: counts)
     word = lambda i: chr(97 + i // 26) + chr(97 + i % 26) * 3
