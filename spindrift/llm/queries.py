@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import bpe, dedup, embeddings, langid, mixing, ngram_lm, pii, quality, secrets, urls
+from spindrift.llm import bpe, dedup, embeddings, fim, langid, mixing, ngram_lm, pii, quality, repeats, secrets, urls
 
 
 def queries():
@@ -17,8 +17,10 @@ def queries():
         "op8_secrets": secrets.op8_secrets,
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_fim": fim.op11_fim,
+        "op12_repeats": repeats.op12_repeats,
     }
 
 
 def oracle_sql():
-    return {"op3_url_filter": urls.op3_sql(), "op4_minhash": dedup.op4_sql(), "op9_embeddings": embeddings.op9_sql()}
+    return {"op3_url_filter": urls.op3_sql(), "op4_minhash": dedup.op4_sql(), "op9_embeddings": embeddings.op9_sql(), "op11_fim": fim.op11_sql()}
