@@ -313,12 +313,13 @@ def repeats(docs: DataFrame, length: int = 100, id: str = "doc_id", text: str =
     place = [F.col("id").asc_nulls_last(), F.col("tie"), F.col("run")]
     frequent = _frequent(rows, located, total or 0)
     is_kind = lambda k: F.col("run").bitwiseAND(3) == k
-    dealt = located(rows).withColumn("deal", F.when(F.col("bucket").isin(frequent) & ~is_kind(_KNOWN), F.pmod("content", F.lit(4096))).otherwise(-1) if frequent else F.lit(-1))
-    bucket = ["bucket", "deal"]
+    is_frequent = F.col("bucket").isin(frequent) & ~is_kind(_KNOWN) if frequent else F.lit(False)
+    bucket = ["bucket", "deal"] if frequent else ["bucket"]  # a constant key would keep the two windows from sharing a shuffle
+    dealt = located(rows).withColumns({"frequent": is_frequent, "deal": F.when(is_frequent, F.pmod("content", F.lit(4096))).otherwise(-1)})
     nth = dealt.repartition(*bucket).withColumn("nth", F.row_number().over(Window.partitionBy(*bucket, "content").orderBy(*place)))
     kept = nth.withColumn("firsts", F.sum(F.when(F.col("nth") == 1, 1)).over(Window.partitionBy(*bucket)))
     again = is_kind(_KNOWN) | (F.col("nth") > 1)
-    status = F.when(again, 0).when((F.col("deal") >= 0) | (F.col("firsts") > WIDE), 2).when(is_kind(_OWN) | (F.col("firsts") > 1), 1)
+    status = F.when(again, 0).when(F.col("frequent") | (F.col("firsts") > WIDE), 2).when(is_kind(_OWN) | (F.col("firsts") > 1), 1)
     judged = common.materialize(kept.select("id", "tie", "bucket", "run", status.cast("byte").alias("status")).where("status is not null"), "repeats-runs")
 
     open_runs = judged.where("status > 0").groupBy("id", "tie").agg(F.collect_list(F.struct("bucket", "run", (F.col("status") == 2).alias("wide"))).alias("open"))
