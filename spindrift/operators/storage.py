@@ -44,6 +44,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _path(spark, path)
+    return system.exists(where)
+
+
 _open: list[list[DataFrame]] = []
 
 

@@ -17,6 +17,15 @@ def as_stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+def from_files(spark, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
+    """Parquet files as a stream, path being their folder or a single file (of which the folder is watched, for this name)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return rows.parquet(path)
+    return rows.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
 def chunks(events: DataFrame, time: str, width: str, by: list[str], value: str, lateness: str = "1 hour") -> DataFrame:
     """(start, by, n, total): tumbling windows; on a stream, events later than lateness are left out."""
     late = events.withWatermark(time, lateness) if events.isStreaming else events
