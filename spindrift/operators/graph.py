@@ -60,19 +60,18 @@ def propagate(neurons: DataFrame, edges: DataFrame, activity: DataFrame) -> Data
 
     Signs go on the small activity side before it meets the edges, and silent sources never do.
     """
-    driven = _drive(neurons, activity)
-    reached = edges.join(driven, "source_index").groupBy(F.col("target_index").alias("neuron_index")).agg(F.sum(F.col("synapse_count") * F.col("drive")).alias("output"))
+    reached = edges.join(driven(neurons, activity), "source_index").groupBy(F.col("target_index").alias("neuron_index")).agg(F.sum(F.col("synapse_count") * F.col("drive")).alias("output"))
     return neurons.select("neuron_index").join(reached, "neuron_index", "left").select("neuron_index", F.coalesce("output", F.lit(0.0)).alias("output"))
 
 
-def _drive(neurons: DataFrame, activity: DataFrame) -> DataFrame:
+def driven(neurons: DataFrame, activity: DataFrame) -> DataFrame:
     """(source_index, drive) of sources with a sign and an amplitude."""
     return activity.join(neurons.select(F.col("neuron_index").alias("source_index"), "sign"), "source_index").withColumn("drive", F.col("activity") * F.col("sign")).where("drive <> 0").select("source_index", "drive")
 
 
 def accumulate(neurons: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
     """(target_index, amount, visited) from events (source_index, activity): only what events reach."""
-    return edges.join(_drive(neurons, events), "source_index").groupBy("target_index").agg(F.sum(F.col("synapse_count") * F.col("drive")).alias("amount"), F.count("*").alias("visited"))
+    return edges.join(driven(neurons, events), "source_index").groupBy("target_index").agg(F.sum(F.col("synapse_count") * F.col("drive")).alias("amount"), F.count("*").alias("visited"))
 
 
 def project(neurons: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:

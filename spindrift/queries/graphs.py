@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from spindrift.operators import blocks
 from spindrift.operators import graph as g
 from spindrift.operators import metrics as m
 from spindrift.operators import normalize as nz
+from spindrift.operators import offsets
 from spindrift.operators import populations as pop
 from spindrift.operators import storage
 from spindrift.queries import views as v
@@ -72,6 +76,47 @@ def csr_offsets_out(s, d):
     return nz.offsets(v.edges(s, d), v.neurons(s, d), "source_index")
 
 
+def _sorted(s, d, order):
+    """Offsets of every node, out of files that were sorted, checked and written with offsets beside them."""
+    path = f"{storage.shared_dir(s)}/sorted-{uuid.uuid4().hex}"
+    offsets.write(v.edges(s, d), path, order, partitions=7)
+    return offsets.dense(s.read.parquet(f"{path}/offsets"), v.neurons(s, d))
+
+
+@query(_offsets_sql("target_index"))
+def sorted_offsets_in(s, d):
+    return _sorted(s, d, offsets.IN)
+
+
+@query(_offsets_sql("source_index"))
+def sorted_offsets_out(s, d):
+    return _sorted(s, d, offsets.OUT)
+
+
+@query(W("edges") + "SELECT 0 AS inside, 0 AS borders, count(*) AS rows FROM edges")
+def order_faults(s, d):
+    path = f"{storage.shared_dir(s)}/sorted-{uuid.uuid4().hex}"
+    storage.write_sorted(v.edges(s, d), path, *offsets.IN, partitions=7)
+    return offsets.order_faults(s.read.parquet(path))
+
+
+def _buckets(s, d):
+    name = f"graph_{uuid.uuid4().hex}"
+    offsets.write_buckets(v.neurons(s, d), v.edges(s, d), name, 8, f"{storage.shared_dir(s)}/{name}")
+    return offsets.Buckets(s, name)
+
+
+@query(W("edges") + "SELECT n.neuron_index, coalesce(i.n, 0) AS in_degree, coalesce(i.c, 0)::BIGINT AS in_contacts, coalesce(o.n, 0) AS out_degree, coalesce(o.c, 0)::BIGINT AS out_contacts FROM neurons n LEFT JOIN (SELECT target_index k, count(*) n, sum(synapse_count) c FROM edges GROUP BY 1) i ON i.k = neuron_index LEFT JOIN (SELECT source_index k, count(*) n, sum(synapse_count) c FROM edges GROUP BY 1) o ON o.k = neuron_index")
+def bucket_degrees(s, d):
+    """Joins of both orientations and the nodes, bucket by bucket."""
+    return _buckets(s, d).degrees()
+
+
+@query(W("edges") + "SELECT i.k AS neuron_index, i.n * o.n AS paths FROM (SELECT target_index k, count(*) n FROM edges GROUP BY 1) i JOIN (SELECT source_index k, count(*) n FROM edges GROUP BY 1) o ON i.k = o.k")
+def bucket_through(s, d):
+    return _buckets(s, d).through()
+
+
 @query(W("edges") + "SELECT coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, count(*) AS nodes FROM neurons LEFT JOIN (SELECT target_index k, count(*) n FROM edges GROUP BY 1) i ON i.k = neuron_index LEFT JOIN (SELECT source_index k, count(*) n FROM edges GROUP BY 1) o ON o.k = neuron_index GROUP BY 1, 2")
 def degree_histogram(s, d):
     e = v.edges(s, d)
@@ -168,16 +213,38 @@ def propagate_dense(s, d):
     return g.propagate(n, v.edges(s, d), n.select(F.col("neuron_index").alias("source_index"), (F.col("neuron_index") % 3).cast("double").alias("activity")))
 
 
-@query(W("edges") + "SELECT target_index, sum(synapse_count * sign * 0.5)::DOUBLE AS amount, count(*) AS visited FROM edges JOIN neurons ON source_index = neuron_index WHERE sign <> 0 AND source_index < 128 GROUP BY 1")
+@query(W("edges") + "SELECT target_index, sum(synapse_count * sign * 0.5)::DOUBLE AS amount, count(*) AS visited FROM edges JOIN neurons ON source_index = neuron_index WHERE sign <> 0 AND source_index % 20 = 0 GROUP BY 1")
 def accumulate_events(s, d):
     n = v.neurons(s, d)
-    return g.accumulate(n, v.edges(s, d), n.where("neuron_index < 128").select(F.col("neuron_index").alias("source_index"), F.lit(0.5).alias("activity")))
+    return g.accumulate(n, v.edges(s, d), n.where("neuron_index % 20 = 0").select(F.col("neuron_index").alias("source_index"), F.lit(0.5).alias("activity")))
 
 
-@query(W("edges") + "SELECT target_index, sum(synapse_count * sign)::BIGINT AS weight, count(*) AS edge_count FROM edges JOIN neurons ON source_index = neuron_index WHERE sign <> 0 AND source_index < 256 GROUP BY 1 HAVING sum(synapse_count * sign) <> 0")
+@query(W("edges") + "SELECT target_index, sum(synapse_count * sign)::BIGINT AS weight, count(*) AS edge_count FROM edges JOIN neurons ON source_index = neuron_index WHERE sign <> 0 AND source_index % 20 = 0 GROUP BY 1 HAVING sum(synapse_count * sign) <> 0")
 def project_sources(s, d):
     n = v.neurons(s, d)
-    return g.project(n, v.edges(s, d), n.where("neuron_index < 256").select(F.col("neuron_index").alias("source_index")))
+    return g.project(n, v.edges(s, d), n.where("neuron_index % 20 = 0").select(F.col("neuron_index").alias("source_index")))
+
+
+def _blocks(s, d):
+    return storage.materialize(blocks.pack(v.edges(s, d)), "blocks")
+
+
+@query(ORACLE["propagate_dense"])
+def propagate_blocked(s, d):
+    """propagate_dense on compressed blocks: no row for an edge."""
+    n = v.neurons(s, d)
+    return blocks.propagate(n, _blocks(s, d), n.select(F.col("neuron_index").alias("source_index"), (F.col("neuron_index") % 3).cast("double").alias("activity")))
+
+
+@query(ORACLE["accumulate_events"])
+def accumulate_blocked(s, d):
+    n = v.neurons(s, d)
+    return blocks.accumulate(n, _blocks(s, d), n.where("neuron_index % 20 = 0").select(F.col("neuron_index").alias("source_index"), F.lit(0.5).alias("activity")))
+
+
+@query(W("edges") + "SELECT source_index, target_index, synapse_count FROM edges")
+def blocked_edges(s, d):
+    return blocks.unpack(_blocks(s, d))
 
 
 @query(W("edges") + "SELECT least(source_index, target_index) AS source_index, greatest(source_index, target_index) AS target_index, sum(CASE WHEN source_index < target_index THEN synapse_count ELSE -synapse_count END)::BIGINT AS weight FROM edges WHERE source_index <> target_index GROUP BY 1, 2 HAVING sum(CASE WHEN source_index < target_index THEN synapse_count ELSE -synapse_count END) <> 0")
@@ -201,9 +268,9 @@ def outgoing_edges(s, d):
     return g.outgoing(v.edges(s, d), 17)
 
 
-@query(W("edges") + "SELECT target_index, sum(synapse_count)::BIGINT AS contacts, count(*) AS sources FROM edges JOIN neurons t ON target_index = t.neuron_index WHERE source_index < 256 AND t.type = 'Brand#12' GROUP BY 1")
+@query(W("edges") + "SELECT target_index, sum(synapse_count)::BIGINT AS contacts, count(*) AS sources FROM edges JOIN neurons t ON target_index = t.neuron_index WHERE source_index % 20 = 0 AND t.type = 'Brand#12' GROUP BY 1")
 def direct_targets(s, d):
-    e = v.edges(s, d).where("source_index < 256")
+    e = v.edges(s, d).where("source_index % 20 = 0")
     wanted = v.neurons(s, d).where("type = 'Brand#12'").select(F.col("neuron_index").alias("target_index"))
     return e.join(wanted, "target_index").groupBy("target_index").agg(F.sum("synapse_count").alias("contacts"), F.count("*").alias("sources"))
 

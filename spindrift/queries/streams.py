@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from spindrift.operators import events as ev
-from spindrift.operators import storage
+from spindrift.operators import normalize, storage
 from spindrift.queries import views as v
-from spindrift.streaming import simulation, telemetry as t
+from spindrift.streaming import clients, live, simulation, telemetry as t
 
 QUERIES, ORACLE = {}, {}
 
@@ -112,6 +112,69 @@ def distinct_chunks(s, d):
     return t.distinct_chunks(v.read(s, d, "events").select("user_id", "event_type"), ["user_id", "event_type"], "ts")
 
 
+_HALF_DAY = 43_200_000_000
+
+
+def _event_stream(s, d):
+    """Events as a stream: at (an instant), us (microseconds), time_s (seconds of 2024)."""
+    rows = t.from_files(s, f"{d}/events.parquet", v.read(s, d, "events").schema)
+    rows = rows.withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    return rows.withColumns({"at": F.timestamp_micros("us"), "time_s": (F.col("us") - 1_704_067_200_000_000) / 1e6})
+
+
+def _live(stream, s, mode: str = "append"):
+    with live.rocksdb(s):
+        return run_to_end(stream, s, mode)
+
+
+@query(ORACLE["latest_value"])
+def latest_value_stream(s, d):
+    """latest_value with the newest row of each key in the state store; a key's last update has dropped the most."""
+    out = _live(live.latest(_event_stream(s, d), "user_id", ["us", "event_id"], ["value", "event_type"]), s, "update")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("value", "event_type", "dropped"), "dropped").alias("r")).select("user_id", "r.*")
+
+
+@query(ORACLE["rate_limited"])
+def rate_limited_stream(s, d):
+    return _live(live.sampled(_event_stream(s, d).select("user_id", "time_s", "event_id"), "user_id", "time_s", "event_id", 1 / 3600), s).select("user_id", "slot", "event_id")
+
+
+@query(ORACLE["event_cap"])
+def event_cap_stream(s, d):
+    out = _live(live.capped(_event_stream(s, d), "event_type", ["us", "event_id"], 50), s)
+    gone = out.where("position is null").groupBy("event_type").agg(F.max("dropped").alias("dropped"))
+    return out.where("position is not null").select("event_type", "event_id").join(gone, "event_type", "left").fillna(0, ["dropped"])
+
+
+@query(ORACLE["ring_history"])
+def ring_history_stream(s, d):
+    out = _live(live.ring(_event_stream(s, d), "user_id", ["us", "event_id"], [], 5), s, "update")
+    last = out.groupBy("user_id").agg(F.max("seen").alias("seen"))
+    return out.join(last, ["user_id", "seen"]).select("user_id", "event_id", "age")
+
+
+@query(f"WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), m AS (SELECT max(us) // 1000 * 1000 AS stop FROM e), g AS (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS next FROM e), n AS (SELECT user_id, us, unnest(range(1, CASE WHEN next IS NULL THEN (stop - us) // {_HALF_DAY} + 1 ELSE (next - us + {_HALF_DAY} - 1) // {_HALF_DAY} END)) AS beat FROM g, m) SELECT user_id, us AS after_us, beat, us + beat * {_HALF_DAY} AS at_us FROM n")
+def heartbeats_stream(s, d):
+    """Beats for each half day of a key's silence, by event-time timers where no later row tells of it."""
+    return _live(live.heartbeats(_event_stream(s, d), "user_id", "at", _HALF_DAY / 1e6), s)
+
+
+@query("WITH e AS (SELECT *, ntile(3) OVER (ORDER BY ts, event_id) - 1 AS epoch FROM events), p AS (SELECT 'steady' AS client, epoch AS poll, * FROM e UNION ALL SELECT 'stalled', 2, * FROM e) SELECT client, poll, user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) - 1 AS dropped FROM p GROUP BY ALL")
+def client_frames(s, d):
+    """Events in three epochs of equal size; one client polls after each, another one only at the end."""
+    path = f"{storage.shared_dir(s)}/clients-{uuid.uuid4().hex}"
+    e = v.read(s, d, "events").select("user_id", "ts", "event_id", "value")
+    n = e.count()
+    rank = normalize.dense_index(e, "event_id", "place")  # ids are in the order of time
+    third = lambda i: n // 3 * i + min(i, n % 3)
+    for epoch in range(3):
+        clients.put(rank.where(F.col("place").between(third(epoch), third(epoch + 1) - 1)).drop("place"), epoch, f"{path}/log")
+        for client in ("steady", "stalled") if epoch == 2 else ("steady",):
+            given = lambda frames, client=client, poll=epoch: frames.withColumns({"client": F.lit(client), "poll": F.lit(poll).cast("long")}).write.mode("append").parquet(f"{path}/out")
+            clients.poll(s, f"{path}/log", f"{path}/places", client, "user_id", ["ts", "event_id"], given)
+    return s.read.parquet(f"{path}/out").select("client", "poll", "user_id", "event_id", "value", "dropped")
+
+
 _ACTIONS = ["start", "pause", "resume", "finish", "reset", "observe"]
 
 
