@@ -194,7 +194,7 @@ def _links(cosine: float, vectors: int, options: dict):
                 found_a.append(own[a[close]])
                 found_b.append(own[b[close]])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
-        # a vector stands in several stretches of a batch: by its id from here on
+        # a vector stands in several stretches of a batch: by its number from here on
         names, at = np.unique(ids, return_inverse=True)
         links = np.bincount(at[a], copies[b], len(names)) + np.bincount(at[b], copies[a], len(names))
         some = np.flatnonzero(links)
@@ -214,39 +214,46 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     Links: other vectors of an equal, non-null label with cosine >= cosine in double precision. Null or zero
     vectors, vectors with a null or non-finite component, null labels and null keys link with nothing and
     are kept; a null key has a null component_id. Vectors of different lengths don't link. Repeated rows are vectors of their
-    own: copies of one another, counted in n_links. Ties go to the smaller key. options: those of Lines.
+    own: copies of one another, counted in n_links. A key may name several vectors: each row has its own vector's links and
+    class, and what two vectors of one key link with stays apart unless they link. Ties go to the smaller key. options: those of Lines.
     """
     base = rows.select(F.col(key).cast("long").alias("id"), F.when(F.col(key).isNotNull(), F.col(label)).alias("label"), F.col(embedding).alias(embedding))
     vectors = base.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     drawn = common.materialize(prepared(base, cosine, vectors, options, embedding), "vectors")
     known = ["vector", "cells", "spots", "own", "before"]
-    classes = common.materialize(drawn.where("s1 is not null").groupBy("label", "s1", "s2").agg(F.min("id").alias("member"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in known]), "classes")
+    classes = drawn.where("s1 is not null").groupBy("label", "s1", "s2").agg(F.min("id").alias("member"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in known])
+    classes = common.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a number for each vector, as written; ids may repeat
 
-    home = classes.select("label", "member", F.posexplode("own").alias("group", "place"), F.lit(False).alias("guest"))
-    guests = classes.select("label", "member", F.posexplode("before").alias("group", "place"), F.lit(True).alias("guest")).where("place >= 0")
+    home = classes.select("label", "node", F.posexplode("own").alias("group", "place"), F.lit(False).alias("guest"))
+    guests = classes.select("label", "node", F.posexplode("before").alias("group", "place"), F.lit(True).alias("guest")).where("place >= 0")
     spread = home.unionByName(guests)
     where = ["label", "group", "place"]
     crowded = spread.groupBy(*where).agg(F.count("*").alias("size"), F.bool_and("guest").alias("guests")).where("size > 1 and not guests").withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("guests")
     crowded = common.materialize(crowded, "stretches")
-    met = spread.join(crowded, where).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
+    met = spread.join(crowded, where).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")})
     work = crowded.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0
     met = met.withColumn("place", F.xxhash64(*where)).withColumn("batch", F.pmod(F.xxhash64("place", "first", "second"), F.lit(max(1, work // BATCH))).cast("int"))
-    bodies = classes.select(F.col("member").alias("id"), F.col("label").alias("body_label"), "copies", "vector", "cells", "spots")
-    filled = met.join(bodies, (F.col("member") == F.col("id")) & (F.col("label") == F.col("body_label"))).select("batch", "label", "place", "group", "guest", "first", "second", "chunk", "id", "copies", "vector", "cells", "spots")
+    bodies = classes.select(F.col("node").alias("id"), "copies", "vector", "cells", "spots")
+    filled = met.join(bodies, F.col("node") == F.col("id")).select("batch", "label", "place", "group", "guest", "first", "second", "chunk", "id", "copies", "vector", "cells", "spots")
     found = common.materialize(filled.groupBy("batch").applyInArrow(_links(cosine, vectors, options), "a long, b long, n long"), "links")
     common.discard(crowded)
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
-    named = classes.select("label", "s1", "s2", "member", "copies").join(counts, F.col("member") == F.col("a"), "left").join(roots, F.col("member") == F.col("node"), "left")
-    named = named.select("label", "s1", "s2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "member").alias("root"))
+    roots = roots.withColumnRenamed("node", "linked")
+    named = classes.select("label", "s1", "s2", "node", "member", "copies").join(counts, F.col("node") == F.col("a"), "left").join(roots, F.col("node") == F.col("linked"), "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    least = named.where("linked is not null").groupBy(F.col("root").alias("of")).agg(F.min("member").alias("least"))  # vectors without links are their own
+    named = named.join(least, F.col("root") == F.col("of"), "left")
+    named = named.select("label", "s1", "s2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "member").alias("root"))
     out = drawn.select("id", "label", "s1", "s2").join(named, ["label", "s1", "s2"], "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and classes of all embeddings at cosine 0.98 within a label. What vectors without links are is said above."""
+    """Links and classes of all embeddings at cosine 0.98 within a label. Null, zero or non-finite vectors and null labels link with
+    nothing and are kept; repeated ids, rows and vectors, ties and empty tables are as near_duplicates() says."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 

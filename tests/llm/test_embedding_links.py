@@ -102,3 +102,32 @@ def test_ties_nulls_and_repeats(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=str)
     want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), (None, 0, None, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
     assert got == sorted(want, key=str)
+
+
+def test_ids_that_name_several_vectors(spark):
+    """Links and classes are of vectors: against every pair, with ids that repeat within and across labels."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 24))
+    rows = []
+    for i in range(260):
+        v = base[rng.integers(12)] + rng.normal(size=24) * rng.choice([0.0, 0.02, 0.05, 0.4])
+        rows.append((int(rng.integers(0, 60)), [float(np.float32(x)) for x in v], str(rng.choice(["a", "b"]))))
+    rows += rows[:9]  # whole rows again
+    e1, e2 = [1.0] + [0.0] * 23, [0.0, 1.0] + [0.0] * 22
+    near = lambda e: [x + 0.001 for x in e]
+    rows += [(1001, e1, "c"), (1001, e2, "c"), (1002, near(e1), "c"), (1003, near(e1), "c"), (1004, near(e2), "c"), (1001, near(e2), "d")]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None])
+    np.fill_diagonal(linked, False)
+    assert np.abs(x @ x.T - 0.98).min() > 1e-9
+    root = np.array([r[0] for r in rows])
+    for _ in range(len(rows)):
+        new = np.minimum(root, np.where(linked, root[None], 1 << 40).min(1))
+        if (new == root).all():
+            break
+        root = new
+    want = sorted((r[0], int(linked[i].sum()), int(root[i]), bool(r[0] == root[i])) for i, r in enumerate(rows))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(docs).collect()) == want
+    assert [w for w in want if w[0] == 1001] == [(1001, 0, 1001, True), (1001, 1, 1001, True), (1001, 2, 1001, True)]
