@@ -1,4 +1,4 @@
-"""python -m spindrift.cli verify|build|validate: datasets from the command line; one line of JSON each."""
+"""python -m spindrift.cli verify|build|validate|index-outgoing: datasets from the command line; one line of JSON each."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from spindrift.sources import manifest
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spindrift")
-    parser.add_argument("action", choices=("verify", "build", "validate"))
+    parser.add_argument("action", choices=("verify", "build", "validate", "index-outgoing"))
     parser.add_argument("--manifest", help="JSON description of the source files")
     parser.add_argument("--sources", help="folder with the source files")
     parser.add_argument("--out", help="folder of the dataset")
@@ -23,6 +23,9 @@ def main(args: list[str] | None = None) -> int:
         states = {r.part: r.ok for r in dataset.validate(spark, chosen.out).collect()}
         print(json.dumps(states))
         return int(not all(states.values()))
+    if chosen.action == "index-outgoing":
+        print(json.dumps(dataset.index_outgoing(spark, chosen.out).first().asDict()))
+        return 0
     with open(chosen.manifest) as file:
         described = manifest.load(file.read())
     if chosen.action == "verify":

@@ -242,6 +242,29 @@ def fisher_scores(samples: DataFrame, features: str, label: str, floor: float =
     return agg.select("feature", (F.abs(F.col("m1") - F.col("m0")) / F.greatest(F.sqrt((F.col("v0") + F.col("v1")) * 0.5), F.lit(floor))).alias("score"))
 
 
+def rest_scores(samples: DataFrame, features: str, label: str, floor: float = 1e-9) -> DataFrame:
+    """(label, feature, score): fisher_scores of each label against all other rows, by moments of each label and of all; any number of labels and rows.
+
+    A label that no row or every row has gives a score against nothing: null. Null labels are rest to all.
+    """
+    long = samples.select(F.col(label).alias("label"), F.posexplode(features).alias("feature", "x"))
+    middle = long.groupBy("feature").agg(F.avg("x").alias("c"))  # sums of squares about the middle keep their digits
+    own = long.join(F.broadcast(middle), "feature").groupBy("label", "feature").agg(F.count("*").alias("n"), F.sum(F.col("x") - F.col("c")).alias("s"), F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("q"))
+    all_ = own.groupBy("feature").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "s", "q")])
+    both = own.join(F.broadcast(all_), "feature").where("label is not null")  # a row for each feature
+    rest = [F.col(f"all_{c}") - F.col(c) for c in ("n", "s", "q")]
+    mean, var = (lambda n, s, q: F.try_divide(s, n)), (lambda n, s, q: F.greatest(F.try_divide(q, n) - F.try_divide(s, n) * F.try_divide(s, n), F.lit(0.0)))
+    mine = [F.col(c) for c in ("n", "s", "q")]
+    score = F.abs(mean(*mine) - mean(*rest)) / F.greatest(F.sqrt((var(*mine) + var(*rest)) * 0.5), F.lit(floor))
+    return both.select("label", "feature", F.when(rest[0] > 0, score).alias("score"))
+
+
+def top_per_label(scores: DataFrame, k: int) -> DataFrame:
+    """The k best features of each label; ties by feature."""
+    order = Window.partitionBy("label").orderBy(F.desc("score"), "feature")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_features(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "feature").limit(k)
 

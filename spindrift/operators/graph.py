@@ -138,11 +138,43 @@ def batched_reverse(neurons: DataFrame, edges: DataFrame, targets: DataFrame, ho
     return _search(start, walk.select(F.col("target_index").alias("node"), F.col("source_index").alias("next")), hops)
 
 
+def reverse_bits(neurons: DataFrame, edges: DataFrame, targets: DataFrame, hops: int, walk: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bits, slots): batched_reverse with 64 targets to a number.
+
+    bits: node, block, bits, distance; bit k of a row is set where the target of slot 64 * block + k is that many hops from node. slots: target,
+    block, bit. A hop joins the frontier with the edges, takes the union of the bits that meet and leaves out those that are
+    known, so a frontier has at most a row for each node and 64 targets.
+    """
+    from spindrift.operators.normalize import dense_index
+
+    walk = carrying(neurons, edges) if walk is None else walk
+    slot = dense_index(targets.select(F.col("neuron_index").alias("target")).distinct(), "target", "slot")
+    slots = storage.materialize(slot.select("target", F.floor(F.col("slot") / 64).cast("int").alias("block"), (F.col("slot") % 64).cast("int").alias("bit")), "slots")
+    frontier = slots.select(F.col("target").alias("node"), "block", F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("distance"))
+    found = frontier = storage.materialize(frontier, "hop")
+    steps = walk.select(F.col("target_index").alias("node"), F.col("source_index").alias("next"))
+    for hop in range(1, hops + 1):
+        ahead = frontier.join(steps, "node").groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("bits").alias("ahead"))
+        known = found.groupBy("node", "block").agg(F.bit_or("bits").alias("known"))
+        fresh = F.col("ahead").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        new = ahead.join(known, ["node", "block"], "left").select("node", "block", fresh.alias("bits"), F.lit(hop).alias("distance")).where("bits <> 0")
+        frontier = storage.materialize(new, "hop")
+        found = found.unionByName(frontier)
+    return found, slots
+
+
+def expanded(bits: DataFrame, slots: DataFrame) -> DataFrame:
+    """A row for each target of each row of reverse_bits(): its other columns and target."""
+    rows = bits.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1))).drop("bits")
+    return rows.join(slots, ["block", "bit"]).drop("block", "bit")
+
+
 def path_layers(neurons: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     """(target, length, layer, node): nodes on shortest effective paths from the sources to each target within hops. A written table."""
     walk = carrying(neurons, edges)
     ahead = distances(neurons, edges, sources, hops, walk=walk)
-    back = batched_reverse(neurons, edges, targets, hops, walk=walk)
+    bits, slots = reverse_bits(neurons, edges, targets, hops, walk=walk)
+    back = expanded(bits.join(ahead.select("node"), "node", "left_semi"), slots)  # what the sources don't reach is on no path
     length = ahead.join(targets.select(F.col("neuron_index").alias("node")).distinct(), "node").select(F.col("node").alias("target"), F.col("distance").alias("length"))
     found = ahead.withColumnRenamed("distance", "layer").join(back, "node").join(length, "target").where(F.col("layer") + F.col("distance") == F.col("length")).select("target", "length", "layer", "node")
     return storage.materialize(found, "layers")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators import storage
+
 
 def response(spikes: DataFrame, members: DataFrame, start: float, stop: float, end: float) -> DataFrame:
     """Per population: spikes before, in and after [start, stop) up to end, rates per neuron, latency, duration, persistence.
@@ -79,6 +83,53 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min_value"), F.percentile(value, 0.5).alias("median_value"), F.percentile(value, 0.95).alias("p95_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"))
 
 
+#: Ranges that rows are counted by, and rows of a range that are sorted without cutting it again.
+CUTS, SMALL = 64, 200_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """(by, q, value): exact quantiles of each group by linear interpolation, whatever its size; nulls don't count, and a group of nulls has no row.
+
+    Each wanted rank is searched for by narrowing: rows are counted by the ranges between approximate quantiles, and the range
+    that holds the rank is cut again until it has few rows or one value. What is gathered is counts by range, and
+    at the end at most SMALL rows for a rank. Where groups are too many to be broadcast, rows meet their group's ranges by a
+    shuffle, whose hot groups adaptive execution splits.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 0")
+    wanted = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at]))).withColumn("exact", F.col("q") * (F.col("n") - 1))
+    ranks = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("exact"), F.ceil("exact"))))).select(*keys, "q", "exact", "rank", F.col("rank").alias("left"), "n", "low", "high")
+    ranks = storage.materialize(ranks.withColumn("rows", F.col("n")), "ranks")  # some rows for each group
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    done = None
+    while True:
+        ready = (F.col("low") == F.col("high")) | (F.col("rows") <= SMALL)
+        done = ranks.where(ready) if done is None else done.unionByName(ranks.where(ready))
+        open_ = ranks.where(~ready)
+        if open_.isEmpty():
+            break
+        ask = open_.select(*keys, "low", "high").distinct().alias("r")
+        inside = rows.alias("d").join(F.broadcast(ask) if not keys else ask, same("d", "r") & F.col("d.v").between(F.col("r.low"), F.col("r.high"))).select(*[F.col(f"d.{k}") for k in keys], "d.v", "r.low", "r.high")
+        span = [*keys, "low", "high"]
+        cuts = inside.groupBy(*span).agg(F.array_distinct(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 10_000)).alias("cuts"))
+        matched = inside.alias("d").join(cuts.alias("r"), same("d", "r") & (F.col("d.low") == F.col("r.low")) & (F.col("d.high") == F.col("r.high"))).select("d.*", "r.cuts")
+        number = (2 * F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.array_contains("cuts", F.col("v")).cast("int")).alias("bin")  # a cut's own value is a range, so that each round gets on
+        counted = matched.groupBy(*span, number).agg(F.count("*").alias("rows"), F.min("v").alias("bin_low"), F.max("v").alias("bin_high"))
+        before = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * CUTS rows
+        counted = counted.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        met = open_.drop("rows").alias("d").join(counted.alias("r"), same("d", "r") & (F.col("d.low") == F.col("r.low")) & (F.col("d.high") == F.col("r.high")) & (F.col("d.left") >= F.col("r.before")) & (F.col("d.left") < F.col("r.before") + F.col("r.rows")))
+        ranks = storage.materialize(met.select(*[F.col(f"d.{k}") for k in keys], "q", "exact", "rank", (F.col("d.left") - F.col("r.before")).alias("left"), "n", F.col("r.bin_low").alias("low"), F.col("r.bin_high").alias("high"), "r.rows"), "ranks")
+    done = storage.materialize(done, "ranks")
+    few = done.where("low <> high").select(*keys, "low", "high").distinct().alias("r")
+    inside = rows.alias("d").join(few, same("d", "r") & F.col("d.v").between(F.col("r.low"), F.col("r.high"))).groupBy(*[F.col(f"d.{k}").alias(k) for k in keys], "r.low", "r.high").agg(F.array_sort(F.collect_list("d.v")).alias("vs"))
+    chosen = done.alias("d").join(inside.alias("r"), same("d", "r") & (F.col("d.low") == F.col("r.low")) & (F.col("d.high") == F.col("r.high")), "left")
+    one = chosen.select(*[F.col(f"d.{k}") for k in keys], "d.q", "d.exact", "d.rank", F.when(F.col("d.low") == F.col("d.high"), F.col("d.low")).otherwise(F.get("r.vs", F.col("d.left").cast("int"))).alias("v"))
+    below, above = F.min_by("v", "rank"), F.max_by("v", "rank")
+    share = F.first("exact") - F.floor(F.first("exact"))
+    return one.groupBy(*keys, "q").agg((below + (above - below) * share).alias("value")).select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], "q", "value")
+
+
 def windowed_signal(df: DataFrame, by: list[str], value: str, time: str, start: float, stop: float, late: float = 0.25) -> DataFrame:
     """Per group: peak |value|, extremes in [start, stop), mean of that window's last part, extremes afterwards (0 if none)."""
     inside = (F.col(time) >= start) & (F.col(time) < stop)

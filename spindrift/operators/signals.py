@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.scalars import filter_gain, half_up
-from spindrift.operators import folds
+from spindrift.operators import folds, storage
 
 
 @dataclass(frozen=True)
@@ -141,4 +141,4 @@ def chunk_pulses(chunks: DataFrame, neurons: DataFrame, start_s: float, stop_s:
     numbered = chunks.withColumns({"a": first.cast("long"), "b": last.cast("long")}).where("a <= b").withColumn("number", F.explode(F.sequence("a", "b")))
     dt = dt_ms / 1000
     timed = numbered.withColumn("time_s", F.rint((F.lit(start_s) + F.col("number") * interval_s - F.col("from_s")) / dt) * dt + 0.0)
-    return timed.select("chunk", "number", "time_s").crossJoin(F.broadcast(neurons.select("neuron_index"))).select("chunk", "neuron_index", "number", "time_s")  # a stimulus' neurons, bounded by its request
+    return timed.select("chunk", "number", "time_s").crossJoin(storage.bounded(neurons.select("neuron_index"))).select("chunk", "neuron_index", "number", "time_s")

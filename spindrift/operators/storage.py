@@ -72,6 +72,11 @@ def discard(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, which are counted up to there; else as it is, for Spark to deal out."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def dealt(df: DataFrame, key: str, groups: int | None = None) -> DataFrame:
     """df in explicit ranges of key, a few for each core or one for each of its groups where these are fewer.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as sc
-from spindrift.operators import signals
+from spindrift.operators import signals, storage
 
 
 def admit(frames: DataFrame, most_frames: int, most_pixels: int) -> DataFrame:
@@ -60,6 +60,8 @@ def _bar(screen: Screen, axis: Column, position: Column) -> Column:
 
 
 def _pixels(spark: SparkSession, screen: Screen) -> DataFrame:
+    if screen.height * screen.width > 1 << 22:  # a screen's pixels go to all tasks
+        raise ValueError("a screen has at most 2^22 pixels")
     grid = spark.range(screen.height * screen.width)
     return grid.select((F.col("id") / screen.width).cast("int").alias("y"), (F.col("id") % screen.width).cast("int").alias("x"))
 
@@ -95,9 +97,9 @@ def encode(frames: DataFrame, directions: DataFrame, width: int, height: int, fi
 def expand(encoding: DataFrame, neuron_columns: DataFrame, frames: DataFrame, background: float = 0.5) -> DataFrame:
     """(neuron_index, key, frame, intensity): each neuron (neuron_index, key) has its column's samples, or background off the screen.
 
-    frames (frame): those of the sequence; a row each, sent to all tasks.
+    frames (frame): those of the sequence; a row each, sent to all tasks if they are few.
     """
-    every = neuron_columns.crossJoin(F.broadcast(frames.select("frame").distinct()))
+    every = neuron_columns.crossJoin(storage.bounded(frames.select("frame").distinct()))
     return every.join(encoding.select("key", "frame", "intensity"), ["key", "frame"], "left").select("neuron_index", "key", "frame", F.coalesce("intensity", F.lit(background)).alias("intensity"))
 
 

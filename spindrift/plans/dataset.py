@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import graph, normalize, storage
+from spindrift.operators import graph, normalize, offsets, storage
 from spindrift.sources import arrow_ipc, manifest
 
 
@@ -72,6 +72,26 @@ def build(spark: SparkSession, description: manifest.Manifest, folder: str, out:
     return spark.read.json(f"{final}/report")
 
 
+def index_outgoing(spark: SparkSession, out: str) -> DataFrame:
+    """Add out/outgoing, the edges by source, to a published dataset, with offsets; one row on how both orientations compare.
+
+    It is written beside the dataset, checked against the incoming edges and against its own order, and becomes visible by one
+    rename. An existing one raises and stays; one that fails a check, or whose run dies, stays partial and unseen.
+    """
+    final = f"{out}/outgoing"
+    if storage.exists(spark, final):
+        raise FileExistsError(final)
+    partial = f"{out}/_outgoing.partial-{uuid.uuid4().hex}"
+    edges = spark.read.parquet(f"{out}/edges")
+    offsets.write(edges, partial, offsets.OUT)
+    found = normalize.orientation_check(edges, spark.read.parquet(f"{partial}/edges"))
+    told = found.first()
+    if told.edges_apart or told.nodes_apart or told.in_edges != told.out_edges:
+        raise ValueError(f"outgoing edges differ: {told.asDict()}")
+    storage.publish(spark, partial, final)
+    return spark.createDataFrame([told], found.schema)
+
+
 def validate(spark: SparkSession, out: str) -> DataFrame:
     """(part, ok): whether each table's content is what its lock says, whatever files hold it."""
     want = spark.read.schema("rows long, content string, part string").json(f"{out}/lock")

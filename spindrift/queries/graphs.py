@@ -355,6 +355,13 @@ def top_paths(s, d):
     return g.ranked_paths(layers, between, 3, 2).select("target", "rank", F.round("score", 6).alias("score"), F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), F.array_join(F.col("contacts").cast("array<string>"), ",").alias("contacts"))
 
 
+@query(W("edges", recursive=True) + ", up(target, node, distance) AS (SELECT neuron_index, neuron_index, 0 FROM neurons WHERE neuron_index % 20 = 0 UNION SELECT target, source_index, distance + 1 FROM up JOIN edges ON target_index = node JOIN neurons n ON n.neuron_index = source_index WHERE n.sign <> 0 AND distance < 2) SELECT target, node, min(distance) AS distance FROM up GROUP BY 1, 2")
+def reverse_from_all(s, d):
+    """Reverse search from a twentieth of all neurons at once, 64 of them to a number."""
+    n, e = _written(s, d)
+    return g.expanded(*g.reverse_bits(n, e, n.where("neuron_index % 20 = 0"), 2)).select("target", "node", "distance")
+
+
 @query(W("trade") + "SELECT source_index, target_index, synapse_count, row_number() OVER (PARTITION BY source_index ORDER BY synapse_count DESC, target_index) AS rank FROM trade WHERE source_index IN (1, 4, 9) QUALIFY rank <= 6")
 def neighborhood_candidates(s, d):
     return g.neighborhood_candidates(v.trade(s, d), s.createDataFrame([(1,), (4,), (9,)], "neuron_index int"), 6).select("source_index", "target_index", "synapse_count", "rank")

@@ -78,6 +78,12 @@ def distribution_summary(s, d):
     return rounded(m.distribution(v.read(s, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_quantity"), "p95_value", "mean_value")
 
 
+@query("SELECT l_returnflag AS flag, q, round(CASE q WHEN 0.05 THEN a WHEN 0.5 THEN b ELSE c END, 6) AS value FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS a, quantile_cont(l_extendedprice, 0.5) AS b, quantile_cont(l_extendedprice, 0.95) AS c FROM lineitem GROUP BY 1), (SELECT unnest([0.05, 0.5, 0.95])::DOUBLE AS q)")
+def exact_quantiles(s, d):
+    """Quantiles by narrowing ranges; no group is gathered."""
+    return rounded(m.quantiles(v.read(s, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", [0.05, 0.5, 0.95]), "value")
+
+
 _CHUNKS = ", k AS (SELECT population, floor(time_d)::BIGINT AS chunk, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS n FROM spikes GROUP BY 1, 2)"
 
 
@@ -199,18 +205,19 @@ def graded_filter(s, d):
     return rounded(sig.low_pass_fold(k, ["population"], "x", "day", 0.25, 50.0), "filtered")
 
 
-_LONG = "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings WHERE label < 2)"
+_LONG = "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings)"
 
 
-@query(_LONG + ", f AS (SELECT feature, abs(avg(x) FILTER (label = 1) - avg(x) FILTER (label = 0)) / greatest(sqrt((var_pop(x) FILTER (label = 0) + var_pop(x) FILTER (label = 1)) * 0.5), 1e-9) AS score FROM x GROUP BY 1) SELECT feature, round(score, 6) AS score FROM f ORDER BY f.score DESC, feature LIMIT 8")
+@query(_LONG + ", l AS (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL), f AS (SELECT l.label, feature, abs(avg(x) FILTER (x.label = l.label) - avg(x) FILTER (x.label IS DISTINCT FROM l.label)) / greatest(sqrt((var_pop(x) FILTER (x.label IS DISTINCT FROM l.label) + var_pop(x) FILTER (x.label = l.label)) * 0.5), 1e-9) AS score FROM x, l GROUP BY 1, 2) SELECT label, feature, round(score, 5) AS score FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY f.score DESC, feature) <= 8")
 def feature_scores_topk(s, d):
-    e = v.read(s, d, "embeddings").where("label < 2").withColumn("wide", F.col("embedding").cast("array<double>"))
-    return rounded(dec.top_features(dec.fisher_scores(e, "wide", "label"), 8), "score")
+    """Each label's best features against all other rows."""
+    e = v.read(s, d, "embeddings").withColumn("wide", F.col("embedding").cast("array<double>"))
+    return rounded(dec.top_per_label(dec.rest_scores(e, "wide", "label"), 8).select("label", "feature", "score"), "score", digits=5)
 
 
 @query(_LONG + ", m AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY 1) SELECT vec_id, feature, round((x - m) / s, 5) AS z FROM x JOIN m USING (feature)")
 def feature_standardize(s, d):
-    e = v.read(s, d, "embeddings").where("label < 2").withColumn("wide", F.col("embedding").cast("array<double>"))
+    e = v.read(s, d, "embeddings").withColumn("wide", F.col("embedding").cast("array<double>"))
     return rounded(dec.standardized(e, "wide", "vec_id"), "z", digits=5)
 
 

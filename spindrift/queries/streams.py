@@ -112,6 +112,13 @@ def distinct_chunks(s, d):
     return t.distinct_chunks(v.read(s, d, "events").select("user_id", "event_type"), ["user_id", "event_type"], "ts")
 
 
+@query("WITH p AS (SELECT user_id, event_id AS pulse, ts AS pulse_at FROM events WHERE event_type = 'click'), c AS (SELECT user_id, event_id AS chunk, ts AS chunk_at FROM events WHERE event_type = 'view') SELECT user_id, pulse, chunk FROM p JOIN c USING (user_id) WHERE pulse_at >= chunk_at AND pulse_at < chunk_at + INTERVAL 6 HOUR")
+def joined_streams(s, d):
+    """Clicks in the six hours after a view, of two streams."""
+    side = lambda kind, name: _event_stream(s, d).where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("at").alias(f"{name}_at"))
+    return run_to_end(t.pulses_in_chunks(side("click", "pulse"), side("view", "chunk"), "user_id", "6 hours"), s).select("user_id", "pulse", "chunk")
+
+
 _HALF_DAY = 43_200_000_000
 
 

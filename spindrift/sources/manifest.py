@@ -41,20 +41,40 @@ def load(text: str) -> Manifest:
     return Manifest(raw["dataset"], artifacts, raw.get("selection", {}).get("expected_neuron_count"))
 
 
+#: Bytes of a file that one task may hold to hash it.
+MOST_BYTES = 256 << 20
+
+
 def hashes(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """(filename, size_bytes, sha256) of the named files of a folder that are there. Files of any size, read as streams by the driver's JVM."""
-    jvm, found = spark._jvm, []
+    """(filename, size_bytes, sha256) of the named files of a folder that are there.
+
+    Files of up to MOST_BYTES are hashed by the executors, side by side. A hash can't be put together from parts, so a larger
+    file is read as a stream, by the driver's JVM.
+    """
+    jvm, small, found = spark._jvm, [], []
     where = jvm.org.apache.hadoop.fs.Path(folder)
     system = where.getFileSystem(spark._jsc.hadoopConfiguration())
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(where, name)
-        if system.exists(path):
-            stream = system.open(path)
-            try:
-                found.append((name, system.getFileStatus(path).getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-            finally:
-                stream.close()
-    return spark.createDataFrame(found, "filename string, size_bytes long, sha256 string")
+        if not system.exists(path):
+            continue
+        size = system.getFileStatus(path).getLen()
+        if size <= MOST_BYTES:
+            small.append((name, system.makeQualified(path).toString()))
+            continue
+        stream = system.open(path)
+        try:
+            found.append((name, size, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    schema = "filename string, size_bytes long, sha256 string"
+    large = spark.createDataFrame(found, schema)
+    if not small:
+        return large
+    listed = spark.createDataFrame(small, "filename string, path string")
+    read = spark.read.format("binaryFile").load([path for _, path in small])
+    hashed = read.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return listed.join(hashed, "path").select("filename", "size_bytes", "sha256").unionByName(large)
 
 
 def verify(spark: SparkSession, manifest: Manifest, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators import folds
+from spindrift.operators import folds, storage
 
 
 def as_stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -72,6 +72,38 @@ def distinct_chunks(events: DataFrame, keys: list[str], time: str, lateness: str
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+def pulses_in_chunks(pulses: DataFrame, chunks: DataFrame, by: str, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Pulses (by, pulse_at, ...) with the chunk (by, chunk_at, ...) they fall in: chunk_at <= pulse_at < chunk_at + width.
+
+    On streams either side may come first, out of order by up to lateness; a row waits in the state until no partner can come
+    any more, so the state holds a width and a lateness of each side. Rows later than that are left out; Late puts those of a batch aside.
+    """
+    if pulses.isStreaming:
+        pulses, chunks = pulses.withWatermark("pulse_at", lateness), chunks.withWatermark("chunk_at", lateness)
+    other = chunks.withColumnRenamed(by, "__by")
+    within = (F.col("pulse_at") >= F.col("chunk_at")) & (F.col("pulse_at") < F.col("chunk_at") + F.expr(f"INTERVAL {width}"))
+    return pulses.join(other, (F.col(by) == F.col("__by")) & within).drop("__by")
+
+
+class Late:
+    """A side output of late rows. Each micro-batch is split by the newest time before it less the lateness, kept in a small table with the batch's number."""
+
+    def __init__(self, path: str, time: str, lateness_s: float):
+        self.path, self.time, self.lateness_s = path.rstrip("/"), time, lateness_s
+
+    def split(self, batch: DataFrame, number: int) -> DataFrame:
+        """The rows in time; the late ones go to path/late, in the batch's own partition. A batch that comes again is split as it was."""
+        spark = batch.sparkSession
+        newest = F.max(F.unix_micros(self.time)).alias("newest")
+        marks = spark.read.schema("newest long, batch long").parquet(f"{self.path}/marks") if number and storage.exists(spark, f"{self.path}/marks") else None
+        before = marks.where(F.col("batch") < number).agg(F.max("newest")).first()[0] if marks is not None else None
+        put = lambda df, name: df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
+        is_late = F.lit(False) if before is None else F.coalesce(F.unix_micros(self.time) < F.lit(before - round(self.lateness_s * 1e6)), F.lit(False))
+        put(batch.where(is_late), "late")
+        put(batch.agg(newest), "marks")
+        return batch.where(~is_late)
+
+
 def stale(now_ms, last_ms, limit: int = 2000):
     return (last_ms > 0) & (now_ms - last_ms > limit)
 

@@ -37,3 +37,19 @@ def test_queries_use_every_row(spark, sf):
     assert {r.n for r in catalog.queries()["ridge_loocv"](spark, sf).collect()} == {n}
     scores = catalog.queries()["pca_scores"](spark, sf).toPandas()
     assert scores["row"].nunique() == len(scores) == n
+
+
+def test_scores_of_two_labels_and_of_many(spark):
+    from spindrift.operators import decode as dec
+
+    rng = np.random.default_rng(1)
+    rows = [(int(i % 2), [float(x) for x in rng.normal(size=3) + (i % 2) * np.array([2.0, 0.0, 0.1])]) for i in range(80)]
+    two = spark.createDataFrame(rows, "label int, f array<double>")
+    want = {r.feature: r.score for r in dec.fisher_scores(two, "f", "label").collect()}
+    got = {(r.label, r.feature): r.score for r in dec.rest_scores(two, "f", "label").collect()}
+    assert all(abs(got[k, f] - want[f]) < 1e-9 for k in (0, 1) for f in want)
+    assert [r.feature for r in dec.top_features(dec.fisher_scores(two, "f", "label"), 1).collect()] == [0]
+    odd = spark.createDataFrame([(None, [1.0]), (1, [2.0]), (1, [2.0])], "label int, f array<double>")
+    assert [(r.label, r.score) for r in dec.rest_scores(odd, "f", "label").collect()] == [(1, 1.0 / 1e-9)]
+    assert dec.rest_scores(odd.where("label = 1"), "f", "label").first().score is None
+    assert {r["rank"] for r in dec.top_per_label(dec.rest_scores(two, "f", "label"), 2).collect()} == {1, 2}

@@ -90,3 +90,38 @@ def test_decode_axis(spark):
     samples = spark.createDataFrame(rows, "row long, a array<double>, b array<double>, target double, train boolean")
     best = experiments.decode_axis(samples, {"good": "a", "poor": "b"}, (0.01, 1.0), (1, 2)).first()
     assert best.modality == "good" and best.score < 0.1
+
+
+def test_index_outgoing(spark, built, tmp_path, monkeypatch, capsys):
+    """Written beside, checked, visible by one rename; a failed one stays partial and unseen; an existing one isn't touched."""
+    import shutil
+
+    from spindrift.operators import offsets
+
+    out = str(tmp_path / "d")
+    shutil.copytree(built[1], out)
+    before = sorted(p.name for p in (tmp_path / "d").iterdir())
+    # a fault between the write and the rename
+    monkeypatch.setattr(dataset.storage, "publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError, match="gone"):
+        dataset.index_outgoing(spark, out)
+    monkeypatch.undo()
+    left = [p.name for p in (tmp_path / "d").iterdir() if p.name not in before]
+    assert len(left) == 1 and left[0].startswith("_outgoing.partial-")
+    # edges that the written orientation lacks
+    whole = offsets.write
+    monkeypatch.setattr(dataset.offsets, "write", lambda edges, *a: whole(edges.where("source_index <> 0"), *a))
+    with pytest.raises(ValueError, match="differ"):
+        dataset.index_outgoing(spark, out)
+    monkeypatch.undo()
+    assert not (tmp_path / "d" / "outgoing").exists()
+    # and the good one
+    assert cli.main(["index-outgoing", "--out", out]) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert told["in_edges"] == told["out_edges"] == 5 and told["edges_apart"] == told["nodes_apart"] == 0
+    rows = spark.read.parquet(f"{out}/outgoing/edges").collect()
+    assert [(r.source_index, r.target_index) for r in rows] == sorted((r.source_index, r.target_index) for r in rows) and len(rows) == 5
+    assert {(r.node, r.degree, r.start) for r in spark.read.parquet(f"{out}/outgoing/offsets").collect()} == {(0, 2, 0), (1, 1, 2), (2, 2, 3)}
+    with pytest.raises(FileExistsError):
+        dataset.index_outgoing(spark, out)
+    assert {x.part: x.ok for x in dataset.validate(spark, out).collect()} == {"neurons": True, "edges": True}
