@@ -161,7 +161,8 @@ class _Named:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode every whole text of documents; digests of the ids and of the decoded bytes."""
+    """Encode and decode every whole text of documents; digests of the ids and of the decoded bytes. Null and empty texts have no
+    ids, and the digests of nothing; repeated rows each have their row; long texts and pieces are worked whole."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8. Null, wordless and repeated rows: as said above."""
+    """Near-duplicate classes of all documents by 2-word shingles at similarity 0.8. Null and wordless texts link with nothing and are kept;
+    repeated rows link with one another; ties go to the smaller id."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
 
 

@@ -181,5 +181,6 @@ def judge(docs: DataFrame, limit: float = 60.0, least_group: int = 50, min_words
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and verdict for every whole text of documents."""
+    """Statistics and verdict for every whole text of documents. A null or empty text has no words, so it fails the base and isn't
+    kept; rows without a language or source are a group of their own; repeated rows each have their row; an empty table gives none."""
     return judge(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
