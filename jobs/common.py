@@ -15,8 +15,14 @@ log = logging.getLogger("spindrift.jobs")
 
 
 def config(spark: SparkSession, path: str, required: tuple[str, ...]) -> dict:
-    """A JSON config read through Spark, so that its path may be remote; missing keys raise."""
-    found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    """A JSON config, read on the driver by Spark's file systems: the driver's own file or a remote one. Missing keys raise."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        found = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
     missing = [k for k in required if k not in found]
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
