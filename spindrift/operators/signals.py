@@ -89,12 +89,14 @@ def pulse_train(members: DataFrame, start_s: float, stop_s: float, interval_s: f
     return members.select("neuron_index").crossJoin(F.broadcast(times))  # n times, fixed by the arguments
 
 
-def drive_channels(traces: DataFrame, gain: float, epsilon: float, factor: float, delay_steps: int) -> DataFrame:
-    """(label, step, amplitude): clip(signal / gain) to -1..1, small ones 0, scaled, delayed. Channels that stay 0 go."""
+def drive_channels(traces: DataFrame, gain: float, epsilon: float, factor: float, delay_steps: int, keep_silent: bool = False) -> DataFrame:
+    """(label, step, amplitude): clip(signal / gain) to -1..1, small ones 0, scaled, delayed. Channels that stay 0 go, as they drive nothing, unless keep_silent."""
     x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("signal") / gain))
     scaled = traces.withColumn("amplitude", F.when(F.abs(x) <= epsilon, 0.0).otherwise(x) * factor)
     w = Window.partitionBy("label")
-    moved = scaled.withColumn("amplitude", F.lag("amplitude", delay_steps, 0.0).over(w.orderBy("step")))
+    moved = scaled.withColumn("amplitude", F.lag("amplitude", delay_steps, 0.0).over(w.orderBy("step"))).select("label", "step", "amplitude")
+    if keep_silent:
+        return moved
     return moved.withColumn("__any", F.max(F.abs("amplitude")).over(w)).where("__any > 0").select("label", "step", "amplitude")
 
 
