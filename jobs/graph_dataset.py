@@ -41,6 +41,12 @@ def raw(spark: SparkSession, source: str, role: str, said: dict) -> DataFrame:
     return chosen.select(*[(F.col(c) if c in chosen.columns else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in normalize.REQUIRED[role]])
 
 
+def _side(written: DataFrame) -> DataFrame:
+    """A written table as the smaller side of a join: broadcast up to a million rows, else merged, as its packed files say little of its size."""
+    side = storage.bounded(written)
+    return written.hint("merge") if side is written else side
+
+
 def run(spark: SparkSession, source: str, out: str, settings: dict) -> DataFrame:
     """Build the dataset at out from the tables below source; the edges as they stand then."""
     tables = {role: raw(spark, source, role, settings["tables"][role]) for role in ("annotations", "neurotransmitters", "connectivity")}
@@ -51,24 +57,22 @@ def run(spark: SparkSession, source: str, out: str, settings: dict) -> DataFrame
             raise ValueError(f"{role}: {ids.null_ids} null and {ids.duplicate_ids} repeated ids")
 
     census = graph.with_sign(normalize.neurons(tables["annotations"], tables["neurotransmitters"]), settings["signs"])
-    known = census.select("body_id", "neuron_index")
+    census = storage.materialize(census.withColumn("spread", F.lit(0)), "job1-census")
     sound = F.coalesce(F.col("weight").between(1, normalize.INT_MAX), F.lit(False))
-    summed = tables["connectivity"].groupBy("body_pre", "body_post", sound.alias("sound")).agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"))
-    ended = F.col("body_pre").isNotNull() & F.col("body_post").isNotNull()
-    placed = summed.where(ended)  # ends that are null would all meet in one task of the joins
-    for c, i in (("body_pre", "source_index"), ("body_post", "target_index")):
-        placed = placed.join(known.select(F.col("body_id").alias(c), F.col("neuron_index").alias(i)), c, "left")
-    reason = F.when(~F.col("sound"), "weight").when(F.col("source_index").isNull() | F.col("target_index").isNull(), "outside of the census")
-    lacking = summed.where(~ended).withColumns({"source_index": F.lit(None).cast("int"), "target_index": F.lit(None).cast("int"), "reason": F.lit("no end")})
-    placed = storage.materialize(placed.withColumn("reason", reason).unionByName(lacking), "job1-placed")
+    placed = tables["connectivity"].groupBy("body_pre", "body_post", sound.alias("sound")).agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"))
+    for c, other, names in (("body_pre", "body_post", {"neuron_index": "source_index", "sign": "sign"}), ("body_post", "body_pre", {"neuron_index": "target_index"})):
+        # ends that are null would all meet in one task of the join: they are spread by the other end, over values that no body has
+        placed = placed.withColumns({"body_id": F.coalesce(c, F.lit(0)), "spread": F.when(F.col(c).isNull(), F.pmod(F.xxhash64(other), F.lit(4096)).cast("int") + 1).otherwise(0)})
+        placed = placed.join(_side(census.select("body_id", "spread", *[F.col(a).alias(b) for a, b in names.items()])), ["body_id", "spread"], "left").drop("body_id", "spread")
+    reason = F.when(F.col("body_pre").isNull() | F.col("body_post").isNull(), "no end").when(~F.col("sound"), "weight").when(F.col("source_index").isNull() | F.col("target_index").isNull(), "outside of the census")
+    placed = storage.materialize(placed.withColumn("reason", reason), "job1-placed")
 
     log.info("read connectivity: %d rows", placed.agg(F.sum("rows")).first()[0] or 0)
     rejected = placed.where("reason is not null").select("reason", "body_pre", "body_post", "rows", "weight")
     rejected.write.mode("overwrite").partitionBy("reason").parquet(f"{out}/rejected")
-    pairs = placed.where("reason is null").select("source_index", "target_index", F.col("weight").alias("synapse_count"))
-    received = pairs.groupBy("target_index").agg(F.sum("synapse_count").alias("received"))
-    signs = census.select(F.col("neuron_index").alias("source_index"), "sign")
-    edges = pairs.join(received, "target_index").join(signs, "source_index").select(
+    pairs = placed.where("reason is null").select("source_index", "target_index", "sign", F.col("weight").alias("synapse_count"))
+    received = storage.materialize(pairs.groupBy("target_index").agg(F.sum("synapse_count").alias("received"), F.count("*").alias("in_edges")), "job1-received")
+    edges = pairs.join(_side(received.select("target_index", "received")), "target_index").select(
         "source_index", "target_index", "synapse_count", (F.col("synapse_count") * F.col("sign")).alias("signed_count"), (F.col("synapse_count") / F.col("received")).alias("input_share"),
         F.floor(F.col("target_index") / settings["block"]).cast("int").alias("target_block"),
     )
@@ -76,11 +80,12 @@ def run(spark: SparkSession, source: str, out: str, settings: dict) -> DataFrame
     edges.hint("rebalance", F.col("target_block")).sortWithinPartitions("target_block", "target_index", "source_index").write.mode("overwrite").partitionBy("target_block").parquet(f"{out}/edges")
     made = spark.read.schema(_EDGES).parquet(f"{out}/edges")  # an empty table has no file to learn columns from
 
-    degrees = made.groupBy(F.col("target_index").alias("neuron_index")).agg(F.count("*").alias("in_edges")).join(made.groupBy(F.col("source_index").alias("neuron_index")).agg(F.count("*").alias("out_edges")), "neuron_index", "full")
-    neurons = census.join(degrees, "neuron_index", "left").fillna(0, ["in_edges", "out_edges"])
+    inward = received.select(F.col("target_index").alias("neuron_index"), "in_edges")
+    outward = pairs.groupBy(F.col("source_index").alias("neuron_index")).agg(F.count("*").alias("out_edges"))
+    neurons = census.drop("spread").join(_side(inward), "neuron_index", "left").join(outward, "neuron_index", "left").fillna(0, ["in_edges", "out_edges"])
     neurons.hint("rebalance", F.col("superclass")).sortWithinPartitions("superclass", "neuron_index").write.mode("overwrite").partitionBy("superclass").parquet(f"{out}/neurons")
 
-    storage.discard(placed)
+    storage.discard(placed, received, census)
     totals = made.agg(F.count("*").alias("edges"), F.sum("synapse_count").alias("contacts")).first()
     log.info("wrote edges: %d rows, %s contacts", totals.edges, totals.contacts)
     for r in spark.read.schema(neurons.schema).parquet(f"{out}/neurons").groupBy("superclass").count().orderBy("superclass").collect():

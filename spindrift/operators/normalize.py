@@ -43,19 +43,29 @@ def key_ranges(df: DataFrame, key: str) -> tuple[int, Column]:
     return n, block * 32 + below(F.slice(fine, block * 32 + 1, F.lit(32)))
 
 
+def range_offset(ranged: DataFrame, amount: Column) -> Column:
+    """What lies before a row's __range: the sum of an aggregate over all earlier ranges, by a list of at most MOST_RANGES numbers.
+
+    A join with these numbers would have the optimizer carry the range's definition over to their side, where the key isn't; such plans fail.
+    """
+    found = {r["__range"]: r["__n"] or 0 for r in ranged.groupBy("__range").agg(amount.alias("__n")).collect()}
+    before = [0]
+    for i in range(max(found, default=0)):
+        before.append(before[-1] + found.get(i, 0))
+    return F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range") + 1)
+
+
 def dense_index(df: DataFrame, key: str, name: str = "neuron_index") -> DataFrame:
     """df with name: 0-based position of key in ascending order (keys unique, not null and integral); long beyond 2 ** 31 rows.
 
     Not one task's global sort: keys fall in ranges of about equal size, ranges are counted, and a row's position
-    is its range's offset plus its place inside. Offsets are at most MOST_RANGES rows.
+    is its range's offset plus its place inside. Offsets are at most MOST_RANGES numbers.
     """
     n, number = key_ranges(df, key)
     ranged = df.withColumn("__range", number.cast("int"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("__range").orderBy(key)
-    place = (F.col("__offset") + F.row_number().over(inside) - 1).cast("int" if n <= INT_MAX else "long")
-    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, place).drop("__range", "__offset")
+    place = (range_offset(ranged, F.count("*")) + F.row_number().over(inside) - 1).cast("int" if n <= INT_MAX else "long")
+    return ranged.withColumn(name, place).drop("__range")
 
 
 def check_columns(df: DataFrame, role: str) -> DataFrame:
@@ -116,10 +126,8 @@ def offsets(table: DataFrame, nodes: DataFrame, by: str = "target_index") -> Dat
     degree = nodes.select(F.col("neuron_index").alias("node")).join(table.groupBy(F.col(by).alias("node")).agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     _, number = key_ranges(nodes.select(F.col("neuron_index").alias("node")), "node")
     ranged = degree.withColumn("__range", number.cast("int"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__range").agg(F.sum("degree").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("__range").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(totals), "__range").select("node", "degree", (F.col("__offset") + F.coalesce(F.sum("degree").over(inside), F.lit(0))).cast("long").alias("start"))
+    return ranged.select("node", "degree", (range_offset(ranged, F.sum("degree")) + F.coalesce(F.sum("degree").over(inside), F.lit(0))).cast("long").alias("start"))
 
 
 def totals(table: DataFrame) -> DataFrame:
