@@ -4,7 +4,8 @@ Grammar inference: the labelled credentials of a kind form a prefix tree with co
 tree in breadth-first order, a state is merged (with all that lies below it) into an earlier state when
 the two are statistically compatible: their symbol and end frequencies differ by less than a Hoeffding
 bound, recursively. What is left is a probabilistic automaton, whose loops make strings of other lengths
-too; a smoothed law of lengths stands for its end probabilities. Labelled are the fixed patterns' matches in
+too; a smoothed law of lengths stands for its end probabilities. Where a kind has very many credentials, executors
+count their frequent prefixes, whose tree is merged, and then all credentials' ways through the automaton. Labelled are the fixed patterns' matches in
 the corpus and examples of published credential formats.
 
 Candidates are all runs of credentials' characters and all stretches between their separators, of any
@@ -22,6 +23,7 @@ from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.ends, self.total = [0], [0]
-        self.lengths = self._law_of_lengths(strings)
+        self.lengths = self._law_of_lengths(Counter(map(len, strings)))
         self._steps: dict[tuple[int, str], tuple[int, float]] = {}
         for string, n in sorted(strings.items()):
             state = 0
@@ -120,6 +122,47 @@ class Automaton:
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
 
+    @classmethod
+    def of_prefixes(cls, tree: dict[str, dict[str, int]], sizes: dict[int, int], alpha: float = 0.05) -> Automaton:
+        """The automaton of a tree cut to its frequent prefixes: prefix to how many strings go on with each symbol, or end ("").
+
+        What follows a rare prefix is unknown here, so that it loops; tally() and recount() then give every string's share.
+        """
+        made = cls({}, alpha)
+        made.lengths = made._law_of_lengths(sizes)
+        place = {"": 0}
+        for prefix in sorted(tree, key=lambda p: (len(p), p)):
+            state = place[prefix]
+            made.total[state], made.ends[state] = sum(tree[prefix].values()), tree[prefix].get("", 0)
+            for symbol, n in sorted(tree[prefix].items()):
+                if symbol:
+                    place[prefix + symbol] = made.next[state][symbol] = len(made.next)
+                    made.count[state][symbol] = n
+                    made.next.append({}), made.count.append({}), made.ends.append(0), made.total.append(0)
+        made._merge_all()
+        return made
+
+    def tally(self, string: str, seen: Counter) -> None:
+        """Count the string's (state, symbol) and, as "", where it ends. A symbol that a state doesn't know stays there."""
+        state = 0
+        for symbol in string:
+            seen[state, symbol] += 1
+            state = self.next[state].get(symbol, state)
+        seen[state, ""] += 1
+
+    def recount(self, seen: dict[tuple[int, str], int]) -> None:
+        """Take the counts of tally() for those of the tree."""
+        self.count = [{} for _ in self.states]
+        self.ends, self.total = ([0] * len(self.states) for _ in range(2))
+        for (state, symbol), n in sorted(seen.items()):
+            self.total[state] += n
+            if symbol:
+                self.count[state][symbol] = n
+                self.next[state].setdefault(symbol, state)
+            else:
+                self.ends[state] = n
+        self._steps = {}
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 and n2 and abs(f1 / n1 - f2 / n2) > self._bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
@@ -181,17 +224,16 @@ class Automaton:
         self.count, self.ends, self.total = ([of[s] for s in settled] for of in (self.count, self.ends, self.total))
         self.states = list(range(len(settled)))
 
-    def _law_of_lengths(self, strings: dict[str, int]) -> list[float]:
+    def _law_of_lengths(self, sizes: dict[int, int]) -> list[float]:
         """Bits of each length up to four times the longest: each seen length spreads in a bell over about an eighth of it."""
-        top = 4 * max(map(len, strings), default=0)
-        mass = [1e-6] * (top + 1)
-        for size, n in Counter(map(len, strings)).items():
+        top = 4 * max(sizes, default=0)
+        mass = np.full(top + 1, 1e-6)
+        for size, n in sorted(sizes.items()):
             spread = max(1.0, size / 8)
-            bell = [math.exp(-0.5 * ((x - size) / spread) ** 2) for x in range(top + 1)]
-            total = sum(bell)
-            mass = [m + n * b / total for m, b in zip(mass, bell, strict=True)]
-        total = sum(mass)
-        return [-math.log2(m / total) for m in mass]
+            low, high = max(0, int(size - 9 * spread)), min(top, int(size + 9 * spread))  # beyond it is far below 1e-6
+            bell = np.exp(-0.5 * ((np.arange(low, high + 1) - size) / spread) ** 2)
+            mass[low : high + 1] += n * bell / bell.sum()
+        return (-np.log2(mass / mass.sum())).tolist()
 
     def step(self, state: int, symbol: str) -> tuple[int, float]:
         """Next state and the symbol's bits, given that the string goes on. Infinite where the automaton can't make it.
@@ -294,10 +336,10 @@ class Scanner:
     that loses so many bits ends the search from its start, as no credential has one.
     """
 
-    def __init__(self, labelled: dict[str, dict[str, int]], ordinary: dict[str, int], evidence: float = 30.0, drop: float = 40.0):
-        told = (sorted((k, sorted(x.items())) for k, x in labelled.items()), sorted(ordinary.items()), evidence, drop)
+    def __init__(self, labelled: dict[str, dict[str, int] | Automaton], ordinary: dict[str, int], evidence: float = 30.0, drop: float = 40.0):
+        told = (sorted((k, repr((x.next, x.count, x.ends, x.lengths) if isinstance(x, Automaton) else sorted(x.items()))) for k, x in labelled.items()), sorted(ordinary.items()), evidence, drop)
         self.name = hashlib.sha256(repr(told).encode()).hexdigest()
-        self.automata = {kind: Automaton(strings) for kind, strings in sorted(labelled.items()) if strings}
+        self.automata = {kind: x if isinstance(x, Automaton) else Automaton(x) for kind, x in sorted(labelled.items()) if x}
         self.ordinary = Ordinary(ordinary)
         self.evidence, self.drop = evidence, drop
         self._bound()
@@ -440,37 +482,118 @@ def pairs_of(text: str) -> Counter:
     return pairs
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 20_000, max_labelled: int = 300, labelled: list[tuple[str, str]] | None = None) -> Scanner:
-    """Learn the automata and the model of ordinary text from a bounded sample.
+_SYMBOLS = " " + _ALPHABET
+_CODES = np.zeros(256, np.uint8)
+_CODES[[ord(s) for s in _ALPHABET]] = range(1, len(_SYMBOLS))
+
+
+def pair_counts(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """pairs_of() of many texts with these base spans, as one array of counts by (last, symbol)."""
+    width = len(_SYMBOLS)
+    counts = np.zeros(width * width, np.int64)
+    codes = _CODES[np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("ascii", "replace"), np.uint8)]  # a byte for each code point
+    at = 1
+    for t, found in zip(texts, spans, strict=True):
+        for start, _, end in found:  # all of each run that a span touches
+            start, end = at + start, at + end
+            while codes[start] and codes[start - 1]:
+                start -= 1
+            while codes[end - 1] and codes[end]:
+                end += 1
+            codes[start:end] = 0
+        at += len(t) + 1
+    for i in range(0, len(codes) - 1, 1 << 20):
+        part = codes[i : i + (1 << 20) + 1].astype(np.int64)
+        counts += np.bincount(part[:-1] * width + part[1:], minlength=width * width)
+    counts[0] = 0
+    return counts
+
+
+#: A kind with more different credentials than WHOLE is learned by the prefixes that at least one in SHARE of them has, up to DEPTH symbols, STEP at a time.
+WHOLE, SHARE, DEPTH, STEP = 600, 300, 256, 8
+
+
+def _prefixes(values: DataFrame, least: int) -> dict[str, dict[str, int]]:
+    """For each prefix of at least so many values, how many go on with each symbol, or end (""). At most SHARE prefixes of a length."""
+    tree, alive = {}, values
+    for depth in range(0, DEPTH, STEP):
+        at = F.explode(F.sequence(F.lit(depth), F.least(F.lit(depth + STEP - 1), F.length("value"))))
+        rows = alive.select("value", at.alias("at")).groupBy(F.expr("substring(value, 1, at)").alias("prefix"), F.expr("substring(value, at + 1, 1)").alias("symbol")).agg(F.count("*").alias("n"))
+        found = rows.groupBy("prefix").agg(F.collect_list(F.struct("symbol", "n")).alias("x"), F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+        tree.update({r["prefix"]: {x["symbol"]: x["n"] for x in r["x"]} for r in found})
+        deep = [r["prefix"] + x["symbol"] for r in found if len(r["prefix"]) == depth + STEP - 1 for x in r["x"] if x["symbol"] and x["n"] >= least]
+        if not deep:
+            break
+        alive = alive.where(F.substring("value", 1, depth + STEP).isin(deep))
+    return tree
+
+
+def _learned(values: DataFrame, sizes: dict[int, int]) -> Automaton:
+    """The automaton of any number of different values (value): its shape from their frequent prefixes, its counts from all."""
+    made = Automaton.of_prefixes(_prefixes(values, -(-sum(sizes.values()) // SHARE)), sizes)
+
+    def count(batches):
+        seen = Counter()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                made.tally(value, seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["state", "symbol", "n"])
 
-    sample_docs: about so many documents, picked by a hash of id and text; all where there are fewer. max_labelled: of each kind so many different credentials are used, the first by hash, each counted once.
-    labelled: (kind, credential) examples of one's own beside the corpus' matches of the fixed patterns; by
-    default those of FORMATS. The bounds are the same at every input size; scan() covers every document.
+    made.recount({(r["state"], r["symbol"]): r["n"] for r in values.mapInArrow(count, "state long, symbol string, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n")).collect()})
+    return made
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int | None = None, max_labelled: int | None = None, labelled: list[tuple[str, str]] | None = None) -> Scanner:
+    """Learn the automata and the model of ordinary text from all documents and all different credentials in them, each counted once.
+
+    labelled: (kind, credential) examples of one's own beside the corpus' matches of the fixed patterns; by default those of FORMATS.
+    For trials only: sample_docs, about so many documents picked by a hash of id and text; max_labelled, so many credentials of each kind, the first by hash.
     """
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
-    sample = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull() & (draw * F.lit(float(n)) < F.lit(float(sample_docs << 30))))
+    known = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull())
+    if sample_docs is not None:
+        draw = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
+        known = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull() & (draw * F.lit(float(docs.count())) < F.lit(float(sample_docs << 30))))
+
+    def rows(kinds, values, counts):
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
 
     def learn(batches):
-        values, pairs = Counter(), Counter()
+        pairs = np.zeros(len(_SYMBOLS) ** 2, np.int64)
         for batch in batches:
-            for t in common.texts_of(batch, "text"):
-                values.update(labelled_values(t))
-                pairs.update(pairs_of(t))
-        rows = [(kind, value, n) for (kind, value), n in values.items()] + [(None, c, n) for c, n in pairs.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "n"])
-
-    seen = sample.mapInArrow(learn, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")  # of a bounded sample
-    pairs: dict[str, int] = {}
-    found: dict[str, dict[str, int]] = {kind: {} for kind in KINDS}
-    for r in seen.withColumn("at", F.row_number().over(first)).where(F.col("kind").isNull() | (F.col("at") <= max_labelled)).collect():
-        if r["kind"] is None:
-            pairs[r["value"]] = r["n"]
-        else:
-            found[r["kind"]][r["value"]] = 1
-    for kind, value in format_examples() if labelled is None else labelled:
-        found.setdefault(kind, {})[value] = 1
+            for part in common.slices(batch, "text"):
+                texts = common.texts_of(part, "text")
+                spans = [base_spans(t) for t in texts]
+                pairs += pair_counts(texts, spans)
+                values = list(dict.fromkeys(x for t, found in zip(texts, spans, strict=True) if found for x in labelled_values(t)))
+                if values:
+                    yield rows([k for k, _ in values], [v for _, v in values], [1] * len(values))
+        at = np.flatnonzero(pairs)
+        yield rows([None] * len(at), [_SYMBOLS[i // len(_SYMBOLS)] + _SYMBOLS[i % len(_SYMBOLS)] for i in at], pairs[at])
+
+    seen = common.materialize(known.mapInArrow(learn, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "labelled")
+    pairs = {r["value"]: r["n"] for r in seen.where("kind is null").collect()}  # of a fixed alphabet
+    values = seen.where("kind is not null").select("kind", "value")
+    if max_labelled is not None:
+        first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+        values = values.withColumn("at", F.row_number().over(first)).where(F.col("at") <= max_labelled).drop("at")
+    own = format_examples() if labelled is None else labelled
+    added = [x for x in dict.fromkeys(own) if x[0] in KINDS]
+    if added:
+        values = values.unionByName(docs.sparkSession.createDataFrame(added, "kind string, value string")).distinct()
+    found: dict[str, dict[str, int] | Automaton] = {kind: {} for kind in KINDS}
+    sizes: dict[str, dict[int, int]] = {kind: {} for kind in KINDS}
+    for r in values.groupBy("kind", F.length("value").alias("size")).agg(F.count("*").alias("n")).collect():
+        sizes[r["kind"]][r["size"]] = r["n"]
+    few = [kind for kind in KINDS if sum(sizes[kind].values()) <= WHOLE]
+    for r in values.where(F.col("kind").isin(few)).collect() if few else []:
+        found[r["kind"]][r["value"]] = 1
+    for kind in KINDS:
+        if kind not in few:
+            found[kind] = _learned(values.where(F.col("kind") == kind).select("value"), sizes[kind])
+    common.discard(seen)
+    for kind, value in own:
+        if kind not in KINDS:
+            found.setdefault(kind, {})[value] = 1
     return Scanner(found, pairs)
 
 
